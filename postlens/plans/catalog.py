@@ -8,6 +8,7 @@ from postlens.plans.registry import ORACLE, QUERIES
 
 _MODULES = [
     "postlens.plans.q_timeseries",
+    "postlens.plans.q_text",
 ]
 
 for _m in _MODULES:
