@@ -9,6 +9,8 @@ from postlens.plans.registry import ORACLE, QUERIES
 _MODULES = [
     "postlens.plans.q_timeseries",
     "postlens.plans.q_text",
+    "postlens.plans.q_sampling",
+    "postlens.plans.q_labels",
 ]
 
 for _m in _MODULES:
