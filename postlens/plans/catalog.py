@@ -11,6 +11,7 @@ _MODULES = [
     "postlens.plans.q_text",
     "postlens.plans.q_sampling",
     "postlens.plans.q_labels",
+    "postlens.plans.q_evaluate",
 ]
 
 for _m in _MODULES:
