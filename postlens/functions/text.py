@@ -241,3 +241,24 @@ def zero_pad(c, width: int = 3) -> Column:
     """Left-pad with zeros to ``width``; longer values are kept whole."""
     s = _col(c).cast("string")
     return F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, "0"))
+
+
+# ---------------------------------------------------------------- C11: HTML to text
+
+def html_to_text(c, variant: str = "strip") -> Column:
+    """C11: page text (script/style/comments dropped) then one of four finishes:
+    ``alnum``  – bracketed parts removed, only ASCII letters, digits, whitespace, comma, quote kept;
+    ``notags`` – leftover tag-like text removed;  ``nfkc`` – NFKC, control characters removed;
+    ``strip``  – surrounding whitespace removed."""
+    from postlens.functions.unicode import html_get_text, nfkc
+    t = html_get_text(_col(c))
+    if variant == "alnum":
+        t = F.regexp_replace(t, r"\[[^]]*\]", "")
+        return F.regexp_replace(t, r"[^a-zA-Z0-9\s,']", "")
+    if variant == "notags":
+        return F.regexp_replace(t, r"<[^>]+>", "")
+    if variant == "nfkc":
+        return F.regexp_replace(nfkc(t), r"[\x{0}-\x{1F}\x{7F}]+", "")
+    if variant == "strip":
+        return trim_ws(t)
+    raise ValueError(f"unknown variant {variant!r}")

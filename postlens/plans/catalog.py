@@ -12,6 +12,7 @@ _MODULES = [
     "postlens.plans.q_sampling",
     "postlens.plans.q_labels",
     "postlens.plans.q_evaluate",
+    "postlens.plans.q_ingest",
 ]
 
 for _m in _MODULES:
