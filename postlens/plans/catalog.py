@@ -13,6 +13,7 @@ _MODULES = [
     "postlens.plans.q_labels",
     "postlens.plans.q_evaluate",
     "postlens.plans.q_ingest",
+    "postlens.plans.q_vectors",
 ]
 
 for _m in _MODULES:
