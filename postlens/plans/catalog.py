@@ -14,6 +14,8 @@ _MODULES = [
     "postlens.plans.q_evaluate",
     "postlens.plans.q_ingest",
     "postlens.plans.q_vectors",
+    "postlens.plans.q_streaming",
+    "postlens.plans.q_classify",
 ]
 
 for _m in _MODULES:
