@@ -1,17 +1,18 @@
 """Sentiment time series: daily ratios, weekly counts, net score, volume trust weighting,
 date-range filter and calendar-event overlays (SURVEY §2.5, B6, D7, D8).
 
-Plan shape of the flagship ``weekly_sentiment``: parquet scan pruned to the time, label and
-content columns (filters pushed into the scan) → partial aggregate per week → shuffle of one row
-per week and task → final aggregate → join with a week spine (both sides are one row per week,
-bounded by the time span, not by the data volume) → projection.
+Plan shape of the flagship ``weekly_sentiment``: one parquet scan pruned to the time, label and
+content columns (relevance and time-range filters pushed into the scan) → partial aggregate per
+week → shuffle of one row per week and task → final aggregate → zero-filled week spine generated
+from the weekly rows with ``lead`` (one row per week, bounded by the time span, not by the data
+volume; no second scan, no join) → projection.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Class ids and names of the three-way sentiment label.
@@ -60,11 +61,16 @@ def weekly_counts(posts: DataFrame, time_col: str = "time", label_col: str = "se
     )
     if not spine:
         return wk
-    bounds = wk.agg(F.min("week_end").alias("lo"), F.max("week_end").alias("hi"))
-    weeks = bounds.select(
-        F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 7 DAYS"))).alias("week_end"))
-    return (weeks.join(wk, "week_end", "left")
-            .na.fill(0, ["count_neg", "count_neu", "count_pos"]))
+    # Zero-filled spine from the weekly rows themselves (one scan, no join): each week also emits
+    # the empty weeks up to the next week present.  The window sees one row per week.
+    nxt = F.lead("week_end").over(Window.orderBy("week_end"))
+    x = wk.withColumn("_next", nxt)
+    x = x.withColumn("_w", F.explode(F.sequence(
+        F.col("week_end"), F.coalesce(F.date_sub("_next", 7), F.col("week_end")), F.expr("INTERVAL 7 DAYS"))))
+    here = F.col("_w") == F.col("week_end")
+    return x.select(F.col("_w").alias("week_end"),
+                    *[F.when(here, F.col(c)).otherwise(F.lit(0)).cast("long").alias(c)
+                      for c in ("count_neg", "count_neu", "count_pos")])
 
 
 def add_scores(weekly: DataFrame, trust_c: float = TRUST_C) -> DataFrame:
