@@ -195,7 +195,9 @@ def ablation_sample(df: DataFrame, id_col: str, cluster_col: str, prob_col: str,
     b = F.greatest(F.least(b, F.col("_size")), F.lit(1)).cast("long")
     sizes = sizes.select(cluster_col, b.alias("_budget"))
     key = hash_key(id_col, seed)
-    x = x.withColumn("_es", -F.log(unit_uniform(key)) / _bias_weight(p, bias)).withColumn("_tb", key)
+    # zero weight → +inf key: such rows are taken only when nothing else is left
+    es = F.coalesce(F.try_divide(-F.log(unit_uniform(key)), _bias_weight(p, bias)), F.lit(float("inf")))
+    x = x.withColumn("_es", es).withColumn("_tb", key)
     x = x.join(sizes, cluster_col, "inner")
     ranked = exact_rank(x, ["_es", "_tb", id_col], positive_bucket(F.col("_es")), by=[cluster_col])
     out = ranked.where(F.col("rank") <= F.col("_budget"))

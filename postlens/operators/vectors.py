@@ -138,6 +138,11 @@ def _tile_search(q: DataFrame, ref: DataFrame, k: int, self_join: bool, tile: in
 
 
 def _cell_model(ref: DataFrame, n_cells: int, seed: int):
+    """k-means cells over the reference vectors (one cell: the mean).  Returns (assign, centers)
+    where ``assign(df)`` adds the ``_cell`` column."""
+    if n_cells < 2:
+        mean = corpus_centroid(ref, "_rv").first()["centroid"]
+        return (lambda d: d.withColumn("_cell", F.lit(0))), [[float(x) for x in mean]]
     # cells only need to be compact, not converged: a few Lloyd rounds from random centres
     km = KMeans(k=n_cells, seed=seed, maxIter=5, initMode="random", featuresCol="_fv", predictionCol="_cell")
     model = km.fit(ref.select(array_to_vector("_rv").alias("_fv")))
@@ -145,7 +150,10 @@ def _cell_model(ref: DataFrame, n_cells: int, seed: int):
     size = len(centers) * max(1, len(centers[0])) * 8
     if size > MAX_MODEL_BYTES:
         raise ValueError(f"cell model of {size} bytes exceeds the broadcast bound; use fewer cells")
-    return model, centers
+
+    def assign(d: DataFrame) -> DataFrame:
+        return model.transform(d.withColumn("_fv", array_to_vector("_rv"))).drop("_fv")
+    return assign, centers
 
 
 def knn(df: DataFrame, id_col: str, vec_col: str, k: int, query: DataFrame | None = None,
@@ -161,9 +169,9 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int, query: DataFrame | Non
     if cells is None:
         n = ref.count()
         cells = max(1, min(4096, int(math.sqrt(max(n, 1)) / 2)))
-    model, centers = _cell_model(ref, cells, seed)
+    assign, centers = _cell_model(ref, cells, seed)
     c_n = len(centers)
-    ref = model.transform(ref.withColumn("_fv", array_to_vector("_rv"))).drop("_fv")
+    ref = assign(ref)
     ctab = spark.createDataFrame([(i, c) for i, c in enumerate(centers)], "_cell INT, _c ARRAY<DOUBLE>")
     radii = (ref.join(F.broadcast(ctab), "_cell")                         # size-checked above
              .groupBy("_cell").agg(F.max(dist(F.col("_rv"), F.col("_c"))).alias("_r")))
