@@ -209,7 +209,8 @@ def remove_stopwords(c, stopwords: Iterable[str]) -> Column:
 
 
 def ngrams(arr: Column, n_min: int = 1, n_max: int = 5) -> Column:
-    """All contiguous n-grams (n_min..n_max) of a token array, each joined by one space."""
+    """All contiguous n-grams (n_min..n_max) of a token array, each joined by one space.
+    Pass a column reference: the array is read once per n-gram."""
     size = F.size(arr)
 
     def grams_of(n: int) -> Column:
@@ -222,7 +223,8 @@ def ngrams(arr: Column, n_min: int = 1, n_max: int = 5) -> Column:
 
 
 def avg_word_length(words: Column) -> Column:
-    """Mean length of the words of an array (NULL for an empty array)."""
+    """Mean length of the words of an array (NULL for an empty array).  Pass a column
+    reference (the array is read twice)."""
     total = F.aggregate(words, F.lit(0), lambda acc, w: acc + F.length(w))
     return F.when(F.size(words) > 0, total / F.size(words))
 

@@ -7,6 +7,7 @@ surrounding steps stay JVM-side.  Filters should run before these so fewer rows
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from html.parser import HTMLParser
 
@@ -17,8 +18,8 @@ from pyspark.sql import types as T
 
 
 def _nfkc(s: str | None) -> str | None:
-    if s is None:
-        return None
+    if s is None or s.isascii() or unicodedata.is_normalized("NFKC", s):
+        return s
     return unicodedata.normalize("NFKC", s)
 
 
@@ -35,6 +36,10 @@ _EMOJI_RANGES = ((0x1F000, 0x1FAFF), (0x2600, 0x27BF), (0x2300, 0x23FF), (0x2B00
 _JOINERS = {0x200D, 0xFE0E, 0xFE0F, 0x20E3}
 
 
+_EMOJI_RE = re.compile("[" + "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in _EMOJI_RANGES)
+                       + "\u200d\ufe0e\ufe0f\u20e3]")
+
+
 def _is_emoji(cp: int) -> bool:
     return any(lo <= cp <= hi for lo, hi in _EMOJI_RANGES)
 
@@ -42,8 +47,8 @@ def _is_emoji(cp: int) -> bool:
 def _demojize(s: str | None, left: str = " ", right: str = " ") -> str | None:
     """Replace each emoji by its Unicode name in snake case between delimiters; skin-tone
     modifiers, variation selectors and joiners are dropped."""
-    if s is None:
-        return None
+    if s is None or s.isascii() or not _EMOJI_RE.search(s):
+        return s
     out = []
     for ch in s:
         cp = ord(ch)

@@ -15,7 +15,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,23 +67,45 @@ LANG_PROFILES = {
 }
 
 
-def guess_language(c, profiles: dict[str, Sequence[str]] = LANG_PROFILES, unknown: str = "unknown"):
-    """The language whose stop words occur most often in the lower-cased words (ties → the
-    first language in profile order); ``unknown`` when none occurs.  In-row: no shuffle."""
-    words = F.split(F.lower(c), r"[^\p{L}\p{N}_']+")
-    langs = list(profiles)
+def language_words(c) -> Column:
+    """Lower-cased words of a text for the language guess."""
+    return F.split(F.lower(c), r"[^\p{L}\p{N}_']+")
 
-    def hits(ws: Sequence[str]):
-        return F.size(F.filter(words, lambda w: w.isin(*ws)))
 
-    counts = [hits(tuple(profiles[l])) for l in langs]
-    best = None
+def guess_from_words(words: Column, profiles: dict[str, Sequence[str]] = LANG_PROFILES,
+                     unknown: str = "unknown") -> Column:
+    """The language whose stop words occur most often among ``words`` (ties → the first
+    language in profile order); ``unknown`` when none occurs.  Pass a column reference."""
+    langs = list(profiles)
+    counts = [F.size(F.filter(words, _member(tuple(profiles[l])))) for l in langs]
     top = F.greatest(*counts)
+    best = None
     for lang, cnt in zip(langs, counts):
         best = F.when(cnt == top, F.lit(lang)) if best is None else best.when(cnt == top, F.lit(lang))
     return F.when(top > 0, best).otherwise(F.lit(unknown))
 
 
+def _member(ws: tuple[str, ...]):
+    return lambda w: w.isin(*ws)
+
+
+def guess_language(df: DataFrame, text_col: str, id_col: str, out_col: str = "guess",
+                   profiles: dict[str, Sequence[str]] = LANG_PROFILES, unknown: str = "unknown") -> DataFrame:
+    """C18 on a table: words exploded in place, matched against the profile table (a broadcast
+    of fixed, small size), counted per (row, language) with map-side combining — each row's
+    words stay in their task, so at most one count per language and row is shuffled — and the
+    best language (ties → profile order) joined back to the rows."""
+    spark = df.sparkSession
+    langs = list(profiles)
+    prof = spark.createDataFrame([(w, i, l) for i, l in enumerate(langs) for w in profiles[l]],
+                                 "word STRING, _li INT, _lang STRING")
+    words = df.select(id_col, F.explode(language_words(F.col(text_col))).alias("word"))
+    hits = (words.join(F.broadcast(prof), "word")
+            .groupBy(id_col, "_li", "_lang").agg(F.count(F.lit(1)).alias("_n")))
+    best = hits.groupBy(id_col).agg(F.max_by("_lang", F.struct(F.col("_n"), -F.col("_li"))).alias(out_col))
+    return df.join(best, id_col, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.lit(unknown)))
+
+
 # ---------------------------------------------------------------- C17, E5: word segmentation
 
 def unigram_counts(df: DataFrame, col: str, max_words: int = 50000) -> DataFrame:

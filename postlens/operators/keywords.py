@@ -39,7 +39,9 @@ def top_ngrams(df: DataFrame, col: str = "content", n: int | None = 10,
     toks = T.tokens(F.col(col))
     if stopwords:
         toks = T.drop_stopwords(toks, stopwords)
-    counts = token_counts(df, T.ngrams(toks, n_min, n_max))
+    # materialise the token array once: the n-gram lambdas refer to it many times per row
+    x = df.select(toks.alias("_toks"))
+    counts = token_counts(x, T.ngrams(F.col("_toks"), n_min, n_max))
     if min_count > 1:
         counts = counts.where(F.col("cnt") >= min_count)
     return _top(counts, n)

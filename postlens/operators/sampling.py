@@ -86,10 +86,13 @@ def dedup_first(df: DataFrame, subset: str | list[str], order_col: str) -> DataF
               .select(*df.columns)
 
 
-def dedup_ids(df: DataFrame, id_col: str) -> DataFrame:
-    """One row per id (the first by the remaining columns, so the choice is deterministic)."""
-    return dedup_first(df, id_col, [c for c in df.columns if c != id_col][0]) \
-        if len(df.columns) > 1 else df.dropDuplicates([id_col])
+def dedup_ids(df: DataFrame, id_col: str, order_col: str | None = None) -> DataFrame:
+    """One row per id — the first by ``order_col`` (default: the next column), remaining
+    columns breaking ties, so the choice is deterministic."""
+    if len(df.columns) == 1:
+        return df.dropDuplicates([id_col])
+    order_col = order_col or [c for c in df.columns if c != id_col][0]
+    return dedup_first(df, id_col, order_col)
 
 
 # ---------------------------------------------------------------- G3, G4: splits

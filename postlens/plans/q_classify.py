@@ -50,14 +50,15 @@ SELECT doc_id, lang, CASE WHEN {top} > 0 THEN (CASE {case} END) ELSE 'unknown' E
 
 @register("lang_guess", _lang_sql())
 def lang_guess(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", "lang", C.guess_language(F.col("text")).alias("guess"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    g = C.guess_language(d.select("doc_id", "text"), "text", "doc_id").select("doc_id", "guess")
+    return d.select("doc_id", "lang").join(g, "doc_id")
 
 
 @register("lang_filter", f"SELECT doc_id, guess FROM ({_lang_sql()}) WHERE guess IN ('id', 'en')")
 def lang_filter(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", C.guess_language(F.col("text")).alias("guess"))
-    return d.where(F.col("guess").isin("id", "en"))
+    d = C.guess_language(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
+    return d.select("doc_id", "guess").where(F.col("guess").isin("id", "en"))
 
 
 @register("segment_tokens")

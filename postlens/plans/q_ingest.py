@@ -535,3 +535,51 @@ WITH p AS ({EVENTS_POSTS_SQL}) SELECT tweet_id, sentiment FROM p WHERE relevant
 def relevant_filter(spark, sf_dir):
     p = SE.equals(SE.equals(posts_from_events(spark, sf_dir), "relevant", True), "sentiment", 2)
     return p.select("tweet_id", "sentiment")
+
+
+# ---------------------------------------------------------------- A2, A3, A7, A9: files
+
+@register("split_roundtrip")
+def split_roundtrip(spark, sf_dir):
+    """A3 (+A9): publish the train/test splits of the documents as Parquet split folders and a
+    text-lines file under the shared checkpoint folder, then read all splits back."""
+    from postlens.operators import sampling as S
+    from postlens.streaming.ingest import scratch_path
+    root = scratch_path(spark, "splits")
+    sp = S.split_exact(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", test=0.2)
+    for name in ("train", "test"):
+        IN.write_split(sp.where(F.col("split") == name).drop("split"), root, name)
+    IN.write_lines(posts_from_documents(spark, sf_dir), scratch_path(spark, "lines"))
+    return IN.read_split(spark, root)
+
+
+@register("json_roundtrip")
+def json_roundtrip(spark, sf_dir):
+    """A2 + A1: an extended-JSON dump of the events written as JSON and read back with an
+    explicit schema, then normalised."""
+    from postlens.streaming.ingest import scratch_path
+    path = scratch_path(spark, "dump")
+    ev = table(spark, sf_dir, "events")
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    ev.select(F.struct(F.concat(F.lit("oid"), _s(F.col("event_id"))).alias("$oid")).alias("_id"),
+              _s(F.col("event_id")).alias("tweet_id"),
+              F.struct(F.concat(iso, F.lit("Z")).alias("$date")).alias("time"),
+              _s(F.col("user_id")).alias("author"), F.col("event_type").alias("content"),
+              F.lit(0).cast("long").alias("comment_count"), F.lit(0).cast("long").alias("repost_count"),
+              F.lit(0).cast("long").alias("like_count"), F.lit(0).cast("long").alias("view_count"),
+              F.struct(F.concat(iso, F.lit("Z")).alias("$date")).alias("created_at"),
+              F.lit(0).alias("__v")).write.json(path)
+    return IN.normalize_posts(spark.read.schema(IN.RAW_DUMP_SCHEMA).json(path))
+
+
+@register("labelled_dir")
+def labelled_dir(spark, sf_dir):
+    """Documents written as one text file each under pos/ (quality 1) and neg/ (quality 0),
+    then read back with labels from the folder names."""
+    from postlens.streaming.ingest import scratch_path
+    root = scratch_path(spark, "corpus")
+    lab = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    folder = F.when(F.col("quality") == 1, F.lit("pos")).otherwise(F.lit("neg"))
+    (lab.select(folder.alias("folder"), "doc_id", "text").repartition("folder", "doc_id")
+     .write.partitionBy("folder", "doc_id").text(root))
+    return IN.read_labelled_dir(spark, root).select("text", "label")

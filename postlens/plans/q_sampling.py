@@ -123,13 +123,18 @@ def _labelled_splits(spark, sf_dir):
     """Labelled posts split 75/25 by hash rank (the train and test sets of the catalogue)."""
     lab = table(spark, sf_dir, "labels").select("doc_id")
     sp = S.split_exact(lab, "doc_id", test=0.25, seed=SEED)
-    posts = posts_from_documents(spark, sf_dir)
-    sp = sp.join(posts, sp.doc_id == posts.tweet_id, "inner").select("tweet_id", "content", "split")
+    sp = sp.join(_raw_posts(spark, sf_dir), sp.doc_id == F.col("tweet_id"), "inner") \
+        .select("tweet_id", "content", "split")
     return (sp.where("split = 'train'").drop("split"), sp.where("split = 'test'").drop("split"))
 
 
+def _raw_posts(spark, sf_dir):
+    """Posts with the raw document text (which holds exact copies, unlike the decorated view)."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tweet_id"), F.col("text").alias("content"))
+
+
 _LSPLIT_SQL = f"""
-p AS ({POSTS_SQL}),
+p AS (SELECT doc_id AS tweet_id, text AS content FROM documents),
 lk AS (SELECT doc_id, {_key_sql('doc_id')} AS key FROM labels),
 lr AS (SELECT doc_id, row_number() OVER (ORDER BY key, doc_id) AS rank, count(*) OVER () AS n FROM lk),
 ls AS (SELECT doc_id, CASE WHEN rank <= ceil(n * 0.25 - 1e-9) THEN 'test' ELSE 'train' END AS split FROM lr),
@@ -166,8 +171,7 @@ WHERE content NOT IN (SELECT content FROM train) AND content NOT IN (SELECT cont
 """)
 def anti_exclude(spark, sf_dir):
     train, test = _labelled_splits(spark, sf_dir)
-    pool = posts_from_documents(spark, sf_dir).select("tweet_id", "content")
-    return L.exclude_seen(pool, [train, test], "content")
+    return L.exclude_seen(_raw_posts(spark, sf_dir), [train, test], "content")
 
 
 @register("id_set_ops", f"""
@@ -186,3 +190,36 @@ def id_set_ops(spark, sf_dir):
     return (both.withColumn("part", F.lit("both"))
             .unionByName(only_a.withColumn("part", F.lit("only_a")))
             .unionByName(only_b.withColumn("part", F.lit("only_b"))))
+
+
+@register("dedup_ids", """
+SELECT tweet_id, time, content FROM (
+  SELECT concat(CAST(user_id AS VARCHAR), '-', event_type) AS tweet_id, ts AS time, CAST(event_id AS VARCHAR) AS content,
+         row_number() OVER (PARTITION BY concat(CAST(user_id AS VARCHAR), '-', event_type)
+                            ORDER BY ts, CAST(event_id AS VARCHAR)) AS rn
+  FROM events) WHERE rn = 1
+""")
+def dedup_ids(spark, sf_dir):
+    """One row per post id (the first by time) in a feed with repeated ids."""
+    ev = table(spark, sf_dir, "events")
+    feed = ev.select(F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("event_type")).alias("tweet_id"),
+                     F.col("ts").alias("time"), F.col("event_id").cast("string").alias("content"))
+    return S.dedup_ids(feed, "tweet_id")
+
+
+@register("concat_splits", f"""
+WITH p AS ({POSTS_SQL}),
+k AS (SELECT tweet_id, content, author, {_key_sql('tweet_id')} AS key FROM p),
+r AS (SELECT *, row_number() OVER (ORDER BY key, tweet_id) AS rank, count(*) OVER () AS n FROM k)
+SELECT tweet_id, content, author, NULL::VARCHAR AS lang, 'a' AS part FROM r WHERE rank <= ceil(n * 0.5 - 1e-9)
+UNION ALL
+SELECT p.tweet_id, p.content, NULL AS author, p.lang, 'b' AS part FROM p JOIN r USING (tweet_id)
+WHERE r.rank > ceil(r.n * 0.5 - 1e-9)
+""")
+def concat_splits(spark, sf_dir):
+    """Two halves with different columns appended by name (missing columns NULL)."""
+    posts = posts_from_documents(spark, sf_dir)
+    sp = S.split_exact(posts, "tweet_id", test=0.5, seed=SEED)
+    a = sp.where("split = 'test'").select("tweet_id", "content", "author").withColumn("part", F.lit("a"))
+    b = sp.where("split = 'train'").select("tweet_id", "content", "lang").withColumn("part", F.lit("b"))
+    return S.concat(a, b)

@@ -107,8 +107,8 @@ FROM w WHERE len(words) > 0
   AND list_sum(list_transform(words, lambda x: length(x))) / len(words) >= 2.5
 """)
 def avg_word_length(spark, sf_dir):
-    words = T.split_ws(F.col("content"))
-    out = _posts(spark, sf_dir).select("tweet_id", T.avg_word_length(words).alias("avg_word_len"))
+    words = _posts(spark, sf_dir).select("tweet_id", T.split_ws(F.col("content")).alias("_w"))
+    out = words.select("tweet_id", T.avg_word_length(F.col("_w")).alias("avg_word_len"))
     return out.where(F.col("avg_word_len") >= 2.5)
 
 
@@ -183,3 +183,16 @@ SELECT * FROM (
 """)
 def term_cloud_by_lang(spark, sf_dir):
     return K.term_frequencies(_posts(spark, sf_dir), n=50, by="lang")
+
+
+@register("squeeze_repeats")
+def squeeze_repeats(spark, sf_dir):
+    """Three or more of the same character become one (needs a back-reference: rows-only)."""
+    return _posts(spark, sf_dir).select("tweet_id", T.squeeze_repeats("content").alias("content"))
+
+
+@register("nfkc_emoji")
+def nfkc_emoji(spark, sf_dir):
+    """Unicode NFKC (full-width folding) and emoji names, the two Python-side steps."""
+    from postlens.functions.unicode import demojize, nfkc
+    return _posts(spark, sf_dir).select("tweet_id", demojize(nfkc(F.col("content"))).alias("content"))
