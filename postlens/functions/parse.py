@@ -26,7 +26,7 @@ def js_parse_float(s: Column) -> Column:
     """JavaScript ``parseFloat``: the longest leading decimal literal (after leading whitespace);
     NULL when there is none (JavaScript's NaN)."""
     lit = F.regexp_extract(s, r"^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)", 1)
-    return F.when(lit != "", lit.cast("double"))
+    return F.nullif(lit, F.lit("")).cast("double")
 
 
 def js_round(x: Column) -> Column:
@@ -42,32 +42,32 @@ def parse_metrics(c, locale: str = "reference") -> Column:
     ``locale='id'`` reads dots as thousands separators); ``rb`` ×1e3, ``jt`` ×1e6; unknown labels
     are ignored; when a label repeats, the later item wins; values are rounded."""
     s = F.lower(_col(c))
-    pat = "(?U)" + ENGAGEMENT_ITEM
-    items = F.arrays_zip(F.regexp_extract_all(s, F.lit(pat), 1).alias("num"),
-                         F.regexp_extract_all(s, F.lit(pat), 2).alias("unit"),
-                         F.regexp_extract_all(s, F.lit(pat), 3).alias("label"))
-
-    def value(item: Column) -> Column:
-        raw = item["num"]
-        if locale == "id":
-            raw = F.regexp_replace(raw, r"\.", "")
-        num = js_parse_float(F.regexp_replace(raw, "^([^,]*),", "$1."))
-        mult = (F.when(item["unit"] == "rb", F.lit(1000.0))
-                .when(item["unit"] == "jt", F.lit(1_000_000.0)).otherwise(F.lit(1.0)))
-        return js_round(num * mult)
+    whole = F.regexp_extract_all(s, F.lit("(?U)" + ENGAGEMENT_ITEM), 0)     # one scan of the text
+    anchored = "(?U)^" + ENGAGEMENT_ITEM.replace("(?=,|$)", "$")
+
+    def parse_item(it: Column) -> Column:
+        label = F.regexp_replace(F.regexp_extract(it, anchored, 3), r"(?U)^\s+|\s+$", "")
+        value = _item_value(F.regexp_extract(it, anchored, 1), F.regexp_extract(it, anchored, 2), locale)
+        return F.struct(label.alias("label"), value.alias("value"))
 
     # One left-to-right fold over the items: a later item with the same label overwrites.
     by_metric = {m: lab for lab, m in METRIC_LABELS.items()}
     zero = F.struct(*[F.lit(None).cast("long").alias(m) for m in METRICS])
 
-    parsed = F.transform(items, lambda it: F.struct(
-        F.regexp_replace(it["label"], r"(?U)^\s+|\s+$", "").alias("label"), value(it).alias("value")))
-
     def step(acc: Column, it: Column) -> Column:
         return F.struct(*[F.when(it["label"] == by_metric[m], it["value"]).otherwise(acc[m]).alias(m)
                           for m in METRICS])
 
-    return F.aggregate(parsed, zero, step)
+    return F.aggregate(F.transform(whole, parse_item), zero, step)
+
+
+def _item_value(raw: Column, unit: Column, locale: str) -> Column:
+    if locale == "id":
+        raw = F.regexp_replace(raw, r"\.", "")
+    num = js_parse_float(F.regexp_replace(raw, "^([^,]*),", "$1."))
+    mult = (F.when(unit == "rb", F.lit(1000.0))
+            .when(unit == "jt", F.lit(1_000_000.0)).otherwise(F.lit(1.0)))
+    return js_round(num * mult)
 
 
 def parse_km(c) -> Column:

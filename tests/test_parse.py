@@ -50,3 +50,11 @@ def test_relevance_schema(spark):
     df = spark.createDataFrame([('{"is_related_to_ruu_tni": true, "confidence": 0.9}',)], "r STRING")
     p = df.select(P.parse_label_response("r", P.RELEVANCE_SCHEMA, default=False).alias("p")).first()["p"]
     assert p["value"] is True and p["parsed"]["confidence"] == 0.9
+
+
+def test_engagement_edge_items(spark):
+    got = _metrics(spark, ["5 suka,suka", ",5 suka", "2 rb posting ulang, 9 markah, 1 Tayangan", "12, suka"])
+    assert got[0]["likes"] is None                    # the second item has no number: NaN
+    assert got[1]["likes"] == 1                       # ",5" reads as 0.5, rounded half up
+    assert (got[2]["retweets"], got[2]["bookmarks"], got[2]["views"]) == (2000, 9, 1)
+    assert got[3]["likes"] == 12
