@@ -86,11 +86,13 @@ def read_split(spark: SparkSession, root: str, split: str | None = None) -> Data
 
 
 def read_labelled_dir(spark: SparkSession, root: str, labels=(("pos", 1), ("neg", 0))) -> DataFrame:
-    """Every text file under ``pos/`` → label 1, ``neg/`` → 0; other folders skipped."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .text(root).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path")))
+    """Every text file under ``pos/`` → label 1, ``neg/`` → 0 (also ``<key>=pos/`` folders
+    as Spark writes them); other folders skipped.  One row per file."""
+    df = (spark.read.option("recursiveFileLookup", True)
+          .text(root, wholetext=True)
+          .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path")))
     names = "|".join(re.escape(n) for n, _ in labels)
-    folder = F.regexp_extract(F.col("path"), f"/({names})/[^/]*$", 1)
+    folder = F.regexp_extract(F.col("path"), f"/(?:[^/=]*=)?({names})/[^/]*$", 1)
     label = None
     for name, value in labels:
         label = (F.when(folder == name, F.lit(value)) if label is None
