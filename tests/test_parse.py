@@ -58,3 +58,30 @@ def test_engagement_edge_items(spark):
     assert got[1]["likes"] == 1                       # ",5" reads as 0.5, rounded half up
     assert (got[2]["retweets"], got[2]["bookmarks"], got[2]["views"]) == (2000, 9, 1)
     assert got[3]["likes"] == 12
+
+
+def _js_metrics(text):
+    """Left-to-right scan with JavaScript semantics (Python re behaves the same here)."""
+    import math
+    import re
+    out = {}
+    for m in re.finditer(r"([\d.,]+)\s*(rb|jt)?\s*([a-z\s]+?)(?=,|$)", text.lower()):
+        lit = re.match(r"^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)", m.group(1).replace(",", ".", 1))
+        num = float(lit.group(1)) if lit else math.nan
+        num *= {"rb": 1000, "jt": 1_000_000}.get(m.group(2), 1)
+        key = P.METRIC_LABELS.get(m.group(3).strip())
+        if key:
+            out[key] = None if math.isnan(num) else math.floor(num + 0.5)
+    return {k: out.get(k) for k in P.METRICS}
+
+
+def test_engagement_random_strings_match_scan(spark):
+    import random
+    rnd = random.Random(11)
+    parts = ["1,2", "5", "3.4", ",5", "12,", "7", " rb", " jt", "rb", " suka", " balasan", " tayangan",
+             " posting ulang", " markah", " entah", ", ", ",", " ", "x", "  suka"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 9))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, s STRING")
+    got = [r[0].asDict() for r in df.orderBy("i").select(P.parse_metrics("s")).collect()]
+    for t, g in zip(texts, got):
+        assert g == _js_metrics(t), t
