@@ -336,7 +336,15 @@ def filter_min_content(spark, sf_dir):
     return IN.min_content(p, "content", min_words=4)
 
 
-@register("ingest_v1")
+@register("ingest_v1", f"""
+WITH {_V1_SQL},
+c AS (SELECT author, coalesce(try_strptime(time, '%Y-%m-%dT%H:%M:%S.%gZ'), TIMESTAMP '{DEFAULT_TS}') AS time,
+             trim(regexp_replace(content, '@\\S+', '', 'g')) AS content, turn, conv_id
+      FROM v1 WHERE time IS NOT NULL AND content IS NOT NULL)
+SELECT author, time, content, CAST(conv_id % 9 AS BIGINT) AS comment_count, CAST(turn AS BIGINT) AS like_count,
+       CAST(0 AS BIGINT) AS repost_count, CAST(0 AS BIGINT) AS view_count
+FROM c WHERE length(content) > 0 AND len(string_split(content, ' ')) >= 4
+""")
 def ingest_v1(spark, sf_dir):
     """A11 → C5 → C21 → B4 → C15 over raw v1 items."""
     valid, _ = IN.validate_posts(_v1_items(spark, sf_dir), mode="row")
@@ -539,7 +547,12 @@ def relevant_filter(spark, sf_dir):
 
 # ---------------------------------------------------------------- A2, A3, A7, A9: files
 
-@register("split_roundtrip")
+@register("split_roundtrip", """
+WITH k AS (SELECT doc_id, lang, ('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT AS key
+           FROM documents),
+r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY key, doc_id) AS rank, count(*) OVER () AS n FROM k)
+SELECT doc_id, lang, CASE WHEN rank <= ceil(n * 0.2 - 1e-9) THEN 'test' ELSE 'train' END AS split FROM r
+""")
 def split_roundtrip(spark, sf_dir):
     """A3 (+A9): publish the train/test splits of the documents as Parquet split folders and a
     text-lines file under the shared checkpoint folder, then read all splits back."""
@@ -553,7 +566,12 @@ def split_roundtrip(spark, sf_dir):
     return IN.read_split(spark, root)
 
 
-@register("json_roundtrip")
+@register("json_roundtrip", """
+SELECT CAST(event_id AS VARCHAR) AS tweet_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') AS time,
+       CAST(user_id AS VARCHAR) AS author, event_type AS content, CAST(0 AS BIGINT) AS comment_count,
+       CAST(0 AS BIGINT) AS repost_count, CAST(0 AS BIGINT) AS like_count, CAST(0 AS BIGINT) AS view_count
+FROM events
+""")
 def json_roundtrip(spark, sf_dir):
     """A2 + A1: an extended-JSON dump of the events written as JSON and read back with an
     explicit schema, then normalised."""
@@ -572,7 +590,10 @@ def json_roundtrip(spark, sf_dir):
     return IN.normalize_posts(spark.read.schema(IN.RAW_DUMP_SCHEMA).json(path))
 
 
-@register("labelled_dir")
+@register("labelled_dir", """
+SELECT d.text || chr(10) AS text, CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS label
+FROM labels l JOIN documents d USING (doc_id)
+""")
 def labelled_dir(spark, sf_dir):
     """Documents written as one text file each under pos/ (quality 1) and neg/ (quality 0),
     then read back with labels from the folder names."""
