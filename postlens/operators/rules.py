@@ -9,6 +9,7 @@ external labeller callable over Arrow batches and parses its responses (C22).
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,6 @@ from pyspark.sql import types as T
 
 from postlens.functions import text as TX
 from postlens.functions.parse import SENTIMENT_SCHEMA, parse_label_response
-from postlens.operators.search import any_word_pattern
 
 
 @dataclass(frozen=True)
@@ -47,30 +47,53 @@ class RuleSet:
     label_type: str = "boolean"
 
 
-def _matches(rule: Rule, text: Column, bare: Column, tags: Column) -> Column:
+NONWORD = r"[^\p{L}\p{N}_]+"
+
+
+def padded_words(c: Column) -> Column:
+    """Lower-cased text with every run of non-word characters turned into one space, padded
+    with a space on both sides: a phrase matches as whole words by a plain substring test."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(c), NONWORD, " "), F.lit(" "))
+
+
+def phrase_key(phrase: str) -> str:
+    """The padded form of a phrase (words separated by single spaces)."""
+    return " " + " ".join(w for w in re.split(r"[^\w]+", phrase.lower()) if w) + " "
+
+
+def _any_phrase(target: Column, phrases) -> Column:
+    cond = F.lit(False)
+    for p in phrases:
+        cond = cond | target.contains(phrase_key(p))
+    return cond
+
+
+def _matches(rule: Rule, text: Column, bare: Column, tags: Column, bare_len: Column) -> Column:
     cond = F.lit(True)
     target = bare if rule.text_only else text
     for group in rule.all_of:
-        cond = cond & target.rlike(any_word_pattern(group))
+        cond = cond & _any_phrase(target, group)
     if rule.none_of:
-        cond = cond & ~target.rlike(any_word_pattern(rule.none_of))
+        cond = cond & ~_any_phrase(target, rule.none_of)
     if rule.tags:
         cond = cond & F.arrays_overlap(tags, F.array(*[F.lit(t.lower()) for t in rule.tags]))
     if rule.hashtag_only:
-        cond = cond & (F.length(bare) == 0) & (F.size(tags) > 0)
+        cond = cond & (bare_len == 0) & (F.size(tags) > 0)
     return cond
 
 
 def rule_label(df: DataFrame, rules: RuleSet, col: str = "content") -> DataFrame:
-    """Adds ``label``, ``confidence``, ``reason`` and ``rule`` (the first matching rule)."""
-    text = F.lower(F.col(col))
-    bare = TX.remove_hashtags(text)
-    tags = TX.extract_hashtags(text)
-    x = df.withColumn("_t", text).withColumn("_b", bare).withColumn("_h", tags)
-    t, b, h = F.col("_t"), F.col("_b"), F.col("_h")
+    """Adds ``label``, ``confidence``, ``reason`` and ``rule`` (the first matching rule).
+    Phrases match whole words, insensitive to case, punctuation and repeated spaces between
+    words; ``text_only`` rules look at the text without hashtags."""
+    low = F.lower(F.col(col))
+    bare = TX.remove_hashtags(low)
+    x = (df.withColumn("_t", padded_words(low)).withColumn("_b", padded_words(bare))
+         .withColumn("_bl", F.length(bare)).withColumn("_h", TX.extract_hashtags(low)))
+    t, b, h, bl = F.col("_t"), F.col("_b"), F.col("_h"), F.col("_bl")
     label = conf = reason = name = None
     for r in rules.rules:
-        m = _matches(r, t, b, h)
+        m = _matches(r, t, b, h, bl)
         lv, cv = F.lit(r.label).cast(rules.label_type), F.lit(float(r.confidence))
         rv, nv = F.lit(r.reason), F.lit(r.name)
         label = F.when(m, lv) if label is None else label.when(m, lv)
@@ -83,7 +106,7 @@ def rule_label(df: DataFrame, rules: RuleSet, col: str = "content") -> DataFrame
             .withColumn("confidence", conf.otherwise(dc))
             .withColumn("reason", reason.otherwise(F.lit(rules.default_reason)))
             .withColumn("rule", name.otherwise(F.lit("default")))
-            .drop("_t", "_b", "_h"))
+            .drop("_t", "_b", "_bl", "_h"))
 
 
 # ---------------------------------------------------------------- fixed rule data of the study

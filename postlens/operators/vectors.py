@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.operators.sampling import exact_rank, positive_bucket
+from postlens.session import checkpoint_dir
 
 MAX_MODEL_BYTES = 64 * 1024 * 1024
 
@@ -191,7 +192,10 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int, query: DataFrame | Non
     order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(c_n - 1)),
                                      lambda i: F.struct(F.element_at("_cd", i + 1).alias("d"), i.alias("i"))))
     qc = qc.withColumn("_probe", F.transform(F.slice(order, 1, probe), lambda e: e["i"]))
-    qc = qc.select("_qid", "_qv", "_lb", "_probe").persist()      # read by both search rounds
+    checkpoint_dir(spark)
+    # read by both search rounds: written once to the shared checkpoint folder (cuts lineage,
+    # survives executor loss, holds no executor memory)
+    qc = qc.select("_qid", "_qv", "_lb", "_probe").checkpoint(eager=True)
 
     def candidates(cells_col: str, src: DataFrame) -> DataFrame:
         e = src.select("_qid", "_qv", F.explode(cells_col).alias("_cell"))
@@ -201,7 +205,7 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int, query: DataFrame | Non
         w = Window.partitionBy("_qid").orderBy("distance", "_rid")
         return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    first = top(candidates("_probe", qc)).persist()                # k-th distance and final merge
+    first = top(candidates("_probe", qc)).checkpoint(eager=True)   # k-th distance and final merge
     kth = first.groupBy("_qid").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_dk"))
     # certification: every unprobed cell that the triangle inequality cannot exclude
     chk = qc.join(kth, "_qid", "left").withColumn(

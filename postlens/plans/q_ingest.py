@@ -195,30 +195,37 @@ def parse_label_response(spark, sf_dir):
 
 def _rules_sql(rules: R.RuleSet, src: str, id_col: str = "tweet_id") -> str:
     """The same first-match rule chain in DuckDB SQL (oracle only)."""
+    def any_of(target, phrases):
+        return "(" + " OR ".join(f"contains({target}, '{R.phrase_key(p)}')" for p in phrases) + ")"
+
     def cond(r: R.Rule) -> str:
         parts = []
         target = "b" if r.text_only else "t"
         for g in r.all_of:
-            parts.append(f"regexp_matches({target}, '{SE.any_word_pattern(g)}')")
+            parts.append(any_of(target, g))
         if r.none_of:
-            parts.append(f"NOT regexp_matches({target}, '{SE.any_word_pattern(r.none_of)}')")
+            parts.append("NOT " + any_of(target, r.none_of))
         if r.tags:
             parts.append("list_has_any(h, [" + ", ".join(f"'{x.lower()}'" for x in r.tags) + "])")
         if r.hashtag_only:
-            parts.append("length(b) = 0 AND len(h) > 0")
+            parts.append("bl = 0 AND len(h) > 0")
         return " AND ".join(parts) or "TRUE"
     typ = "BOOLEAN" if rules.label_type == "boolean" else "INTEGER"
 
     def lit(v):
         return "NULL" if v is None else (str(v).upper() if isinstance(v, bool) else str(v))
     whens = lambda f: " ".join(f"WHEN {cond(r)} THEN {f(r)}" for r in rules.rules)
+    nw = "[^\\p{L}\\p{N}_]+"
     return f"""
 WITH src AS ({src}),
-x AS (SELECT {id_col}, lower(content) AS t,
+y AS (SELECT {id_col}, lower(content) AS low,
              trim(regexp_replace(regexp_replace(lower(content), '(^|[^\\p{{L}}\\p{{N}}_])#[\\p{{L}}\\p{{N}}_]+', '\\1', 'g'),
-                                 '\\s+', ' ', 'g')) AS b,
-             regexp_extract_all(lower(content), '#[\\p{{L}}\\p{{N}}_]+') AS h
-      FROM src)
+                                 '\\s+', ' ', 'g')) AS bare
+      FROM src),
+x AS (SELECT {id_col}, ' ' || regexp_replace(low, '{nw}', ' ', 'g') || ' ' AS t,
+             ' ' || regexp_replace(bare, '{nw}', ' ', 'g') || ' ' AS b, length(bare) AS bl,
+             regexp_extract_all(low, '#[\\p{{L}}\\p{{N}}_]+') AS h
+      FROM y)
 SELECT {id_col},
        CAST(CASE {whens(lambda r: lit(r.label))} ELSE {lit(rules.default_label)} END AS {typ}) AS label,
        CAST(CASE {whens(lambda r: repr(float(r.confidence)))} ELSE {lit(rules.default_confidence)} END AS DOUBLE) AS confidence,

@@ -78,6 +78,15 @@ def write_split(df: DataFrame, root: str, split: str, mode: str = "overwrite") -
     df.write.mode(mode).parquet(f"{root.rstrip('/')}/split={split}")
 
 
+def write_posts_by_month(df: DataFrame, root: str, time_col: str = "time", mode: str = "append") -> None:
+    """Store posts partitioned by month (``month=YYYY-MM``) so time-range queries (B6, F2) read
+    only the months they need (partition pruning), sorted by time inside each file so Parquet
+    row-group statistics skip the rest."""
+    out = df.withColumn("month", F.date_format(F.col(time_col), "yyyy-MM"))
+    (out.repartition("month").sortWithinPartitions(time_col)
+     .write.mode(mode).partitionBy("month").parquet(root))
+
+
 def read_split(spark: SparkSession, root: str, split: str | None = None) -> DataFrame:
     """A3: one split, or all splits with a ``split`` column (partition pruning on ``split``)."""
     if split is None:

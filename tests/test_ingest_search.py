@@ -136,3 +136,12 @@ def test_stream_matches_batch(spark, tmp_path):
     batch = TS.add_scores(TS.weekly_counts(df, spine=False))
     key = lambda r: (r["week_end"], r["count_neg"], r["count_neu"], r["count_pos"])
     assert sorted(map(key, weekly.collect())) == sorted(map(key, batch.collect()))
+
+
+def test_month_partitions_prune(spark, tmp_path):
+    df = spark.createDataFrame([("1", "2024-01-05 10:00:00"), ("2", "2024-02-05 10:00:00")], "tweet_id STRING, t STRING") \
+        .withColumn("time", F.col("t").cast("timestamp_ntz")).drop("t")
+    IN.write_posts_by_month(df, str(tmp_path / "posts"))
+    back = spark.read.parquet(str(tmp_path / "posts")).where(F.col("month") == "2024-02")
+    assert [r["tweet_id"] for r in back.collect()] == ["2"]
+    assert "PartitionFilters: [isnotnull(month" in back._jdf.queryExecution().executedPlan().toString()
