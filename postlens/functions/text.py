@@ -248,12 +248,18 @@ def zero_pad(c, width: int = 3) -> Column:
 # ---------------------------------------------------------------- C11: HTML to text
 
 def html_to_text(c, variant: str = "strip") -> Column:
-    """C11: page text (script/style/comments dropped) then one of four finishes:
+    """C11: page text (script/style/comments dropped) then one of four finishes (see
+    ``finish_page_text``)."""
+    from postlens.functions.unicode import html_get_text
+    return finish_page_text(html_get_text(_col(c)), variant)
+
+
+def finish_page_text(t: Column, variant: str = "strip") -> Column:
+    """C11 finishes of extracted page text:
     ``alnum``  – bracketed parts removed, only ASCII letters, digits, whitespace, comma, quote kept;
     ``notags`` – leftover tag-like text removed;  ``nfkc`` – NFKC, control characters removed;
     ``strip``  – surrounding whitespace removed."""
-    from postlens.functions.unicode import html_get_text, nfkc
-    t = html_get_text(_col(c))
+    from postlens.functions.unicode import nfkc
     if variant == "alnum":
         t = F.regexp_replace(t, r"\[[^]]*\]", "")
         return F.regexp_replace(t, r"[^a-zA-Z0-9\s,']", "")

@@ -406,8 +406,9 @@ def extract_posts(spark, sf_dir):
 
 @register("html_text")
 def html_text(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", *[TX.html_to_text("html", v).alias(f"text_{v}")
+    from postlens.functions.unicode import html_get_text
+    pages = table(spark, sf_dir, "pages").select("page_id", html_get_text("html").alias("_text"))
+    return pages.select("page_id", *[TX.finish_page_text(F.col("_text"), v).alias(f"text_{v}")
                                      for v in ("alnum", "notags", "nfkc", "strip")])
 
 
