@@ -168,8 +168,10 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int, query: DataFrame | Non
     ref = df.select(F.col(id_col).alias("_rid"), as_double_array(vec_col).alias("_rv"))
     q = (df if self_join else query).select(F.col(id_col).alias("_qid"), as_double_array(vec_col).alias("_qv"))
     if cells is None:
+        # about one distance tile of points per cell: pruning where the data is clustered, few
+        # wasted cell visits where it is not (capped so the cell model stays broadcastable)
         n = ref.count()
-        cells = max(1, min(4096, int(math.sqrt(max(n, 1)) / 2)))
+        cells = max(2, min(4096, n // tile))
     assign, centers = _cell_model(ref, cells, seed)
     c_n = len(centers)
     ref = assign(ref)
