@@ -39,15 +39,21 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only when unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    On a cluster the setting must be there, because driver and executors share no local folder.
+    Only a single-process session (``local[...]``, as in tests) gets a local folder when unset."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir()
     if conf:
-        if spark.sparkContext.getCheckpointDir() is None:
+        if current is None:
             spark.sparkContext.setCheckpointDir(conf)
         return conf
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="postlens-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
