@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import common, dac, packing
+from postlens.llm import byte_bpe, common, dac, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,6 +35,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_ids(manifest, out)
 
 
+@register("op4_byte_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_decode(common.table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE),
+                                  public_tokenizers.PATTERN)
+
+
 @register("op6_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
+@register("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
