@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import byte_bpe, common, dac, packing, token_counts
+from postlens.llm import byte_bpe, chat, common, dac, packing, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,6 +35,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_ids(manifest, out)
 
 
+@register("op2_warc")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = common.run_dir(spark, "op2")
+    warc.write_warc(common.table(spark, sf_dir, "pages"), out)
+    return warc.read_warc(spark, out)
+
+
 @register("op4_byte_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(common.table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE),
@@ -46,6 +53,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+@register("op7_chat_format")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    out = common.run_dir(spark, "op7")
+    chat.write_chats(rows, out)
+    return chat.read_chats(spark, out)
+
+
 @register("op8_token_counts")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
