@@ -9,12 +9,13 @@ cached byte strings is far cheaper than encoding the same words again.
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 
 END_ID = 2
 #: Entries kept per Python worker; beyond it the cache starts afresh (nothing is lost, only time).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 #: Longest word that is worth caching (characters).
 CACHE_WORD_CHARS = 64
 
@@ -31,6 +32,16 @@ class WordEncoder(dict):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True      # their strings in a text are ordinary text
         self[""] = b""
+        # the byte-level spelling of accented letters, as the library's own pre-tokenizer gives it
+        from tokenizers.pre_tokenizers import ByteLevel
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spell(chr(c))[0][0] for c in range(0xDF, 0x100)}
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of lower-case letters: normalising and splitting leave them as they are, so the
+        library's model is asked directly."""
+        ids = [t.id for t in self.library.model.tokenize(word if word.isascii() else word.translate(self.spelling))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _ids(self, word: str) -> bytes:
         return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -38,8 +49,10 @@ class WordEncoder(dict):
     def __missing__(self, word: str) -> bytes:
         # letters followed by marks are two pre-tokens, the letters in lower case
         m = _PLAIN.fullmatch(word)
-        if m and (m[2] or not word.islower()):
+        if m and (m[2] or m[1] != m[1].lower()):
             ids = self[m[1].lower()] + (self[m[2]] if m[2] else b"")
+        elif m:
+            ids = self._letters(word)
         else:
             ids = self._ids(word)
         if len(word) <= CACHE_WORD_CHARS:
