@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import byte_bpe, chat, common, dac, packing, quality, token_counts, warc
+from postlens.llm import byte_bpe, chat, common, dac, packing, quality, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +42,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, out)
 
 
+@register("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 @register("op4_byte_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(common.table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE),
