@@ -1,8 +1,8 @@
 """Operator 6: order-preserving packing by dynamic programming.
 
 Documents keep their doc_id order.  A sequence is a window between two cuts of at most ``size``
-tokens.  Cuts may fall after any token, at a price: none after a document, ``SENTENCE`` after a
-sentence, ``INNER`` elsewhere.  With ``f[j]`` the least cost of a packing that ends in a cut at
+tokens.  Every sequence has a price, and so has its cut unless a document ends there: ``SENTENCE``
+after a sentence, ``INNER`` elsewhere.  With ``f[j]`` the least cost of a packing that ends in a cut at
 position ``p[j]``::
 
     f[j] = price(j) + min over i < j, p[j] - p[i] <= size of  f[i] + padding(p[j] - p[i])
@@ -29,8 +29,10 @@ from postlens.llm import common
 from postlens.llm.token_bytes import END_ID, encoder
 
 SIZE = 4096
-#: Prices of a cut in padding tokens.
-SENTENCE, INNER = 1, 12
+#: Prices in padding tokens: of every sequence (so that short ones are made only where they save
+#: more), and of a cut after a document, after a sentence and elsewhere.
+SEQUENCE, DOCUMENT, SENTENCE, INNER = 16, 0, 1, 12
+PRICES = (SEQUENCE + DOCUMENT, SEQUENCE + SENTENCE, SEQUENCE + INNER)
 STRIDE = 64
 #: Tokens packed by one run of the dynamic program (bounds memory; the tail of a run is closed).
 RUN_TOKENS = 2_000_000
@@ -41,57 +43,56 @@ DOC, SENT, MID = 0, 1, 2
 def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted cut positions (0 and the end included) and their kinds."""
     total = int(doc_ends[-1])
-    kind = {}
-    for p in sentence_ends.tolist():
-        kind[p] = SENT
-    for p in doc_ends.tolist():
-        kind[p] = DOC
-    kind[0] = DOC
-    natural = np.array(sorted(kind), np.int64)
-    extra = [natural[:-1][np.diff(natural) > stride], natural[1:][np.diff(natural) > stride]]
-    for a, b in zip(*(e.tolist() for e in extra)):
-        for p in range(a + stride, b, stride):
-            kind.setdefault(p, MID)
-    # full windows and power-of-two tails counted from the start and from the end of the run
-    for p in range(size, total, size):
-        kind.setdefault(p, MID)
-    step = 1
-    while step <= size:
-        if total - step > 0:
-            kind.setdefault(total - step, MID)
-        step *= 2
-    rest = total % size
-    at = total - rest
-    for k in reversed(range(size.bit_length())):
-        if rest >> k & 1:
-            at += 1 << k
-            if 0 < at < total:
-                kind.setdefault(at, MID)
-    positions = np.array(sorted(kind), np.int64)
-    return positions, np.array([kind[p] for p in positions.tolist()], np.int8)
-
-
-def best_cuts(positions: np.ndarray, kinds: np.ndarray, size: int, prices=(0, SENTENCE, INNER)) -> list[int]:
+    natural = np.unique(np.concatenate([[0], doc_ends, sentence_ends])).astype(np.int64)
+    # between natural cuts that lie far apart, one every ``stride`` tokens
+    gaps = np.maximum((np.diff(natural) - 1) // stride, 0)
+    nth = np.arange(gaps.sum()) - np.repeat(np.cumsum(gaps) - gaps, gaps) + 1
+    inner = np.repeat(natural[:-1], gaps) + nth * stride
+    # full windows counted from the start; powers of two from the end, and the parts of what remains
+    powers = 1 << np.arange(size.bit_length())
+    rest = powers[::-1][(total % size) & powers[::-1] > 0]
+    tail = total - total % size + np.concatenate([[0], np.cumsum(rest)])
+    middle = np.concatenate([inner, np.arange(size, total, size), total - powers, tail])
+    positions = np.concatenate([[0], doc_ends, sentence_ends, middle[(middle > 0) & (middle < total)]]).astype(np.int64)
+    kinds = np.repeat([DOC, SENT, MID], [1 + len(doc_ends), len(sentence_ends), len(positions) - 1 - len(doc_ends) - len(sentence_ends)])
+    order = np.lexsort((kinds, positions))
+    positions, kinds = positions[order], kinds[order]
+    first = np.concatenate([[True], positions[1:] != positions[:-1]])
+    return positions[first], kinds[first]
+
+
+def best_cuts(positions: np.ndarray, kinds: np.ndarray, size: int, prices=PRICES) -> list[int]:
     """Positions of the cheapest packing's cuts, first and last included."""
-    p, price = positions.tolist(), [prices[k] for k in kinds.tolist()]
-    index = {x: i for i, x in enumerate(p)}
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k <= size]
-    f, back = [0] * len(p), [0] * len(p)
+    # windows whose length is a power of two: pairs (j, i), in the order of j
+    ends, starts = [], []
+    for k in range(size.bit_length()):
+        at = np.searchsorted(positions, positions - (1 << k))
+        hit = np.flatnonzero(positions[at] == positions - (1 << k))
+        ends.append(hit)
+        starts.append(at[hit])
+    ends, starts = np.concatenate(ends), np.concatenate(starts)
+    order = np.argsort(ends, kind="stable")
+    starts = starts[order].tolist()
+    upto = np.searchsorted(ends[order], np.arange(len(positions)), side="right").tolist()
+    p, price = positions.tolist(), np.array(prices)[kinds].tolist()
+    f, back, key = [0] * len(p), [0] * len(p), [0] * len(p)    # key: f[i] + p[i]
     queue: deque[int] = deque([0])
-    key = [0] * len(p)                                         # f[i] + p[i]
+    seen = upto[0]
     for j in range(1, len(p)):
         x = p[j]
         while p[queue[0]] < x - size:
             queue.popleft()
         i = queue[0]
-        best, at = key[i] + size - x, i
-        for w in powers:
-            k = index.get(x - w)
-            if k is not None and f[k] < best:
-                best, at = f[k], k
-        f[j], back[j] = best + price[j], at
-        key[j] = f[j] + x
-        while queue and key[queue[-1]] >= key[j]:
+        best = key[i] + size - x
+        while seen < upto[j]:
+            k = starts[seen]
+            seen += 1
+            if f[k] < best:
+                best, i = f[k], k
+        best += price[j]
+        f[j], back[j] = best, i
+        best = key[j] = best + x
+        while queue and key[queue[-1]] >= best:
             queue.pop()
         queue.append(j)
     cuts, j = [p[-1]], len(p) - 1

@@ -114,7 +114,7 @@ def test_queue_equals_quadratic(docs):
     doc_ends = np.cumsum([n for n, _ in docs])
     sentences = np.array([e - n // 2 for e, (n, s) in zip(doc_ends, docs) if s and n > 2], np.int64)
     pos, kinds = packing.candidates(doc_ends, sentences, size, 4)
-    price = [(0, packing.SENTENCE, packing.INNER)[k] for k in kinds]
+    price = [packing.PRICES[k] for k in kinds]
     f = [0] + [None] * (len(pos) - 1)
     for j in range(1, len(pos)):
         f[j] = price[j] + min(f[i] + padding(int(pos[j] - pos[i]), size) for i in range(j) if pos[j] - pos[i] <= size)
