@@ -27,6 +27,9 @@ from postlens.llm import common
 from postlens.session import checkpoint_dir
 
 REVISIT_BYTES = 100
+#: Size of the bitmap that tells which payloads may occur twice: at most 262 144 rows of 64 bits.
+BITMAP_BITS = 24
+_BIT_SQL = f"pmod(xxhash64(payload_digest), {1 << BITMAP_BITS}L)"
 #: Bytes of a range; a range without the start of a record is skipped by the chain.
 RANGE_BYTES = 8_000_000
 MAGIC = b"WARC/1.1\r\n"
@@ -47,17 +50,25 @@ def with_revisits(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame
     """``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to``.
 
     The first page of each payload comes from a partial aggregate (a payload held by a third of all
-    rows gives one row per task), and only payloads that occur twice or more are joined back."""
+    rows gives one row per task).  Only payloads that occur twice or more are joined back, and a
+    bitmap of their digests' hashes — 2^``BITMAP_BITS`` bits whatever the input, broadcast as rows of
+    64 bits — keeps nearly all other pages out of that join, so unique payloads are not shuffled."""
+    checkpoint_dir(pages.sparkSession)
     page = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     page = page.withColumns({"payload_bytes": F.octet_length("payload").cast("long"),
                              "payload_digest": F.sha2(F.col("payload").cast("binary"), 256)})
     first = (page.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
-             .agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
-    page = page.join(first, "payload_digest", "left")
+             .agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n").checkpoint())
+    word, mask = F.expr(f"shiftright({_BIT_SQL}, 6)"), F.expr(f"shiftleft(1L, cast({_BIT_SQL} & 63 as int))")
+    bitmap = first.select(word.alias("_w"), mask.alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits"))
+    page = page.withColumn("_w", word).join(F.broadcast(bitmap), "_w", "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(mask), F.lit(0)) != 0
+    columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest"]
+    alone = page.where(~maybe).select(*columns, F.lit(None).cast(first.schema["_first"].dataType).alias("_first"))
+    shared = page.where(maybe).select(*columns).join(first, "payload_digest", "left").select(*columns, "_first")
     again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return page.select("page_id", "url", "payload", "payload_bytes", "payload_digest",
-                       F.when(again, "revisit").otherwise("response").alias("record_type"),
-                       F.when(again, F.col("_first")).alias("refers_to"))
+    return alone.unionByName(shared).select(
+        *columns, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, out_dir: str, min_bytes: int = REVISIT_BYTES) -> None:
