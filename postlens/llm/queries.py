@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import byte_bpe, chat, common, dac, packing, quality, token_counts, toxicity, warc
+from postlens.llm import byte_bpe, chat, common, dac, embedding_dedup, ngram_join, packing, quality, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -77,3 +77,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_token_counts")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+
+
+@register("op9_embedding_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(common.table(spark, sf_dir, "embeddings"))
+
+
+@register("op10_ngram_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(common.table(spark, sf_dir, "documents"))
