@@ -24,11 +24,22 @@ def _nfkc(s: str | None) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode NFKC; also folds full-width ASCII letters, digits and the ideographic space."""
+def _nfkc_udf(s: pd.Series) -> pd.Series:
     return s.map(_nfkc, na_action="ignore")
 
 
+def _only_non_ascii(c, udf) -> Column:
+    """ASCII texts stay as they are on the JVM side; the helper sees a null in their place."""
+    col = F.col(c) if isinstance(c, str) else c
+    other = col.rlike(r"[^\x00-\x7F]")
+    return F.when(other, udf(F.when(other, col))).otherwise(col)
+
+
+def nfkc(c) -> Column:
+    """Unicode NFKC; also folds full-width ASCII letters, digits and the ideographic space."""
+    return _only_non_ascii(c, _nfkc_udf)
+
+
 # Emoji ranges treated as emoji when the character is a symbol (category So/Sk).
 _EMOJI_RANGES = ((0x1F000, 0x1FAFF), (0x2600, 0x27BF), (0x2300, 0x23FF), (0x2B00, 0x2BFF),
                  (0x3030, 0x3030), (0x303D, 0x303D), (0x3297, 0x3299), (0x00A9, 0x00AE),
@@ -64,10 +75,15 @@ def _demojize(s: str | None, left: str = " ", right: str = " ") -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def demojize(s: pd.Series) -> pd.Series:
+def _demojize_udf(s: pd.Series) -> pd.Series:
     return s.map(_demojize, na_action="ignore")
 
 
+def demojize(c) -> Column:
+    """Emoji → their names in words."""
+    return _only_non_ascii(c, _demojize_udf)
+
+
 class _TextCollector(HTMLParser):
     """Visible text of a page: every text node except inside script/style/template; comments
     dropped; character references decoded."""
@@ -104,7 +120,3 @@ def _get_text(html: str | None) -> str | None:
 @F.pandas_udf(T.StringType())
 def html_get_text(s: pd.Series) -> pd.Series:
     return s.map(_get_text, na_action="ignore")
-
-
-def nfkc_col(c: Column) -> Column:
-    return nfkc(c)

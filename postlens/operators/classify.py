@@ -13,15 +13,15 @@ from collections.abc import Iterable, Sequence
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlens.functions import text as TX
 from postlens.operators import evaluate as E
-from postlens.operators.sampling import split_exact
+from postlens.operators.sampling import exact_rank, split_exact
 
 
 # ---------------------------------------------------------------- C26: token ids
@@ -29,21 +29,23 @@ from postlens.operators.sampling import split_exact
 PAD, UNK = 0, 1
 
 
-def build_vocabulary(df: DataFrame, col: str, max_vocab: int = 30000, min_count: int = 1) -> DataFrame:
+def build_vocabulary(df: DataFrame, col: str, max_vocab: int | None = None, min_count: int = 1) -> DataFrame:
     """Vocabulary of the whole corpus: tokens by count (ties by token), ids from 2 (0 = padding,
-    1 = unknown).  ``max_vocab`` bounds its size, so it can be broadcast."""
+    1 = unknown).  All tokens unless ``max_vocab`` asks for the commonest; ids come from an exact rank
+    in count buckets, so no task orders the whole vocabulary."""
     counts = (df.select(F.explode(TX.tokens(F.col(col))).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= min_count))
-    top = counts.orderBy(F.desc("cnt"), F.asc("token")).limit(max_vocab)
-    w = Window.orderBy(F.desc("cnt"), F.asc("token"))            # over at most max_vocab rows
-    return top.withColumn("token_id", (F.row_number().over(w) + 1).cast("int"))
+    ranked = exact_rank(counts.withColumn("_less", -F.col("cnt")), ["_less", "token"],
+                        F.struct(F.col("_less"), F.when(F.col("cnt") < 16, F.substring("token", 1, 2)).alias("_t")))
+    ids = ranked.select("token", "cnt", (F.col("rank") + 1).cast("int").alias("token_id"))
+    return ids.where(F.col("token_id") <= max_vocab + 1) if max_vocab else ids
 
 
 def encode_tokens(df: DataFrame, id_col: str, col: str, vocab: DataFrame, max_len: int = 128) -> DataFrame:
-    """Token ids truncated / padded to ``max_len`` and the attention mask."""
-    toks = df.select(id_col, F.posexplode(TX.tokens(F.col(col))).alias("pos", "token"))
-    toks = toks.where(F.col("pos") < max_len)
-    ids = toks.join(F.broadcast(vocab.select("token", "token_id")), "token", "left") \
+    """Token ids truncated / padded to ``max_len`` and the attention mask.  Truncation is the
+    feature; it comes before the look-up, so later tokens are never shuffled."""
+    toks = df.select(id_col, F.posexplode(F.slice(TX.tokens(F.col(col)), 1, max_len)).alias("pos", "token"))
+    ids = toks.join(vocab.select("token", "token_id"), "token", "left") \
         .withColumn("token_id", F.coalesce("token_id", F.lit(UNK)))
     seq = ids.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("_s"))
     seq = df.select(id_col).join(seq, id_col, "left")
@@ -72,93 +74,90 @@ def language_words(c) -> Column:
     return F.split(F.lower(c), r"[^\p{L}\p{N}_']+")
 
 
-def guess_from_words(words: Column, profiles: dict[str, Sequence[str]] = LANG_PROFILES,
-                     unknown: str = "unknown") -> Column:
-    """The language whose stop words occur most often among ``words`` (ties → the first
-    language in profile order); ``unknown`` when none occurs.  Pass a column reference."""
-    langs = list(profiles)
-    counts = [F.size(F.filter(words, _member(tuple(profiles[l])))) for l in langs]
-    top = F.greatest(*counts)
-    best = None
-    for lang, cnt in zip(langs, counts):
-        best = F.when(cnt == top, F.lit(lang)) if best is None else best.when(cnt == top, F.lit(lang))
-    return F.when(top > 0, best).otherwise(F.lit(unknown))
+def guess_language(df: DataFrame, text_col: str, out_col: str = "guess",
+                   profiles: dict[str, Sequence[str]] = LANG_PROFILES, unknown: str = "unknown") -> DataFrame:
+    """The language whose stop words occur most often among the text's words (ties → the first
+    language in profile order); ``unknown`` when none occurs.  One expression per row, no shuffle."""
+    langs = F.array(*map(F.lit, profiles))
+    counts = F.transform(F.array(language_words(F.col(text_col))), lambda words: F.array(
+        *(F.size(F.filter(words, _member(tuple(ws)))) for ws in profiles.values())))[0]
+    best = F.transform(F.array(counts), lambda n: F.when(
+        F.array_max(n) > 0, F.element_at(langs, F.array_position(n, F.array_max(n)).cast("int"))).otherwise(F.lit(unknown)))[0]
+    return df.withColumn(out_col, F.when(F.col(text_col).isNull(), F.lit(unknown)).otherwise(best))
 
 
 def _member(ws: tuple[str, ...]):
     return lambda w: w.isin(*ws)
 
 
-def guess_language(df: DataFrame, text_col: str, id_col: str, out_col: str = "guess",
-                   profiles: dict[str, Sequence[str]] = LANG_PROFILES, unknown: str = "unknown") -> DataFrame:
-    """C18 on a table: words exploded in place, matched against the profile table (a broadcast
-    of fixed, small size), counted per (row, language) with map-side combining — each row's
-    words stay in their task, so at most one count per language and row is shuffled — and the
-    best language (ties → profile order) joined back to the rows."""
-    spark = df.sparkSession
-    langs = list(profiles)
-    prof = spark.createDataFrame([(w, i, l) for i, l in enumerate(langs) for w in profiles[l]],
-                                 "word STRING, _li INT, _lang STRING")
-    words = df.select(id_col, F.explode(language_words(F.col(text_col))).alias("word"))
-    hits = (words.join(F.broadcast(prof), "word")
-            .groupBy(id_col, "_li", "_lang").agg(F.count(F.lit(1)).alias("_n")))
-    best = hits.groupBy(id_col).agg(F.max_by("_lang", F.struct(F.col("_n"), -F.col("_li"))).alias(out_col))
-    return df.join(best, id_col, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.lit(unknown)))
+# ---------------------------------------------------------------- C17, E5: word segmentation
 
+#: Fixed value: the segmenter considers pieces of at most so many characters.
+SEGMENT_LIMIT = 24
+#: Dictionaries of at most so many words are shipped to the tasks; larger ones are joined.
+BROADCAST_WORDS = 300_000
 
-# ---------------------------------------------------------------- C17, E5: word segmentation
 
-def unigram_counts(df: DataFrame, col: str, max_words: int = 50000) -> DataFrame:
-    """Word counts of the corpus (the segmentation dictionary), the ``max_words`` most frequent."""
+def unigram_counts(df: DataFrame, col: str) -> DataFrame:
+    """Word counts of the corpus (the segmentation dictionary), all words."""
     words = F.regexp_extract_all(F.lower(F.col(col)), F.lit(r"[\p{L}\p{N}]+"), 0)
-    return (df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
-            .orderBy(F.desc("cnt"), F.asc("word")).limit(max_words))
-
-
-def _segmenter(counts: dict[str, int]):
-    total = float(sum(counts.values())) or 1.0
-
-    def score(w: str) -> float:
-        c = counts.get(w)
-        if c:
-            return math.log10(c / total)
-        return math.log10(10.0 / (total * 10 ** len(w)))   # unknown words: longer is less likely
-
-    def segment_chunk(text: str, max_len: int = 24) -> list[str]:
-        n = len(text)
-        best = [0.0] + [-math.inf] * n
-        back = [0] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - max_len), j):
-                s = best[i] + score(text[i:j])
-                if s > best[j]:
-                    best[j], back[j] = s, i
-        out, j = [], n
-        while j > 0:
-            out.append(text[back[j]:j])
-            j = back[j]
-        return out[::-1]
-
-    def segment(text: str) -> str:
-        import re
-        parts = re.findall(r"[^\W_]+", text.lower())
-        return " ".join(w for p in parts for w in segment_chunk(p))
-    return segment
+    return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _segment(chunk: str, counts: dict[str, int], total: float) -> str:
+    """Most probable split of a chunk; unknown pieces cost more the longer they are."""
+    n = len(chunk)
+    best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+    for j in range(1, n + 1):
+        for i in range(max(0, j - SEGMENT_LIMIT), j):
+            c = counts.get(chunk[i:j])
+            s = best[i] + (math.log10(c / total) if c else math.log10(10.0 / total) - (j - i))
+            if s > best[j]:
+                best[j], back[j] = s, i
+    out, j = [], n
+    while j > 0:
+        out.append(chunk[back[j]:j])
+        j = back[j]
+    return " ".join(out[::-1])
+
+
+def segment_chunks(chunks: DataFrame, counts: DataFrame, col: str = "chunk") -> DataFrame:
+    """``chunk, segmented`` of distinct chunks.  A small dictionary is broadcast; for a larger one each
+    chunk's pieces are joined with it, so that a task needs the counts of its own pieces only."""
+    size = counts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("t")).first()
+    total = float(size["t"]) or 1.0
+    if size["n"] <= BROADCAST_WORDS:
+        bc = chunks.sparkSession.sparkContext.broadcast({r["word"]: int(r["cnt"]) for r in counts.collect()})
+
+        @F.pandas_udf(T.StringType())
+        def whole(s: pd.Series) -> pd.Series:
+            return s.map(lambda t: _segment(t, bc.value, total))
+        return chunks.select(col, whole(col).alias("segmented"))
+
+    @F.pandas_udf(T.StringType())
+    def own(s: pd.Series, words: pd.Series, cnts: pd.Series) -> pd.Series:
+        return pd.Series([_segment(t, dict(zip(w, map(int, c))), total) for t, w, c in zip(s, words, cnts)])
+
+    starts = F.sequence(F.lit(1), F.length(col))
+    pieces = F.flatten(F.transform(starts, lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(SEGMENT_LIMIT), F.length(col) - i + 1)), lambda k: F.substring(F.col(col), i, k))))
+    known = (chunks.select(col, F.explode(F.array_distinct(pieces)).alias("word")).join(counts, "word")
+             .groupBy(col).agg(F.collect_list("word").alias("_w"), F.collect_list(F.col("cnt")).alias("_c")))
+    empty = F.array()
+    return (chunks.join(known, col, "left").select(
+        col, own(col, F.coalesce("_w", empty.cast("array<string>")), F.coalesce("_c", empty.cast("array<bigint>"))).alias("segmented")))
 
 
 def segment_column(df: DataFrame, col: str, counts: DataFrame, out_col: str = "segmented") -> DataFrame:
     """C17: most probable split of each value into dictionary words (``demomahasiswa`` →
-    ``demo mahasiswa``).  The dictionary is bounded by ``unigram_counts(max_words)`` and shipped
-    to the tasks as a broadcast variable; the split itself is an Arrow-batched Python helper."""
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast({r["word"]: int(r["cnt"]) for r in counts.collect()})
-
-    @F.pandas_udf(T.StringType())
-    def seg(s: pd.Series) -> pd.Series:
-        f = _segmenter(bc.value)
-        return s.map(lambda t: f(t) if t is not None else None)
-
-    return df.withColumn(out_col, seg(F.col(col)))
+    ``demo mahasiswa``).  Distinct chunks are segmented once and joined back to the distinct values."""
+    values = df.where(F.col(col).isNotNull()).select(F.col(col).alias("_text")).distinct()
+    parts = values.select("_text", F.posexplode_outer(F.regexp_extract_all(F.lower("_text"), F.lit(r"[\p{L}\p{N}]+"), 0)).alias("_pos", "chunk"))
+    done = segment_chunks(parts.where("chunk is not null").select("chunk").distinct(), counts)
+    texts = (parts.join(done, "chunk", "left").groupBy("_text")
+             .agg(F.sort_array(F.collect_list(F.struct("_pos", "segmented"))).alias("_s"))
+             .select("_text", F.array_join(F.transform("_s", lambda e: e["segmented"]), " ").alias(out_col)))
+    return df.join(texts, df[col] == texts["_text"], "left").drop("_text")
 
 
 def reaggregate_segmented(top: DataFrame, counts: DataFrame, n: int = 50) -> DataFrame:
@@ -182,10 +181,11 @@ def _weighted(df: DataFrame, label_col: str, mode: str | None, classes: Sequence
         .drop("weight")
 
 
-def text_pipeline(text_col: str, label_col: str, reg: float, vocab: int = 1 << 16) -> Pipeline:
+def text_pipeline(text_col: str, label_col: str, reg: float, features: int = 1 << 18) -> Pipeline:
+    """Hashed term counts: every term has a place, however many there are."""
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"#?[\p{L}\p{N}_]+", gaps=False),
-        CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=vocab, minDF=1.0),
+        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=features),
         IDF(inputCol="_tf", outputCol="_x"),
         LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=reg,
                            elasticNetParam=0.0, maxIter=50, family="multinomial",

@@ -20,13 +20,23 @@ UNCORRECTED, CORRECTED = "uncorrected", "corrected"
 
 # ---------------------------------------------------------------- D1–D4: corrections and joins
 
+def last_per_id(df: DataFrame, id_col: str, value_col: str, order_col: str | None = None) -> DataFrame:
+    """``_id`` (as string), ``_value``: the value of the last row of each id by ``order_col``, larger
+    values winning ties (without an order, the largest value).  An ordinary aggregate, so an id
+    corrected very often is no hot task."""
+    value = F.col(value_col)
+    order = F.struct(F.col(order_col), value) if order_col else value
+    return df.groupBy(F.col(id_col).cast("string").alias("_id")).agg(F.max_by(value, order).alias("_value"))
+
+
 def apply_corrections(df: DataFrame, corrections: DataFrame, id_col: str, label_col: str,
-                      new_label_col: str | None = None, as_bool: bool = False) -> DataFrame:
-    """Overwrite ``label_col`` with the correction for the same id (ids compared as strings);
-    rows without a correction keep their label.  ``as_bool`` casts the result to BOOLEAN."""
+                      new_label_col: str | None = None, as_bool: bool = False,
+                      order_col: str | None = None) -> DataFrame:
+    """Overwrite ``label_col`` with the correction for the same id (ids compared as strings; of
+    several the last by ``order_col``); rows without a correction keep their label.  ``as_bool`` casts
+    the result to BOOLEAN."""
     new_label_col = new_label_col or label_col
-    corr = corrections.select(F.col(id_col).cast("string").alias("_cid"),
-                              F.col(new_label_col).alias("_new"))
+    corr = last_per_id(corrections, id_col, new_label_col, order_col).withColumnsRenamed({"_id": "_cid", "_value": "_new"})
     out = df.join(corr, F.col(id_col).cast("string") == F.col("_cid"), "left")
     label = F.coalesce(F.col("_new").cast(df.schema[label_col].dataType), F.col(label_col))
     if as_bool:
@@ -42,9 +52,10 @@ def changed_corrections(review: DataFrame, id_col: str, label_col: str,
 
 
 def attach_predictions(df: DataFrame, preds: DataFrame, id_col: str, pred_col: str = "pred",
-                       default: int = -1) -> DataFrame:
-    """Every row gets the predicted class of its id, else ``default``."""
-    p = preds.select(F.col(id_col).cast("string").alias("_pid"), F.col(pred_col).alias("_pred"))
+                       default: int = -1, order_col: str | None = None) -> DataFrame:
+    """Every row gets the predicted class of its id (of several the last by ``order_col``),
+    else ``default``."""
+    p = last_per_id(preds, id_col, pred_col, order_col).withColumnsRenamed({"_id": "_pid", "_value": "_pred"})
     out = df.join(p, F.col(id_col).cast("string") == F.col("_pid"), "left")
     return out.withColumn(pred_col, F.coalesce(F.col("_pred"), F.lit(default))).drop("_pid", "_pred")
 
@@ -52,11 +63,11 @@ def attach_predictions(df: DataFrame, preds: DataFrame, id_col: str, pred_col: s
 def upsert_corrections(train: DataFrame, corrections: DataFrame, source: DataFrame, id_col: str,
                        label_col: str, current_col: str = "current_label",
                        original_col: str = "original_label",
-                       set_true: str | None = "relevant") -> DataFrame:
-    """D3: keep changed corrections; update their ids in ``train``; take ids not in ``train``
+                       set_true: str | None = "relevant", order_col: str | None = None) -> DataFrame:
+    """D3: of several corrections of an id keep the last by ``order_col``; keep changed corrections; update their ids in ``train``; take ids not in ``train``
     from ``source`` with the new label (and ``set_true`` = TRUE), align to train's columns, append."""
-    changed = corrections.where(F.col(original_col) != F.col(current_col)) \
-        .select(F.col(id_col).cast("string").alias(id_col), F.col(current_col).alias("_new"))
+    changed = last_per_id(corrections.where(F.col(original_col) != F.col(current_col)), id_col, current_col, order_col) \
+        .withColumnsRenamed({"_id": id_col, "_value": "_new"})
     t = train.withColumn("_sid", F.col(id_col).cast("string"))
     updated = (t.join(changed, t["_sid"] == changed[id_col], "left")
                .withColumn(label_col, F.coalesce(F.col("_new").cast(train.schema[label_col].dataType),
@@ -64,7 +75,8 @@ def upsert_corrections(train: DataFrame, corrections: DataFrame, source: DataFra
                .select(*[t[c] if c != label_col else F.col(label_col) for c in train.columns]))
     new_ids = changed.join(train.select(F.col(id_col).cast("string").alias(id_col)), id_col, "left_anti")
     s = source.withColumn("_sid", F.col(id_col).cast("string"))
-    added = s.join(new_ids, s["_sid"] == new_ids[id_col], "inner") \
+    # an id that the source holds several times is taken once
+    added = s.dropDuplicates(["_sid"]).join(new_ids, s["_sid"] == new_ids[id_col], "inner") \
         .withColumn(label_col, F.col("_new").cast(train.schema[label_col].dataType))
     if set_true and set_true in train.columns:
         added = added.withColumn(set_true, F.lit(True))
@@ -91,9 +103,9 @@ def leakage_report(train: DataFrame, test: DataFrame, col: str) -> DataFrame:
     """Distinct overlapping values, train row count and overlap as % of train rows.
     One join and one aggregate (no cross join of counts)."""
     flag = test.select(col).distinct().withColumn("_in_test", F.lit(True))
-    t = train.select(col).join(flag, col, "left")
-    agg = t.agg(F.count_distinct(F.when(F.col("_in_test"), F.col(col))).alias("overlap_count"),
-                F.count(F.lit(1)).alias("train_rows"))
+    t = train.groupBy(col).agg(F.count(F.lit(1)).alias("_n")).join(flag, col, "left")    # equal texts are one row
+    agg = t.agg(F.count(F.when(F.col("_in_test"), 1)).alias("overlap_count"),
+                F.coalesce(F.sum("_n"), F.lit(0)).alias("train_rows"))
     return agg.withColumn("overlap_pct", F.col("overlap_count") * 100.0 / F.col("train_rows"))
 
 

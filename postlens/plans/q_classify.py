@@ -11,8 +11,7 @@ from postlens.operators import sampling as S
 from postlens.plans.registry import register
 from postlens.sources.tables import POSTS_SQL, posts_from_documents, table
 
-MAX_LEN = 32
-MAX_VOCAB = 5000
+MAX_LEN = 128
 _TOK = r"#[\p{L}\p{N}_]+|[\p{L}\p{N}_]{2,}"
 
 
@@ -21,7 +20,7 @@ WITH p AS ({POSTS_SQL}),
 tk AS (SELECT tweet_id, regexp_extract_all(lower(content), '{_TOK}') AS toks FROM p),
 t AS (SELECT tweet_id, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS pos FROM tk),
 vocab AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, token ASC) + 1 AS token_id
-          FROM (SELECT token, count(*) AS cnt FROM t GROUP BY token) QUALIFY token_id <= {MAX_VOCAB + 1}),
+          FROM (SELECT token, count(*) AS cnt FROM t GROUP BY token)),
 ids AS (SELECT t.tweet_id, t.pos, coalesce(v.token_id, 1) AS tid FROM t LEFT JOIN vocab v USING (token)
         WHERE t.pos < {MAX_LEN}),
 seq AS (SELECT p.tweet_id, coalesce(list(ids.tid ORDER BY ids.pos) FILTER (WHERE ids.tid IS NOT NULL), []) AS r
@@ -33,7 +32,7 @@ FROM seq
 """)
 def encode_tokens(spark, sf_dir):
     posts = posts_from_documents(spark, sf_dir)
-    vocab = C.build_vocabulary(posts, "content", MAX_VOCAB)
+    vocab = C.build_vocabulary(posts, "content")
     return C.encode_tokens(posts, "tweet_id", "content", vocab, MAX_LEN)
 
 
@@ -50,14 +49,12 @@ SELECT doc_id, lang, CASE WHEN {top} > 0 THEN (CASE {case} END) ELSE 'unknown' E
 
 @register("lang_guess", _lang_sql())
 def lang_guess(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    g = C.guess_language(d.select("doc_id", "text"), "text", "doc_id").select("doc_id", "guess")
-    return d.select("doc_id", "lang").join(g, "doc_id")
+    return C.guess_language(table(spark, sf_dir, "documents"), "text").select("doc_id", "lang", "guess")
 
 
 @register("lang_filter", f"SELECT doc_id, guess FROM ({_lang_sql()}) WHERE guess IN ('id', 'en')")
 def lang_filter(spark, sf_dir):
-    d = C.guess_language(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
+    d = C.guess_language(table(spark, sf_dir, "documents"), "text")
     return d.select("doc_id", "guess").where(F.col("guess").isin("id", "en"))
 
 

@@ -134,7 +134,7 @@ def validate_posts(df: DataFrame, required=REQUIRED_V1, mode: str = "row") -> tu
     if mode != "all":
         raise ValueError(f"unknown validation mode {mode!r}")
     n_bad = x.agg(F.count(F.when(bad, 1)).alias("_n_bad")).withColumn("_k", F.lit(1))
-    y = x.withColumn("_k", F.lit(1)).join(n_bad, "_k").drop("_k")
+    y = x.withColumn("_k", F.lit(1)).join(F.broadcast(n_bad), "_k").drop("_k")       # one row
     valid = y.where(F.col("_n_bad") == 0).drop("_missing", "_n_bad")
     rejected = (y.where(F.col("_n_bad") > 0)
                 .withColumn("reason", F.when(bad, reason).otherwise(F.lit("batch rejected")))
@@ -146,17 +146,19 @@ def validate_posts(df: DataFrame, required=REQUIRED_V1, mode: str = "row") -> tu
 
 def clean_v2(raw: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
     """S1/B4/C5/C21 (v2 crawler): mentions stripped, empty posts dropped, bad times → ingest
-    time, likes/retweets from the engagement struct (NaN/NULL → 0), comment and view counts 0."""
+    time, replies/likes/retweets from the engagement struct (NaN/NULL → 0), view count 0,
+    ``created_at`` = ingest time (B7)."""
     content = TX.strip_mentions(F.col("content"))
     eng = F.col("engagement")
     out = raw.select(
         F.col("id").alias("tweet_id"), F.col("author"),
         TX.parse_time_or(F.col("time"), ingest_ts).alias("time"),
         content.alias("content"),
-        F.lit(0).cast("long").alias("comment_count"),
+        F.coalesce(F.nanvl(eng["replies"], F.lit(None)), F.lit(0.0)).cast("long").alias("comment_count"),
         F.coalesce(F.nanvl(eng["likes"], F.lit(None)), F.lit(0.0)).cast("long").alias("like_count"),
         F.coalesce(F.nanvl(eng["retweets"], F.lit(None)), F.lit(0.0)).cast("long").alias("repost_count"),
-        F.lit(0).cast("long").alias("view_count"))
+        F.lit(0).cast("long").alias("view_count"),
+        (F.current_timestamp() if ingest_ts is None else ingest_ts).alias("created_at"))
     return out.where(F.length("content") > 0)
 
 
@@ -193,7 +195,7 @@ def insert_new(existing_keys: DataFrame, batch: DataFrame, key: str = "tweet_id"
     batch keep their first row (by ``order_col``, else by the other columns), keys already stored
     are rejected.  Returns (rows to insert, one-row report ``pushed``/``failed``)."""
     first = dedup_first(batch, key, order_col or [c for c in batch.columns if c != key][0])
-    fresh = first.join(existing_keys.select(key).distinct(), key, "left_anti")
+    fresh = first.join(existing_keys.select(key), key, "left_anti")
     total = batch.agg(F.count(F.lit(1)).alias("batch_rows")).withColumn("_k", F.lit(1))
     pushed = fresh.agg(F.count(F.lit(1)).alias("pushed")).withColumn("_k", F.lit(1))
     report = total.join(pushed, "_k").select(
@@ -201,13 +203,19 @@ def insert_new(existing_keys: DataFrame, batch: DataFrame, key: str = "tweet_id"
     return fresh, report
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Does a path exist in its (Hadoop) file system?"""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def append_new(spark: SparkSession, table_path: str, batch: DataFrame, key: str = "tweet_id",
                order_col: str | None = None) -> DataFrame:
     """A8 sink: append the new rows of ``batch`` to the Parquet table at ``table_path`` (created
     when absent) and return the report."""
-    try:
+    if path_exists(spark, table_path):                  # any other failure to read is an error
         existing = spark.read.parquet(table_path).select(key)
-    except Exception:  # table not created yet
+    else:
         existing = spark.createDataFrame([], batch.select(key).schema)
     fresh, report = insert_new(existing, batch, key, order_col)
     fresh = fresh.cache()                               # used by the report and the write
@@ -250,8 +258,3 @@ def extract_posts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         parse_km("replies").alias("replies"), parse_km("retweets").alias("retweets"),
         parse_km("likes").alias("likes")).alias("engagement"))
     return dedup_first(posts, "id", "page_id")
-
-
-def engagement_value(c) -> Column:
-    """C16 applied to extracted engagement text (see ``parse_km``)."""
-    return parse_km(c)

@@ -64,7 +64,7 @@ def decorate_text(doc_id: Column, text: Column) -> Column:
     return F.concat(
         F.when(d % 7 == 0, F.lit("RT ")).otherwise(F.lit("")),
         F.when(d % 3 == 0, F.concat(F.lit("@user"), _s(d % 97), F.lit(" "))).otherwise(F.lit("")),
-        F.substring(text, 1, 200),
+        text,
         F.when(d % 4 == 0, F.concat(F.lit(" https://ex.example/"), _s(d))).otherwise(F.lit("")),
         F.concat(F.lit(" #Topic"), _s(d % 13)),
         F.when(d % 5 == 0, F.concat(F.lit(" #tag_"), _s(d % 5), _s(d % 11))).otherwise(F.lit("")),
@@ -90,7 +90,7 @@ SELECT doc_id AS tweet_id,
        concat(
          CASE WHEN doc_id % 7 = 0 THEN 'RT ' ELSE '' END,
          CASE WHEN doc_id % 3 = 0 THEN concat('@user', CAST(doc_id % 97 AS VARCHAR(10)), ' ') ELSE '' END,
-         substr(text, 1, 200),
+         text,
          CASE WHEN doc_id % 4 = 0 THEN concat(' https://ex.example/', CAST(doc_id AS VARCHAR(20))) ELSE '' END,
          concat(' #Topic', CAST(doc_id % 13 AS VARCHAR(10))),
          CASE WHEN doc_id % 5 = 0 THEN concat(' #tag_', CAST(doc_id % 5 AS VARCHAR(10)), CAST(doc_id % 11 AS VARCHAR(10))) ELSE '' END,

@@ -145,3 +145,29 @@ def test_month_partitions_prune(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "posts")).where(F.col("month") == "2024-02")
     assert [r["tweet_id"] for r in back.collect()] == ["2"]
     assert "PartitionFilters: [isnotnull(month" in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_append_new_only_takes_a_missing_table_as_empty(spark, tmp_path):
+    import pytest
+    from postlens.sources import ingest as IN
+    batch = spark.createDataFrame([("a", 1), ("b", 2)], "tweet_id string, v int")
+    path = str(tmp_path / "posts")
+    assert IN.append_new(spark, path, batch).collect()[0]["pushed"] == 2
+    assert IN.append_new(spark, path, batch).collect()[0]["pushed"] == 0
+    (tmp_path / "broken").mkdir()
+    with pytest.raises(Exception):
+        IN.append_new(spark, str(tmp_path / "broken"), batch)
+
+
+def test_stream_keeps_posts_of_any_age(spark, tmp_path):
+    """Duplicates, a replayed file and a post twenty years older than the newest."""
+    from postlens.streaming import ingest as ST
+    src, out = tmp_path / "in", str(tmp_path / "posts")
+    rows = [[("1", "2024-05-01"), ("1", "2024-05-01")], [("2", "2004-01-01"), ("3", "2003-01-01")], [("1", "2024-05-01"), ("4", "1999-01-01")]]
+    schema = "tweet_id string, time timestamp"
+    for batch in rows:
+        df = spark.createDataFrame(batch, "tweet_id string, t string").selectExpr("tweet_id", "cast(t as timestamp) time")
+        df.coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(schema).parquet(str(src))
+        ST.ingest_stream(spark, stream, out, str(tmp_path / "ckpt")).awaitTermination()
+    assert sorted(r.tweet_id for r in spark.read.parquet(out).collect()) == ["1", "2", "3", "4"]

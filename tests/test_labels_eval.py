@@ -103,3 +103,30 @@ def test_nested_export_roundtrip(spark):
     assert nested.groupBy("cluster_id").count().count() == 2
     flat = L.flatten_review(nested)
     assert sorted(int(r["tweet_id"]) for r in flat.collect()) == list(range(10))
+
+
+def test_duplicate_corrections_keep_the_last(spark):
+    from postlens.operators import labels as L
+    rows = spark.createDataFrame([(1, 0), (2, 0)], "tweet_id long, label int")
+    corr = spark.createDataFrame([("1", 5, 1), ("1", 6, 2), ("1", 4, 0)], "tweet_id string, label int, at int")
+    got = L.apply_corrections(rows, corr, "tweet_id", "label", order_col="at").collect()
+    assert sorted(map(tuple, got)) == [(1, 6), (2, 0)]
+    preds = spark.createDataFrame([(1, 3, 1), (1, 2, 9)], "tweet_id long, pred int, at int")
+    got = L.attach_predictions(rows, preds, "tweet_id", order_col="at").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 2), (2, 0, -1)]
+    train = spark.createDataFrame([("1", 0, True)], "tweet_id string, sentiment int, relevant boolean")
+    source = spark.createDataFrame([("2", -1, False), ("2", -1, False)], "tweet_id string, sentiment int, relevant boolean")
+    changes = spark.createDataFrame([("1", 0, 1, 1), ("1", 0, 2, 2), ("2", -1, 2, 1), ("2", -1, 1, 2)],
+                                    "tweet_id string, original_label int, current_label int, at int")
+    got = L.upsert_corrections(train, changes, source, "tweet_id", "sentiment", order_col="at").collect()
+    assert sorted(map(tuple, got)) == [("1", 2, True), ("2", 1, True)]
+
+
+def test_large_dictionary_is_joined(spark, monkeypatch):
+    from postlens.operators import classify as C
+    df = spark.createDataFrame([(1, "demomahasiswa jakarta"), (2, None), (3, ""), (4, "xyzzyq demo")], "id long, t string")
+    words = spark.createDataFrame([("demo", 50), ("mahasiswa", 40), ("jakarta", 30)], "word string, cnt long")
+    first = sorted(map(tuple, C.segment_column(df, "t", words).collect()))
+    monkeypatch.setattr(C, "BROADCAST_WORDS", 0)
+    assert sorted(map(tuple, C.segment_column(df, "t", words).collect()), key=str) == sorted(first, key=str)
+    assert dict((r[0], r[2]) for r in first)[1] == "demo mahasiswa jakarta"
