@@ -1,12 +1,13 @@
 """Vector operators: unit vectors, text embeddings, exact k-nearest
 neighbours, intrinsic dimension, k-distance elbow, k-means search, PCA and centroid similarity.
 
-Exact kNN without an all-pairs product: points are assigned to k-means cells; each query point
-compares itself only with the points of its ``probe`` nearest cells, then a certification pass
-uses the triangle inequality — a cell whose centroid distance minus its radius exceeds the
-current k-th distance cannot hold a closer point — and searches every cell it cannot rule out.
-The result equals brute force; the work is the candidate cells, not n².  The cell model
-(centroids and radii, ``cells × dim`` doubles) is size-checked before it is broadcast.
+Exact kNN without an all-pairs product: equal vectors are collapsed to one point; points are assigned
+to k-means cells; each query compares itself only with the points of its ``probe`` nearest cells, then
+a certification pass uses the triangle inequality — a cell whose centroid distance minus its radius
+exceeds the current k-th distance cannot hold a closer point — and searches every cell it cannot rule
+out.  The result equals brute force; the work is the candidate cells, not n².  The cell model
+(centroids and radii) is a broadcast whose size is bounded: there are as many cells as fit
+``MAX_MODEL_BYTES``, and fuller cells are searched in tiles.
 """
 
 from __future__ import annotations
@@ -55,7 +56,8 @@ def unit(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """NULL where a vector has no direction (norm 0)."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 # ---------------------------------------------------------------- H1: text embeddings
@@ -75,51 +77,59 @@ def embed_text(df: DataFrame, col: str = "content", dim: int = 256, out_col: str
 # ---------------------------------------------------------------- D9: exact kNN
 
 def _tile_topk(k: int, self_join: bool):
-    """Per tile: the exact k nearest reference rows of each query row, by a NumPy distance block."""
+    """Per tile: the exact k nearest reference rows of each query row, ties by id.  A matrix product
+    picks candidates; their distances are computed again from the differences."""
     import numpy as np
     import pandas as pd
 
+    def exact(q, r):
+        diff = r - q
+        return np.sqrt(np.einsum("...j,...j->...", diff, diff))
+
     def run(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        qid, rid = qp["_qid"].to_numpy(), rp["_rid"].to_numpy()
         if qp.empty or rp.empty:
-            return pd.DataFrame({"_qid": qp["_qid"].iloc[:0], "_rid": rp["_rid"].iloc[:0],
-                                 "distance": np.zeros(0)})
+            return pd.DataFrame({"_qid": qid[:0], "_rid": rid[:0], "distance": np.zeros(0)})
+        by_id = np.argsort(rid, kind="stable")                # positions are then in the order of ids
+        rid = rid[by_id]
         Q = np.stack(qp["_qv"].to_numpy()).astype(np.float64)
-        R = np.stack(rp["_rv"].to_numpy()).astype(np.float64)
-        qid = qp["_qid"].to_numpy()
-        rid = rp["_rid"].to_numpy()
-        out_q, out_r, out_d = [], [], []
-        step = max(1, 2_000_000 // max(1, R.shape[0] * R.shape[1]))
-        for s0 in range(0, Q.shape[0], step):
-            diff = Q[s0:s0 + step, None, :] - R[None, :, :]
-            d = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-            for i in range(d.shape[0]):
-                row = d[i]
-                ids = rid
+        R = np.stack(rp["_rv"].to_numpy()).astype(np.float64)[by_id]
+        rr, n = (R * R).sum(1), len(R)
+        m = min(n, k + 1 + 8)                                 # the point itself and some for rounding
+        out = []
+        step = max(1, 4_000_000 // n)
+        for s0 in range(0, len(Q), step):
+            q = Q[s0:s0 + step]
+            qq = (q * q).sum(1)
+            near = qq[:, None] + rr - 2 * (q @ R.T)
+            pick = np.argpartition(near, m - 1, axis=1)[:, :m] if m < n else np.tile(np.arange(n), (len(q), 1))
+            pick.sort(axis=1)
+            away = exact(q[:, None, :], R[pick])
+            if self_join:
+                away[rid[pick] == qid[s0:s0 + step, None]] = np.inf
+            order = np.argsort(away, axis=1, kind="stable")[:, :k]
+            top, dist = np.take_along_axis(pick, order, 1), np.take_along_axis(away, order, 1)
+            # more rows as near as the k-th than were picked: take all of them into account
+            slack = 1e-9 * (qq + rr.max()) + 1e-300
+            reach = np.where(np.isfinite(dist[:, -1]), dist[:, -1] ** 2 + slack, np.inf)
+            for i in np.flatnonzero((near <= reach[:, None]).sum(1) > m).tolist() if m < n else ():
+                all_ = np.flatnonzero(near[i] <= reach[i])
+                d = exact(q[i], R[all_])
                 if self_join:
-                    keep = ids != qid[s0 + i]
-                    row, ids = row[keep], ids[keep]
-                if row.size == 0:
-                    continue
-                m = min(k, row.size)
-                cut = np.argpartition(row, m - 1)[:m] if m < row.size else np.arange(row.size)
-                # keep every row tied with the m-th distance so ties resolve by id downstream
-                kth = row[cut].max()
-                sel = np.nonzero(row <= kth)[0]
-                out_q.append(np.full(sel.size, qid[s0 + i]))
-                out_r.append(ids[sel])
-                out_d.append(row[sel])
-        if not out_q:
-            return pd.DataFrame({"_qid": qid[:0], "_rid": rid[:0], "distance": np.zeros(0)})
-        return pd.DataFrame({"_qid": np.concatenate(out_q), "_rid": np.concatenate(out_r),
-                             "distance": np.concatenate(out_d)})
+                    d[rid[all_] == qid[s0 + i]] = np.inf
+                o = np.argsort(d, kind="stable")[:k]
+                top[i, :len(o)], dist[i, :len(o)] = all_[o], d[o]
+            ok = np.isfinite(dist)
+            out.append((np.repeat(qid[s0:s0 + step], ok.sum(1)), rid[top[ok]], dist[ok]))
+        return pd.DataFrame({"_qid": np.concatenate([o[0] for o in out]), "_rid": np.concatenate([o[1] for o in out]),
+                             "distance": np.concatenate([o[2] for o in out])})
     return run
 
 
 def _tile_search(q: DataFrame, ref: DataFrame, k: int, self_join: bool, tile: int) -> DataFrame:
     """Compare every (query, cell) row with the reference points of that cell, in tiles of at
     most ``tile`` × ``tile`` rows: a cell with many queries or many points is split on both sides
-    (salting), so no task holds a whole hot cell.  Returns candidate (query, ref, distance) rows —
-    at least the k nearest of each query within each searched cell."""
+    (salting), so no task holds a whole hot cell.  Returns the k nearest of each query per tile."""
     qn = q.groupBy("_cell").agg(F.count(F.lit(1)).alias("_nq"))
     rn = ref.groupBy("_cell").agg(F.count(F.lit(1)).alias("_nr"))
     splits = qn.join(rn, "_cell").select(
@@ -138,89 +148,194 @@ def _tile_search(q: DataFrame, ref: DataFrame, k: int, self_join: bool, tile: in
             .applyInPandas(_tile_topk(k, self_join), schema))
 
 
-def _cell_model(ref: DataFrame, n_cells: int, seed: int):
-    """k-means cells over the reference vectors (one cell: the mean).  Returns (assign, centers)
-    where ``assign(df)`` adds the ``_cell`` column."""
+def _cells(ref: DataFrame, n_cells: int, seed: int):
+    """k-means cells of the reference vectors: (reference with ``_cell``, centroids, radii)."""
+    import numpy as np
     if n_cells < 2:
-        mean = corpus_centroid(ref, "_rv").first()["centroid"]
-        return (lambda d: d.withColumn("_cell", F.lit(0))), [[float(x) for x in mean]]
-    # cells only need to be compact, not converged: a few Lloyd rounds from random centres
-    km = KMeans(k=n_cells, seed=seed, maxIter=5, initMode="random", featuresCol="_fv", predictionCol="_cell")
-    model = km.fit(ref.select(array_to_vector("_rv").alias("_fv")))
-    centers = [[float(x) for x in c] for c in model.clusterCenters()]
-    size = len(centers) * max(1, len(centers[0])) * 8
-    if size > MAX_MODEL_BYTES:
-        raise ValueError(f"cell model of {size} bytes exceeds the broadcast bound; use fewer cells")
+        row = corpus_centroid(ref, "_rv").first()["centroid"]
+        centers = np.array([list(row)]) if row is not None else np.zeros((1, 0))
+        placed = ref.withColumn("_cell", F.lit(0))
+    else:
+        # cells only need to be compact, not converged: a few Lloyd rounds from random centres
+        km = KMeans(k=n_cells, seed=seed, maxIter=5, initMode="random", featuresCol="_fv", predictionCol="_cell")
+        model = km.fit(ref.select(array_to_vector("_rv").alias("_fv")))
+        centers = np.stack(model.clusterCenters())
+        placed = model.transform(ref.withColumn("_fv", array_to_vector("_rv"))).drop("_fv")
+    ctab = ref.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "_cell INT, _c ARRAY<DOUBLE>")
+    radii = np.full(len(centers), -np.inf)                    # a cell without points holds nothing near
+    for r in (placed.join(F.broadcast(ctab), "_cell").groupBy("_cell")        # at most MAX_MODEL_BYTES
+              .agg(F.max(dist(F.col("_rv"), F.col("_c"))).alias("_r")).collect()):
+        radii[r["_cell"]] = r["_r"]
+    return placed, centers, radii
+
+
+def _visits(model, probe: int, certify: bool):
+    """Queries → one row per cell to search: the ``probe`` nearest, or (certify) every other cell
+    that can still hold a point as near as ``_bound``."""
+    import numpy as np
+    import pandas as pd
 
-    def assign(d: DataFrame) -> DataFrame:
-        return model.transform(d.withColumn("_fv", array_to_vector("_rv"))).drop("_fv")
-    return assign, centers
+    def run(frames):
+        centers, radii = model.value
+        for f in frames:
+            if f.empty:
+                continue
+            q = np.stack(f["_qv"].to_numpy()).astype(np.float64)
+            d2 = (q * q).sum(1)[:, None] + (centers * centers).sum(1) - 2 * (q @ centers.T)
+            d = np.sqrt(np.maximum(d2, 0.0))
+            first = np.argsort(d, axis=1, kind="stable")[:, :probe]
+            visit = np.zeros(d.shape, bool)
+            np.put_along_axis(visit, first, True, 1)
+            if certify:
+                scale = np.sqrt((q * q).sum(1))[:, None] + np.sqrt((centers * centers).sum(1))
+                visit = ~visit & (d - radii <= f["_bound"].to_numpy()[:, None] + 1e-7 * scale + 1e-12)
+            i, cell = np.nonzero(visit)
+            yield pd.DataFrame({"_qid": f["_qid"].to_numpy()[i], "_qv": f["_qv"].to_numpy()[i], "_cell": cell.astype("int32")})
+    return run
+
+
+def _top(pairs: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("_qid").orderBy("distance", "_rid")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _nearest(q: DataFrame, ref: DataFrame, k: int, self_join: bool, cells: int | None, probe: int, seed: int,
+             tile: int, report: dict | None) -> DataFrame:
+    """``_qid, _rid, distance``: exactly the k nearest of ``ref(_rid, _rv)`` for ``q(_qid, _qv)``."""
+    spark = q.sparkSession
+    if cells is None:
+        n = ref.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_rv")).alias("d")).first()
+        # about half a tile of points per cell, at least 16 cells, as many as the model may have
+        cells = max(1, min(max(16, 2 * n["n"] // tile), n["n"] // 8, MAX_MODEL_BYTES // (8 * max(1, n["d"] or 1))))
+    placed, centers, radii = _cells(ref, cells, seed)
+    placed = placed.checkpoint()                              # both rounds search it
+    model = spark.sparkContext.broadcast((centers, radii))
+    kind = f"_qid {q.schema['_qid'].dataType.simpleString()}, _qv array<double>, _cell int"
+    near = q.mapInPandas(_visits(model, probe, False), kind)
+    first = _top(_tile_search(near, placed, k, self_join, tile), k).checkpoint()
+    kth = first.groupBy("_qid").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_dk"))
+    open_ = q.join(kth, "_qid", "left").select("_qid", "_qv", F.when(F.col("_n") >= k, F.col("_dk")).otherwise(
+        F.lit(float("inf"))).alias("_bound"))
+    more = open_.mapInPandas(_visits(model, probe, True), kind)
+    if report is not None:                                    # how many (query, point) pairs are compared
+        counts = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_m"))
+        report["compared"] = near.unionByName(more).join(counts, "_cell").agg(F.sum("_m")).first()[0]
+        report["cells"] = len(centers)
+    found = first.select("_qid", "_rid", "distance").unionByName(_tile_search(more, placed, k, self_join, tile)).checkpoint()
+    return _top(found, k).select("_qid", "_rid", "distance")
 
 
 def knn(df: DataFrame, id_col: str, vec_col: str, k: int, query: DataFrame | None = None,
-        cells: int | None = None, probe: int = 2, seed: int = 42, tile: int = 2048) -> DataFrame:
+        cells: int | None = None, probe: int = 2, seed: int = 42, tile: int = 2048, report: dict | None = None) -> DataFrame:
     """The k nearest reference points of every query point (Euclidean), exact.
 
     ``query`` defaults to ``df`` itself (self-join, the point itself excluded).  Returns
-    ``(id, neighbor, distance, rank)`` with ties broken by neighbour id."""
-    spark = df.sparkSession
+    ``(id, neighbor, distance, rank)`` with ties broken by neighbour id.  Equal vectors are searched as
+    one point that stands for its ids, so n reposts of one text give n·k rows.  Null vectors are left
+    out.  ``report`` receives the number of cells and of compared pairs."""
+    checkpoint_dir(df.sparkSession)
     self_join = query is None
-    ref = df.select(F.col(id_col).alias("_rid"), as_double_array(vec_col).alias("_rv"))
-    q = (df if self_join else query).select(F.col(id_col).alias("_qid"), as_double_array(vec_col).alias("_qv"))
-    if cells is None:
-        # about one distance tile of points per cell: pruning where the data is clustered, few
-        # wasted cell visits where it is not (capped so the cell model stays broadcastable)
-        n = ref.count()
-        cells = max(2, min(4096, n // tile))
-    assign, centers = _cell_model(ref, cells, seed)
-    c_n = len(centers)
-    ref = assign(ref)
-    ctab = spark.createDataFrame([(i, c) for i, c in enumerate(centers)], "_cell INT, _c ARRAY<DOUBLE>")
-    radii = (ref.join(F.broadcast(ctab), "_cell")                         # size-checked above
-             .groupBy("_cell").agg(F.max(dist(F.col("_rv"), F.col("_c"))).alias("_r")))
-    # One row holding all centroids and radii, attached to every query row by a constant key.
-    cells_row = (radii.agg(F.sort_array(F.collect_list(F.struct("_cell", "_r"))).alias("_cr"))
-                 .select(F.lit(1).alias("_one"), F.col("_cr")))
-    model_row = spark.createDataFrame([(1, centers)], "_one INT, _centers ARRAY<ARRAY<DOUBLE>>") \
-        .join(cells_row, "_one")
-    model_row = model_row.withColumn("_radii", F.transform(
-        F.sequence(F.lit(0), F.lit(c_n - 1)),
-        lambda i: F.try_element_at(F.map_from_entries("_cr"), i))).drop("_cr")
-    qc = q.withColumn("_one", F.lit(1)).join(F.broadcast(model_row), "_one").drop("_one")
-    qc = qc.withColumn("_cd", F.transform("_centers", lambda c: dist(F.col("_qv"), c)))
-    # lower bound of the distance from q to any point of cell i: d(q, c_i) − r_i (empty cells: +inf)
-    qc = qc.withColumn("_lb", F.zip_with("_cd", "_radii", lambda d, r: F.when(r.isNull(), F.lit(float("inf")))
-                                         .otherwise(d - r)))
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(c_n - 1)),
-                                     lambda i: F.struct(F.element_at("_cd", i + 1).alias("d"), i.alias("i"))))
-    qc = qc.withColumn("_probe", F.transform(F.slice(order, 1, probe), lambda e: e["i"]))
+    ids = df.select(F.col(id_col).alias("_id"), as_double_array(vec_col).alias("_v")).where("_id is not null and _v is not null")
+    ids = ids.withColumn("_class", F.struct(F.xxhash64("_v"), F.sha2(F.to_json(F.struct("_v")), 256)))
+    points = ids.groupBy("_class").agg(F.min("_id").alias("_rid"), F.first("_v").alias("_rv"), F.count(F.lit(1)).alias("_n")).checkpoint()
+    if points.limit(1).count() == 0:
+        kind = df.schema[id_col].dataType.simpleString()
+        return df.sparkSession.createDataFrame([], f"{id_col} {(df if self_join else query).schema[id_col].dataType.simpleString()}, "
+                                               f"neighbor {kind}, distance double, rank long")
+    members = ids.join(points.select("_class", "_rid"), "_class").select("_rid", "_id")
+    # the k + 1 smallest ids of each point: all that a list of k can name (salted, then merged)
+    salted = Window.partitionBy("_rid", "_s").orderBy("_id")
+    merged = Window.partitionBy("_rid").orderBy("_id")
+    few = (members.withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(64))).withColumn("_k", F.row_number().over(salted)).where(F.col("_k") <= k + 1)
+           .withColumn("_k", F.row_number().over(merged)).where(F.col("_k") <= k + 1).select("_rid", "_id"))
+    ref = points.select("_rid", "_rv")
+    if self_join:
+        q = points.select(F.col("_rid").alias("_qid"), F.col("_rv").alias("_qv"))
+    else:
+        q = query.select(F.col(id_col).alias("_qid"), as_double_array(vec_col).alias("_qv")).where("_qid is not null and _qv is not null")
+    near = _nearest(q, ref, k, self_join, cells, probe, seed, tile, report)
+    if self_join:
+        near = near.unionByName(points.select(F.col("_rid").alias("_qid"), "_rid", F.lit(0.0).alias("distance")))
+    lists = near.join(few, "_rid").select("_qid", "distance", F.col("_id").alias("_rid"))
+    lists = _top(lists, k + 1).groupBy("_qid").agg(F.sort_array(F.collect_list(F.struct("distance", "_rid"))).alias("_l"))   # k + 1 entries
+    if self_join:
+        lists = (members.withColumnRenamed("_rid", "_qid").join(lists, "_qid")
+                 .select(F.col("_id").alias("_qid"), F.filter("_l", lambda e: e["_rid"] != F.col("_id")).alias("_l")))
+    return (lists.select("_qid", F.posexplode(F.slice("_l", 1, k)).alias("_p", "_e"))
+            .select(F.col("_qid").alias(id_col), F.col("_e._rid").alias("neighbor"), F.col("_e.distance").alias("distance"),
+                    (F.col("_p") + 1).cast("long").alias("rank")))
+
+
+def nearest_elsewhere(df: DataFrame, id_col: str, vec_col: str, group_col: str, tile: int = 2048) -> DataFrame:
+    """``(id, neighbor, distance)``: for every point the nearest point of another group (ties by id).
+    Each group's points are queries against the points of all others, cell by cell: k-means cells are
+    visited in the order of their lower bound only as long as they can hold a nearer point."""
+    spark = df.sparkSession
     checkpoint_dir(spark)
-    # read by both search rounds: written once to the shared checkpoint folder (cuts lineage,
-    # survives executor loss, holds no executor memory)
-    qc = qc.select("_qid", "_qv", "_lb", "_probe").checkpoint(eager=True)
-
-    def candidates(cells_col: str, src: DataFrame) -> DataFrame:
-        e = src.select("_qid", "_qv", F.explode(cells_col).alias("_cell"))
-        return _tile_search(e, ref, k, self_join, tile)
-
-    def top(pairs: DataFrame) -> DataFrame:
-        w = Window.partitionBy("_qid").orderBy("distance", "_rid")
-        return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    x = df.select(F.col(id_col).alias("_rid"), as_double_array(vec_col).alias("_rv"), F.col(group_col).cast("string").alias("_g")).checkpoint()
+    n = x.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_rv")).alias("d")).first()
+    cells = max(1, min(max(16, 2 * n["n"] // tile), n["n"] // 8, MAX_MODEL_BYTES // (8 * max(1, n["d"] or 1))))
+    placed, centers, radii = _cells(x, cells, 42)
+    placed = placed.checkpoint()
+    model = spark.sparkContext.broadcast((centers, radii))
+    # a first bound: the distance to one point (the smallest id) of some other group, per cell of groups
+    firsts = x.groupBy("_g").agg(F.min(F.struct("_rid", "_rv")).alias("_f"))
+    two = firsts.orderBy("_g").limit(2).collect()
+    if len(two) < 2:
+        kind = df.schema[id_col].dataType.simpleString()
+        return spark.createDataFrame([], f"{id_col} {kind}, neighbor {kind}, distance double")
+    other = F.when(F.col("_qg") == two[0]["_g"], F.lit(two[1]["_f"]["_rv"])).otherwise(F.lit(two[0]["_f"]["_rv"]))
+    q = placed.select(F.col("_rid").alias("_qid"), F.col("_rv").alias("_qv"), F.col("_g").alias("_qg"))
+    bound = dist(F.col("_qv"), other)
+
+    # own cell first for a tight bound, then every cell that can hold a nearer point
+    own = _tile_elsewhere(placed.select("_cell", F.col("_rid").alias("_qid"), F.col("_rv").alias("_qv"), F.col("_g").alias("_qg")), placed, tile).checkpoint()
+    best = own.groupBy("_qid").agg(F.min("distance").alias("_d"))
+    open_ = q.join(best, "_qid", "left").select("_qid", "_qv", "_qg", F.least(F.coalesce("_d", bound), bound).alias("_bound"))
+    kind = f"_qid {q.schema['_qid'].dataType.simpleString()}, _qv array<double>, _cell int"
+    more = open_.select("_qid", "_qv", "_bound").mapInPandas(_visits(model, 0, True), kind).join(q.select("_qid", "_qg"), "_qid")
+    found = own.unionByName(_tile_elsewhere(more, placed, tile))
+    top = found.groupBy("_qid").agg(F.min(F.struct("distance", "_rid")).alias("_m"))
+    return top.select(F.col("_qid").alias(id_col), F.col("_m._rid").alias("neighbor"), F.col("_m.distance").alias("distance"))
+
+
+def _tile_elsewhere(q: DataFrame, ref: DataFrame, tile: int) -> DataFrame:
+    """Per tile of a cell: each query's nearest reference row of another group."""
+    import numpy as np
+    import pandas as pd
 
-    first = top(candidates("_probe", qc)).checkpoint(eager=True)   # k-th distance and final merge
-    kth = first.groupBy("_qid").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_dk"))
-    # certification: every unprobed cell that the triangle inequality cannot exclude
-    chk = qc.join(kth, "_qid", "left").withColumn(
-        "_bound", F.when(F.col("_n") >= k, F.col("_dk")).otherwise(F.lit(float("inf"))))
-    chk = chk.withColumn("_extra", F.filter(
-        F.sequence(F.lit(0), F.lit(c_n - 1)),
-        lambda i: (~F.array_contains(F.col("_probe"), i))
-        & (F.element_at("_lb", i + 1) <= F.col("_bound") * F.lit(1.0 + 1e-9) + F.lit(1e-12))))
-    extra = chk.where(F.size("_extra") > 0).select("_qid", "_qv", "_extra")
-    more = candidates("_extra", extra)
-    final = top(first.select("_qid", "_rid", "distance").unionByName(more))
-    return final.select(F.col("_qid").alias(id_col), F.col("_rid").alias("neighbor"), "distance",
-                        F.col("rank").cast("long").alias("rank"))
+    def run(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        out = {"_qid": [], "_rid": [], "distance": []}
+        if len(qp) and len(rp):
+            rp = rp.sort_values("_rid", kind="stable")
+            Q, R = (np.stack(c.to_numpy()).astype(np.float64) for c in (qp["_qv"], rp["_rv"]))
+            rr, rid = (R * R).sum(1), rp["_rid"].to_numpy()
+            groups, qg = rp["_g"].to_numpy(), qp["_qg"].to_numpy()
+            step = max(1, 4_000_000 // len(R))
+            for s0 in range(0, len(Q), step):
+                q = Q[s0:s0 + step]
+                qq = (q * q).sum(1)
+                near = qq[:, None] + rr - 2 * (q @ R.T)
+                near[qg[s0:s0 + step, None] == groups[None, :]] = np.inf
+                for i in np.flatnonzero(np.isfinite(near).any(1)).tolist():
+                    some = np.flatnonzero(near[i] <= near[i].min() + 1e-9 * (qq[i] + rr.max()))
+                    d = np.sqrt(((R[some] - q[i]) ** 2).sum(1))
+                    k = int(np.argmin(d))
+                    out["_qid"].append(qp["_qid"].iloc[s0 + i])
+                    out["_rid"].append(rid[some[k]])
+                    out["distance"].append(float(d[k]))
+        return pd.DataFrame(out).astype({"_qid": qp["_qid"].dtype, "_rid": rp["_rid"].dtype, "distance": "float64"})
+
+    ref = ref.select(*(F.col(c).alias(c) for c in ("_cell", "_rid", "_rv", "_g")))     # both sides may stem from one table
+    qn = q.groupBy("_cell").agg(F.count(F.lit(1)).alias("_nq"))
+    rn = ref.groupBy("_cell").agg(F.count(F.lit(1)).alias("_nr"))
+    splits = qn.join(rn, "_cell").select("_cell", F.ceil(F.col("_nq") / tile).cast("int").alias("_sq"), F.ceil(F.col("_nr") / tile).cast("int").alias("_sr"))
+    qs = (q.join(splits, "_cell").withColumn("_tq", F.pmod(F.xxhash64("_qid"), F.col("_sq")).cast("int"))
+          .withColumn("_tr", F.explode(F.sequence(F.lit(0), F.col("_sr") - 1))).select("_cell", "_tq", "_tr", "_qid", "_qv", "_qg"))
+    rs = (ref.join(splits, "_cell").withColumn("_tr", F.pmod(F.xxhash64("_rid"), F.col("_sr")).cast("int"))
+          .withColumn("_tq", F.explode(F.sequence(F.lit(0), F.col("_sq") - 1))).select("_cell", "_tq", "_tr", "_rid", "_rv", "_g"))
+    kinds = f"_qid {q.schema['_qid'].dataType.simpleString()}, _rid {ref.schema['_rid'].dataType.simpleString()}, distance double"
+    return qs.groupBy("_cell", "_tq", "_tr").cogroup(rs.groupBy("_cell", "_tq", "_tr")).applyInPandas(run, kinds)
 
 
 def kth_distance(knn_df: DataFrame, id_col: str, k: int) -> DataFrame:
@@ -230,22 +345,33 @@ def kth_distance(knn_df: DataFrame, id_col: str, k: int) -> DataFrame:
 
 # ---------------------------------------------------------------- H2, H4
 
+def _rank_values(df: DataFrame, value: str, id_col: str, common: float) -> DataFrame:
+    """Exact ranks by value.  Order among equal values has no effect on the fits, so the value that
+    copies share (``common``) is cut into buckets by a hash of the id: no rank task holds them all."""
+    x = df.withColumn("_h", F.shiftrightunsigned(F.xxhash64(id_col), 48))
+    v = F.col(value)
+    bucket = F.struct(F.when(v > 0, positive_bucket(F.greatest(v, F.lit(1e-300)))).otherwise(F.lit(-1).cast("long")).alias("a"),
+                      F.when(v == common, 1).when(v > common, 2).otherwise(0).alias("b"),
+                      F.when(v == common, F.col("_h")).otherwise(F.lit(0).cast("long")).alias("c"))
+    return exact_rank(x, [value, "_h", id_col], bucket, with_size=True).drop("_h")
+
+
 def twonn_dimension(knn_df: DataFrame, id_col: str, discard: float = 0.1,
                     clip: tuple[int, int] = (5, 50)) -> DataFrame:
     """H2: TwoNN intrinsic dimension.  μ = r2/r1 sorted ascending; the largest ``discard`` share
-    dropped; d = Σ ln μ · (−ln(1 − i/N)) / Σ (ln μ)² (a line through the origin); the integer
+    dropped; points whose nearest neighbour is at distance 0 have no ratio and are left out; d = Σ ln μ · (−ln(1 − i/N)) / Σ (ln μ)² (a line through the origin); the integer
     estimate is clip(round-half-even(d))."""
     r = knn_df.where(F.col("rank") <= 2).groupBy(id_col).agg(
         F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("r1"),
         F.max(F.when(F.col("rank") == 2, F.col("distance"))).alias("r2"))
-    mu = r.select(id_col, (F.col("r2") / F.col("r1")).alias("mu"))
-    ranked = exact_rank(mu, ["mu", id_col], positive_bucket(F.col("mu")), with_size=True)
+    mu = r.where("r1 > 0").select(id_col, (F.col("r2") / F.col("r1")).alias("mu"))
+    ranked = _rank_values(mu, "mu", id_col, 1.0)
     i = F.col("rank") - 1
     n = F.col("group_size")
     kept = ranked.where(i < F.floor(n * F.lit(1.0 - discard)))
     x = F.log(F.col("mu"))
     y = -F.log(F.lit(1.0) - i / n)
-    out = kept.agg((F.sum(x * y) / F.sum(x * x)).alias("dimension"), F.first(n).alias("n"))
+    out = kept.agg(F.try_divide(F.sum(x * y), F.sum(x * x)).alias("dimension"), F.first(n).alias("n"))
     return out.withColumn("intrinsic_dim",
                           F.least(F.greatest(F.bround("dimension", 0), F.lit(float(clip[0]))),
                                   F.lit(float(clip[1]))).cast("int"))
@@ -254,8 +380,7 @@ def twonn_dimension(knn_df: DataFrame, id_col: str, discard: float = 0.1,
 def elbow_sharpness(kdist: DataFrame, id_col: str, plateau: float = 0.8, cliff: float = 0.9) -> DataFrame:
     """H4: sort the k-distances; slope m1 over the first ``plateau`` share, slope m2 from the
     ``cliff`` share on; sharpness = m2 − m1 (the search maximises it)."""
-    ranked = exact_rank(kdist, ["kdist", id_col], positive_bucket(F.col("kdist") + F.lit(1e-300)),
-                        with_size=True)
+    ranked = _rank_values(kdist, "kdist", id_col, 0.0)
     x = (F.col("rank") - 1).cast("double")
     n = F.col("group_size")
     pe = F.floor(n * F.lit(plateau))

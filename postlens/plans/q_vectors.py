@@ -62,7 +62,7 @@ def kdist_elbow(spark, sf_dir):
 WITH {_PAIRS},
 r AS (SELECT vec_id, max(CASE WHEN rank = 1 THEN distance END) AS r1,
              max(CASE WHEN rank = 2 THEN distance END) AS r2 FROM nn GROUP BY vec_id),
-m AS (SELECT vec_id, r2 / r1 AS mu FROM r),
+m AS (SELECT vec_id, r2 / r1 AS mu FROM r WHERE r1 > 0),
 o AS (SELECT mu, row_number() OVER (ORDER BY mu, vec_id) - 1 AS i, count(*) OVER () AS n FROM m),
 k AS (SELECT ln(mu) AS x, -ln(1.0 - i / n) AS y, n FROM o WHERE i < floor(n * 0.9)),
 d AS (SELECT sum(x * y) / sum(x * x) AS dimension, first(n) AS n FROM k)
@@ -99,13 +99,52 @@ def kmeans_search(spark, sf_dir):
     return scores
 
 
-@register("density_cluster")
+def _density_sql(where: str) -> str:
+    """CTEs of H5 on the rows of ``embeddings`` that ``where`` names: nn, core, eps, lab, mx."""
+    pairs = _PAIRS.replace("FROM embeddings)", f"FROM embeddings WHERE {where})").replace(f"rank <= {K}", "rank <= 4")
+    return f"""
+WITH RECURSIVE {pairs},
+core AS (SELECT vec_id, distance AS core FROM nn WHERE rank = 4),
+eps AS (SELECT quantile_disc(core, 0.6) AS eps FROM core),
+ed AS (SELECT n.vec_id AS a, n.neighbor AS b, greatest(c.core, d.core, n.distance) AS m
+       FROM nn n JOIN core c ON c.vec_id = n.vec_id JOIN core d ON d.vec_id = n.neighbor),
+eb AS (SELECT a, b FROM ed, eps WHERE m <= eps UNION SELECT b, a FROM ed, eps WHERE m <= eps),
+reach(v, c) AS (SELECT vec_id, vec_id FROM core, eps WHERE core <= eps
+                UNION SELECT eb.b, reach.c FROM reach JOIN eb ON eb.a = reach.v),
+comp AS (SELECT v, min(c) AS comp FROM reach GROUP BY v),
+big AS (SELECT comp FROM comp GROUP BY comp HAVING count(*) >= 5),
+num AS (SELECT comp, CAST(row_number() OVER (
+          ORDER BY ('0x' || substr(md5('42:' || CAST(comp AS VARCHAR)), 1, 15))::BIGINT, comp) - 1 AS INTEGER) AS cluster FROM big),
+lab AS (SELECT v AS vec_id, cluster FROM comp JOIN num USING (comp)),
+mx AS (SELECT cluster, min(core) AS cmin FROM lab JOIN core USING (vec_id) GROUP BY cluster),
+model AS (SELECT e.vec_id, e.v, coalesce(cluster, -1) AS cluster,
+                 CASE WHEN cluster IS NULL THEN 0.0 WHEN core = 0 THEN 1.0 ELSE least(1.0, cmin / core) END AS probability,
+                 core, (SELECT eps FROM eps) AS eps
+          FROM e LEFT JOIN core USING (vec_id) LEFT JOIN lab USING (vec_id) LEFT JOIN mx USING (cluster))
+"""
+
+
+@register("density_cluster", _density_sql("true") + "SELECT vec_id, cluster, probability, core, eps FROM model")
 def density_cluster(spark, sf_dir):
     return CL.density_cluster(_emb(spark, sf_dir), "vec_id", "embedding", min_samples=5, min_cluster_size=5,
                               eps_quantile=0.6)
 
 
-@register("cluster_predict")
+@register("reduce_cluster")
+def reduce_cluster(spark, sf_dir):
+    """H2, H3 twice, H5: the chain of the study."""
+    return CL.reduce_and_cluster(_emb(spark, sf_dir), "vec_id", "embedding", min_samples=5, min_cluster_size=5, eps_quantile=0.6)
+
+
+@register("cluster_predict", _density_sql("vec_id % 2 = 0") + """
+, o AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 2 = 1),
+near AS (SELECT o.vec_id, m.cluster, m.probability, m.eps,
+                sqrt(list_sum(list_transform(list_zip(o.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance, m.vec_id AS nb
+         FROM o LEFT JOIN model m ON m.cluster >= 0
+         QUALIFY row_number() OVER (PARTITION BY o.vec_id ORDER BY distance, nb) = 1)
+SELECT vec_id, CASE WHEN distance <= eps THEN cluster ELSE -1 END AS cluster,
+       CASE WHEN distance <= eps THEN probability ELSE 0.0 END AS probability FROM near
+""")
 def cluster_predict(spark, sf_dir):
     """H9: cluster the even-numbered half, then place the odd-numbered half."""
     emb = _emb(spark, sf_dir)
@@ -115,22 +154,72 @@ def cluster_predict(spark, sf_dir):
     return CL.predict_clusters(model, ref, new, "vec_id", "embedding")
 
 
-@register("cluster_validity")
+_VALIDITY_SQL = f"""
+WITH {_PAIRS.replace(f"rank <= {K}", "rank <= 4")},
+core AS (SELECT vec_id, distance AS core FROM nn WHERE rank = 4),
+lb AS (SELECT vec_id, label FROM embeddings),
+ed AS (SELECT n.vec_id AS a, n.neighbor AS b, greatest(c.core, d.core, n.distance) AS m
+       FROM nn n JOIN core c ON c.vec_id = n.vec_id JOIN core d ON d.vec_id = n.neighbor),
+kl AS (SELECT x.label AS ka, y.label AS kb, m FROM (SELECT a, b, m FROM ed UNION ALL SELECT b, a, m FROM ed) t
+       JOIN lb x ON x.vec_id = t.a JOIN lb y ON y.vec_id = t.b),
+"""
+
+
+@register("cluster_validity", _VALIDITY_SQL + """
+sp AS (SELECT ka AS label, max(m) FILTER (WHERE ka = kb) AS sparse FROM kl GROUP BY ka),
+fr AS (SELECT p.vec_id, p.neighbor, p.distance, x.label FROM pairs p
+       JOIN lb x ON x.vec_id = p.vec_id JOIN lb y ON y.vec_id = p.neighbor WHERE x.label <> y.label
+       QUALIFY row_number() OVER (PARTITION BY p.vec_id ORDER BY p.distance, p.neighbor) = 1),
+se AS (SELECT fr.label, min(greatest(c.core, d.core, fr.distance)) AS sep
+       FROM fr JOIN core c ON c.vec_id = fr.vec_id JOIN core d ON d.vec_id = fr.neighbor GROUP BY fr.label),
+sz AS (SELECT label, count(*) AS n FROM lb GROUP BY label)
+SELECT sum((sep - coalesce(sparse, 0)) / greatest(sep, coalesce(sparse, 0)) * n / (SELECT count(*) FROM lb)) AS validity,
+       count(*) AS n_clusters
+FROM sz JOIN sp USING (label) JOIN se USING (label)
+""")
 def cluster_validity(spark, sf_dir):
-    emb = _emb(spark, sf_dir)
-    from postlens.session import checkpoint_dir
-    checkpoint_dir(spark)
-    nn = V.knn(emb, "vec_id", "embedding", 4).checkpoint(eager=True)
-    cl = CL.density_cluster(emb, "vec_id", "embedding", 5, 5, eps_quantile=0.6, nn=nn)
-    return CL.validity(cl, nn, "vec_id", 5)
+    """H7 (dbcv) of the given labels as clusters."""
+    emb = _emb(spark, sf_dir).withColumnRenamed("label", "cluster")
+    nn = V.knn(emb, "vec_id", "embedding", 4)
+    return CL.validity(emb, nn, "vec_id", 5, "dbcv", emb.drop("cluster"), "embedding")
+
+
+@register("cluster_stability", _VALIDITY_SQL + """
+st AS (SELECT ka AS label, max(m) FILTER (WHERE ka = kb) AS sparse, min(m) FILTER (WHERE ka <> kb) AS sep FROM kl GROUP BY ka),
+w AS (SELECT label, coalesce(sparse, 0) AS sparse, coalesce(sep, (SELECT 2 * max(m) FROM kl)) AS sep FROM st),
+sz AS (SELECT label, count(*) AS n FROM lb GROUP BY label)
+SELECT sum((sep - sparse) / greatest(sep, sparse) * n / (SELECT count(*) FROM lb)) AS validity, count(*) AS n_clusters
+FROM sz JOIN w USING (label)
+""")
+def cluster_stability(spark, sf_dir):
+    """H7 (relative validity) of the given labels as clusters."""
+    emb = _emb(spark, sf_dir).withColumnRenamed("label", "cluster")
+    nn = V.knn(emb, "vec_id", "embedding", 4)
+    return CL.validity(emb, nn, "vec_id", 5, "stability")
 
 
 @register("cluster_param_search")
 def cluster_param_search(spark, sf_dir):
-    scores, _, _ = CL.search_parameters(_emb(spark, sf_dir), "vec_id", "embedding", "heuristic", [5, 10, 15, 20])
+    """H6, heuristic mode over its whole range."""
+    scores, _, _ = CL.search_parameters(_emb(spark, sf_dir), "vec_id", "embedding", "heuristic")
     return scores
 
 
+@register("cluster_param_mix")
+def cluster_param_mix(spark, sf_dir):
+    return CL.search_parameters(_emb(spark, sf_dir), "vec_id", "embedding", "mix", [5, 20, 50, 100])[0]
+
+
+@register("cluster_param_dbcv")
+def cluster_param_dbcv(spark, sf_dir):
+    return CL.search_parameters(_emb(spark, sf_dir), "vec_id", "embedding", "dbcv", [5, 20])[0]
+
+
+@register("cluster_param_stability")
+def cluster_param_stability(spark, sf_dir):
+    return CL.search_parameters(_emb(spark, sf_dir), "vec_id", "embedding", "stability", [5, 20])[0]
+
+
 @register("embed_text")
 def embed_text(spark, sf_dir):
     return V.embed_text(posts_from_documents(spark, sf_dir), "content", 256).select("tweet_id", "embedding")

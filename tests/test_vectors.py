@@ -52,12 +52,77 @@ def test_knn_query_set(spark, blobs):
     assert [r["neighbor"] for r in sorted(nn, key=lambda r: r["rank"])] == [j for _, j in want]
 
 
-def test_connected_components(spark):
-    v = spark.createDataFrame([(i,) for i in range(8)], "_v LONG")
-    e = [(0, 1), (1, 2), (2, 3), (5, 6)]
-    edges = spark.createDataFrame(e + [(b, a) for a, b in e], "_a LONG, _b LONG")
-    got = {r["_v"]: r["_comp"] for r in CL.connected_components(v, edges).collect()}
-    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 5, 6: 5, 7: 7}
+def test_candidates_stay_well_below_all_pairs(spark):
+    rnd = random.Random(5)
+    centers = [[rnd.uniform(-100, 100) for _ in range(4)] for _ in range(40)]
+    rows = [(i, [x + rnd.gauss(0, 0.5) for x in centers[i % 40]]) for i in range(1200)]
+    report = {}
+    nn = V.knn(spark.createDataFrame(rows, "id LONG, v ARRAY<DOUBLE>"), "id", "v", 3, cells=40, report=report)
+    got = {}
+    for r in nn.orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbor"])
+    assert got == _brute(rows, 3)
+    print("compared", report)
+    assert report["compared"] < 0.35 * 1200 * 1200
+
+
+def test_equal_vectors_give_n_times_k_rows(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(300)] + [(1000, [1.0, 3.0]), (1001, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id LONG, v ARRAY<DOUBLE>")
+    nn = V.knn(df, "id", "v", 5)
+    got = {}
+    for r in nn.orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbor"])
+    assert got == _brute(rows, 5)
+    assert V.twonn_dimension(V.knn(df, "id", "v", 2), "id").count() == 1
+    assert V.elbow_sharpness(V.kth_distance(nn, "id", 5), "id").first()["m1"] == 0.0
+    out = CL.density_cluster(df, "id", "v", 5, 5, eps=0.0).collect()
+    assert all((r["cluster"], r["probability"]) == ((0, 1.0) if r["id"] < 1000 else (-1, 0.0)) for r in out)
+
+
+def test_equidistant_points_tie_by_id(spark):
+    rows = [(i, [1.0 if i == j else 0.0 for j in range(40)]) for i in range(40)]
+    nn = V.knn(spark.createDataFrame(rows, "id LONG, v ARRAY<DOUBLE>"), "id", "v", 3, cells=2)
+    got = {}
+    for r in nn.orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbor"])
+    assert got == _brute(rows, 3)
+
+
+def test_zero_vector_has_no_cosine(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0])], "id LONG, v ARRAY<DOUBLE>")
+    got = {r["id"]: r["similarity"] for r in V.centroid_similarity(df, "id", "v").collect()}
+    assert got[1] is None and got[2] == pytest.approx(1.0)
+
+
+def test_text_ids_and_modes(spark, blobs):
+    df, rows = blobs
+    text = df.selectExpr("concat('post-', id) AS id", "v")
+    out = CL.density_cluster(text, "id", "v", min_samples=5, min_cluster_size=10, eps=1.5)
+    assert {r["cluster"] for r in out.collect()} == {-1, 0, 1, 2}
+    with pytest.raises(ValueError):
+        CL.search_parameters(df, "id", "v", "other")
+    a, b = (CL.search_parameters(df, "id", "v", m, [5, 10])[0].collect() for m in ("Mix", "mix"))
+    assert a == b and a[0]["min_cluster_size"] == a[0]["min_samples"]
+
+
+def test_validity_scores(spark, blobs):
+    df, rows = blobs
+    nn = V.knn(df, "id", "v", 4).checkpoint()
+    three = df.selectExpr("id", "CASE WHEN id < 180 THEN CAST(id DIV 60 AS INT) ELSE -1 END AS cluster")
+    mixed = df.selectExpr("id", "CASE WHEN id < 180 THEN CAST(id % 3 AS INT) ELSE -1 END AS cluster")
+    for score in ("dbcv", "stability"):
+        good, bad = (CL.validity(c, nn, "id", 5, score, df, "v").first()["validity"] for c in (three, mixed))
+        assert good > 0.4 > 0.0 > bad >= -1.0
+    one = df.selectExpr("id", "0 AS cluster")
+    assert CL.validity(one, nn, "id", 5, "dbcv", df, "v").first()["validity"] == -1.0
+
+
+def test_nearest_elsewhere(spark, blobs):
+    df, rows = blobs
+    x = df.selectExpr("id", "v", "CAST(id % 4 AS INT) AS g")
+    got = {r["id"]: r["neighbor"] for r in V.nearest_elsewhere(x, "id", "v", "g", tile=32).collect()}
+    assert got == {i: min((math.dist(a, b), j) for j, b in rows if j % 4 != i % 4)[1] for i, a in rows}
 
 
 def test_density_clusters_find_blobs(spark, blobs):
