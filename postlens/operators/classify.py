@@ -181,7 +181,7 @@ def _weighted(df: DataFrame, label_col: str, mode: str | None, classes: Sequence
         .drop("weight")
 
 
-def text_pipeline(text_col: str, label_col: str, reg: float, features: int = 1 << 18) -> Pipeline:
+def text_pipeline(text_col: str, label_col: str, reg: float, features: int = 1 << 16) -> Pipeline:
     """Hashed term counts: every term has a place, however many there are."""
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"#?[\p{L}\p{N}_]+", gaps=False),
@@ -216,6 +216,19 @@ def train_classifier(df: DataFrame, text_col: str, label_col: str, id_col: str,
     return model, spark.createDataFrame(rows, "reg_param DOUBLE, macro_f1 DOUBLE, accuracy DOUBLE")
 
 
+def train_focal(df: DataFrame, text_col: str, label_col: str, classes: Sequence[int], reg: float = 0.01,
+                gamma: float = 2.0, rounds: int = 2, weights: str | None = "balanced"):
+    """H10 with focal weighting: after a first fit every row is weighted by (1 - p of its class)^gamma
+    times its class weight and the model is fitted again, so well-classified rows count less."""
+    x = _weighted(df.withColumn("_y", F.col(label_col).cast("double")), label_col, weights, classes)
+    model = text_pipeline(text_col, label_col, reg).fit(x)
+    for _ in range(rounds - 1):
+        p = F.element_at(vector_to_array("_prob"), F.col("_y").cast("int") + 1)
+        again = model.transform(x).withColumn("_w", F.col("_w") * F.pow(F.lit(1.0) - p, gamma) + F.lit(1e-6)).select(*x.columns)
+        model = text_pipeline(text_col, label_col, reg).fit(again)
+    return model
+
+
 def score(model, df: DataFrame, n_classes: int = 2) -> DataFrame:
     """Predicted class, confidence and per-class probability columns."""
     out = model.transform(df.withColumn("_w", F.lit(1.0)).withColumn("_y", F.lit(0.0)))

@@ -138,7 +138,7 @@ RELEVANCE_RULES = RuleSet(rules=(
     Rule("layer3_general", False, 1.0, "General mention of the institution.",
          all_of=(GENERAL,), text_only=True),
     Rule("layer4a_opinion", True, 0.9, "Relevant hashtag matches opinion in text.",
-         all_of=(OPINION,), tags=RELEVANT_TAGS),
+         all_of=(OPINION,), tags=RELEVANT_TAGS, text_only=True),
     Rule("layer4b_hashtag_only", True, 0.5, "Hashtag-only post with relevant hashtags.",
          tags=RELEVANT_TAGS, hashtag_only=True),
     Rule("layer4c_mismatch", False, 1.0, "Context-hashtag mismatch.", tags=RELEVANT_TAGS),

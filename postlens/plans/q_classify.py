@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postlens.operators import classify as C
+from postlens.operators import evaluate as E
 from postlens.operators import keywords as K
 from postlens.operators import sampling as S
 from postlens.plans.registry import register
@@ -98,6 +99,33 @@ def batch_score(spark, sf_dir):
     return scored.select("tweet_id", "label", "pred", "confidence", "prob_0", "prob_1")
 
 
+@register("batch_score_counts")
+def batch_score_counts(spark, sf_dir):
+    """How many held-out posts got each class, and how sure the model is on average."""
+    return batch_score(spark, sf_dir).groupBy("pred").agg(F.count(F.lit(1)).alias("cnt"), F.avg("confidence").alias("confidence"))
+
+
+def _sentiment(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels")
+    sent = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
+    return posts_from_documents(spark, sf_dir).join(lab.select(F.col("doc_id").alias("tweet_id"), sent.alias("label")), "tweet_id")
+
+
+@register("sentiment_classifier")
+def sentiment_classifier(spark, sf_dir):
+    """Three classes with focal weighting; precision, recall and F1 per class on held-out posts."""
+    parts = S.split_exact(_sentiment(spark, sf_dir), "tweet_id", test=0.2)
+    model = C.train_focal(parts.where("split = 'train'"), "content", "label", (0, 1, 2))
+    return E.per_class_metrics(C.score(model, parts.where("split = 'test'"), 3).select("label", "pred"), (0, 1, 2),
+                               names=("Negative", "Neutral", "Positive"))
+
+
+@register("relevance_metrics")
+def relevance_metrics(spark, sf_dir):
+    """The binary model's precision, recall and F1 per class on held-out posts."""
+    return E.per_class_metrics(batch_score(spark, sf_dir), (0, 1), names=("Irrelevant", "Relevant"))
+
+
 @register("self_training")
 def self_training(spark, sf_dir):
     """One expansion round on the 75/25 labelled split with 200 unlabelled posts."""

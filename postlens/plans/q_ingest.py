@@ -234,11 +234,36 @@ FROM x
 """
 
 
-def _rule_query(name, rules):
+def _triggers(rules: R.RuleSet) -> list[tuple[str, bool]]:
+    """For each rule and each of its phrases a text that it fires on: (added words, replace the post?)."""
+    out = []
+    for r in rules.rules:
+        tag = f" {r.tags[0]}" if r.tags else ""
+        if r.hashtag_only:
+            out += [(t, True) for t in r.tags]
+            continue
+        for k, group in enumerate(r.all_of):
+            rest = " ".join(g[0] for i, g in enumerate(r.all_of) if i != k)
+            out += [(f" {rest} {phrase}{tag}", False) for phrase in group]
+        if not r.all_of:
+            out += [(f" {t}", False) for t in r.tags]
+    return out + [("", False)]
+
+
+def _rule_query(name, rules, triggers=False):
+    """The rules over the posts; with ``triggers`` every post also carries the words of one rule, in
+    turn, so that each rule and each of its phrases decides some post."""
+    cases = _triggers(rules) if triggers else [("", False)]
+
     def q(spark, sf_dir):
-        out = R.rule_label(posts_from_documents(spark, sf_dir), rules)
+        posts, k, content = posts_from_documents(spark, sf_dir), F.pmod(F.col("tweet_id"), F.lit(len(cases))), F.col("content")
+        for i, (words, alone) in enumerate(cases):
+            content = F.when(k == i, F.lit(words) if alone else F.concat(F.col("content"), F.lit(words))).otherwise(content)
+        out = R.rule_label(posts.withColumn("content", content), rules)
         return out.select("tweet_id", "label", "confidence", "rule")
-    register(name, _rules_sql(rules, POSTS_SQL))(q)
+
+    whens = " ".join(f"WHEN {i} THEN " + (f"'{w}'" if alone else f"concat(content, '{w}')") for i, (w, alone) in enumerate(cases))
+    register(name, _rules_sql(rules, f"SELECT tweet_id, CASE tweet_id % {len(cases)} {whens} END AS content FROM ({POSTS_SQL})"))(q)
 
 
 # Fixed values of the catalogue: a rule set over words that occur in the decorated posts view.
@@ -252,9 +277,9 @@ CATALOGUE_RULES = R.RuleSet(rules=(
     R.Rule("mismatch", False, 1.0, "tag without context", tags=("#topic6", "#tag_01")),
 ), default_label=False, default_confidence=1.0)
 
-_rule_query("rule_label", R.RELEVANCE_RULES)
+_rule_query("rule_label", R.RELEVANCE_RULES, triggers=True)
 _rule_query("rule_label_catalogue", CATALOGUE_RULES)
-_rule_query("sentiment_rules", R.SENTIMENT_RULES)
+_rule_query("sentiment_rules", R.SENTIMENT_RULES, triggers=True)
 
 
 def _labeller(text: str) -> str:
@@ -332,6 +357,31 @@ def validate_posts(spark, sf_dir):
             .unionByName(rejected.select("conv_id", "turn", "reason")))
 
 
+@register("validate_posts_all", f"""
+WITH {_V1_SQL},
+b AS (SELECT *, time IS NULL OR content IS NULL AS bad FROM v1 WHERE conv_id % 2 = 0),
+n AS (SELECT count(*) FILTER (WHERE bad) AS n_bad FROM b)
+SELECT conv_id, turn,
+       CASE WHEN n_bad = 0 THEN NULL WHEN NOT bad THEN 'batch rejected' ELSE
+         'missing or not a string: ' || concat_ws(', ', CASE WHEN time IS NULL THEN 'time' END,
+                                                   CASE WHEN content IS NULL THEN 'content' END) END AS reason
+FROM b, n
+UNION ALL
+SELECT conv_id, turn, NULL FROM v1 WHERE conv_id % 2 = 1 AND time IS NOT NULL AND content IS NOT NULL
+""")
+def validate_posts_all(spark, sf_dir):
+    """A11, batch mode, on two batches: one with bad items (all rejected), one without (all taken)."""
+    items = _v1_items(spark, sf_dir)
+    out = None
+    for batch in (items.where("conv_id % 2 = 0"),
+                  items.where("conv_id % 2 = 1 AND time IS NOT NULL AND content IS NOT NULL")):
+        valid, rejected = IN.validate_posts(batch, mode="all")
+        both = (valid.select("conv_id", "turn", F.lit(None).cast("string").alias("reason"))
+                .unionByName(rejected.select("conv_id", "turn", "reason")))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 @register("filter_min_content", f"""
 WITH p AS ({POSTS_SQL}),
 c AS (SELECT tweet_id, trim(regexp_replace(content, '@\\S+', '', 'g')) AS content FROM p)
@@ -598,6 +648,37 @@ def json_roundtrip(spark, sf_dir):
     return IN.normalize_posts(spark.read.schema(IN.RAW_DUMP_SCHEMA).json(path))
 
 
+@register("json_array_read", """
+SELECT CAST(event_id AS VARCHAR) AS tweet_id, CAST(user_id AS VARCHAR) AS author, event_type AS content, '1 suka' AS data,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') AS time FROM events
+""")
+def json_array_read(spark, sf_dir):
+    """A2: dump files that hold one JSON array each (a thousand records a file), read as records."""
+    from postlens.streaming.ingest import scratch_path
+    path = scratch_path(spark, "arrays")
+    ev = table(spark, sf_dir, "events")
+    item = F.struct(_s(F.col("event_id")).alias("tweet_id"), _s(F.col("user_id")).alias("author"), F.col("event_type").alias("content"),
+                    F.lit("1 suka").alias("data"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("time"))
+    part = F.floor(F.col("event_id") / 1000).alias("part")
+    (ev.groupBy(part).agg(F.to_json(F.collect_list(item)).alias("value")).write.option("maxRecordsPerFile", 1)
+     .partitionBy("part").text(path))
+    schema = "tweet_id string, author string, content string, data string, time string"
+    return IN.read_json_array(spark, f"{path}/*", spark.createDataFrame([], schema).schema)
+
+
+@register("lines_roundtrip", f"""
+WITH p AS ({POSTS_SQL})
+SELECT trim(regexp_replace(content, '\\s+', ' ', 'g')) AS line, count(*) AS cnt FROM p GROUP BY 1
+""")
+def lines_roundtrip(spark, sf_dir):
+    """Posts on one line each written as a text file and read back."""
+    from postlens.streaming.ingest import scratch_path
+    path = scratch_path(spark, "lines")
+    one = F.trim(F.regexp_replace("content", r"\s+", " "))
+    IN.write_lines(posts_from_documents(spark, sf_dir).select(one.alias("content")), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
 @register("labelled_dir", """
 SELECT d.text || chr(10) AS text, CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS label
 FROM labels l JOIN documents d USING (doc_id)

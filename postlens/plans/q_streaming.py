@@ -50,3 +50,41 @@ def weekly_stream(spark, sf_dir):
     """The weekly sentiment counts maintained by a streaming aggregation."""
     stream = _event_stream(spark, sf_dir).where(F.col("relevant"))
     return ST.run_weekly_stream(spark, stream)
+
+
+V2_TS = "2024-06-01 00:00:00"
+
+
+@register("ingest_v2", f"""
+WITH r AS (
+  SELECT CAST(event_id AS VARCHAR) AS tweet_id, CAST(user_id AS VARCHAR) AS author,
+         CASE WHEN event_id % 11 = 0 THEN TIMESTAMP '{V2_TS}'
+              WHEN event_id % 500 = 1 THEN ts - INTERVAL 20 YEAR ELSE ts END AS time,
+         CASE WHEN event_id % 13 = 0 THEN '' ELSE event_type END AS content,
+         CAST(event_id % 3 AS BIGINT) AS comment_count, CAST(event_id % 100 AS BIGINT) AS like_count,
+         CAST(CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id % 10 END AS BIGINT) AS repost_count,
+         CAST(0 AS BIGINT) AS view_count, TIMESTAMP '{V2_TS}' AS created_at
+  FROM events)
+SELECT * FROM r WHERE length(content) > 0
+""")
+def ingest_v2(spark, sf_dir):
+    """Raw v2 items as a stream of JSON files — mentions, empty posts, bad times,
+    posts twenty years old, a file with repeated items — cleaned and inserted if new."""
+    from postlens.sources import ingest as IN
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i, ts = F.col("event_id"), F.col("ts")
+    iso = F.date_format(F.when(i % 500 == 1, ts - F.expr("INTERVAL 20 YEARS")).otherwise(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    raw = ev.select(
+        i.cast("string").alias("id"), F.col("user_id").cast("string").alias("author"),
+        F.when(i % 11 == 0, "DATEUNDEFINED").otherwise(iso).alias("time"),
+        F.concat(F.lit("@user "), F.when(i % 13 == 0, "").otherwise(F.col("event_type"))).alias("content"),
+        F.struct((i % 3).cast("double").alias("replies"), F.when(i % 7 != 0, (i % 10).cast("double")).alias("retweets"),
+                 (i % 100).cast("double").alias("likes")).alias("engagement"))
+    path = ST.scratch_path(spark, "raw-v2")
+    raw.write.json(path)
+    raw.where(i % 50 == 0).write.mode("append").json(path)            # items crawled twice
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 4).json(path)
+    clean = IN.clean_v2(stream, F.lit(V2_TS).cast("timestamp_ntz"))
+    table_path = ST.scratch_path(spark, "posts-v2")
+    ST.ingest_stream(spark, clean, table_path, ST.scratch_path(spark, "ingest-v2-ckpt")).awaitTermination()
+    return spark.read.parquet(table_path)

@@ -185,9 +185,15 @@ def term_cloud_by_lang(spark, sf_dir):
     return K.term_frequencies(_posts(spark, sf_dir), n=50, by="lang")
 
 
-@register("squeeze_repeats")
+@register("squeeze_repeats", _P + """
+, ch AS (SELECT tweet_id, unnest(string_split(content, '')) AS c, generate_subscripts(string_split(content, ''), 1) AS i FROM p),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY tweet_id, c ORDER BY i) AS g FROM ch),
+r AS (SELECT tweet_id, c, min(i) AS i, count(*) AS n FROM g GROUP BY tweet_id, c, g)
+SELECT tweet_id, string_agg(CASE WHEN n >= 3 AND c <> chr(10) THEN c ELSE repeat(c, n) END, '' ORDER BY i) AS content
+FROM r GROUP BY tweet_id
+""")
 def squeeze_repeats(spark, sf_dir):
-    """Three or more of the same character become one (needs a back-reference: rows-only)."""
+    """Three or more of the same character become one."""
     return _posts(spark, sf_dir).select("tweet_id", T.squeeze_repeats("content").alias("content"))
 
 
@@ -196,3 +202,15 @@ def nfkc_emoji(spark, sf_dir):
     """Unicode NFKC (full-width folding) and emoji names, the two Python-side steps."""
     from postlens.functions.unicode import demojize, nfkc
     return _posts(spark, sf_dir).select("tweet_id", demojize(nfkc(F.col("content"))).alias("content"))
+
+
+@register("keyword_candidates")
+def keyword_candidates(spark, sf_dir):
+    """The keyword filter chain: frequent n-grams → segmented (C17) → average word length of at least
+    2.5 (C19) → language (C18) → distinct candidates with their counts."""
+    from postlens.operators import classify as C
+    posts = _posts(spark, sf_dir)
+    top = C.segment_column(K.top_ngrams(posts, n=500), "token", C.unigram_counts(posts, "content"), "keyword")
+    long = top.where(T.avg_word_length(T.split_ws(F.col("keyword"))) >= 2.5)
+    kept = C.guess_language(long, "keyword").where(F.col("guess").isin("id", "en", "unknown"))
+    return kept.groupBy("keyword", "guess").agg(F.sum("cnt").cast("long").alias("cnt"))

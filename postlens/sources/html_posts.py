@@ -75,9 +75,9 @@ def _testid(value):
 
 
 def _page_key(url: str) -> str:
-    path = urlsplit(url).path.rstrip("/")
-    last = path.split("/")[-1] if path else ""
-    return last.split(".")[0] if "." in last else last
+    """Host and path of a page, without query and fragment: pages of different sites never merge."""
+    parts = urlsplit(url)
+    return f"{parts.netloc.lower()}{parts.path.rstrip('/')}"
 
 
 def extract_from_html(url: str, html: str):

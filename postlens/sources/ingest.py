@@ -243,8 +243,9 @@ def _extract_page(page_id, url, html):
 def extract_posts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                   html_col: str = "html") -> DataFrame:
     """A10: posts found in crawled pages, one row per post; promoted posts skipped; missing
-    author → 'Unknown Author', missing time → 'DATEUNDEFINED'; duplicates of an id across pages
-    keep the row of the lowest page id.  Each page is parsed inside its task by ``mapInPandas``."""
+    author → 'Unknown Author', missing time → 'DATEUNDEFINED'.  Posts in post markup carry their status
+    id; an article's id is its page's host and path; duplicates of an id across pages keep the row of
+    the lowest page id.  Each page is parsed inside its task by ``mapInPandas``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []

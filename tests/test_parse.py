@@ -86,3 +86,19 @@ def test_engagement_random_strings_match_scan(spark):
         got = [r[0].asDict() for r in df.orderBy("i").select(P.parse_metrics("s")).collect()]
         for t, g in zip(texts, got):
             assert g == _js_metrics(t), t
+
+
+def test_every_rule_decides_some_post(spark):
+    """The checked rule queries are not mostly default: each rule of the study fires."""
+    import __spark_entry__ as entry
+    from postlens.operators import rules as R
+    for name, rules in (("rule_label", R.RELEVANCE_RULES), ("sentiment_rules", R.SENTIMENT_RULES)):
+        counts = {r["rule"]: r["count"] for r in entry.queries()[name](spark, "/root/testdata/sf0.01").groupBy("rule").count().collect()}
+        assert {r.name for r in rules.rules} <= set(counts), counts
+        assert counts.get("default", 0) < 0.3 * sum(counts.values()), counts
+
+
+def test_opinion_needs_text(spark):
+    from postlens.operators import rules as R
+    df = spark.createDataFrame([("#tolak #ruutni",), ("saya tolak #ruutni",)], "content string")
+    assert [r["rule"] for r in R.rule_label(df, R.RELEVANCE_RULES).collect()] == ["layer4b_hashtag_only", "layer4a_opinion"]
