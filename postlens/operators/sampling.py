@@ -122,17 +122,23 @@ def split_exact(df: DataFrame, id_col: str, test: float | int, train: float | in
     return out.drop("_key", "group_size", "rank")
 
 
+def with_totals(sizes: DataFrame) -> DataFrame:
+    """Adds ``_k`` (number of rows) and ``_total`` (sum of ``_size``) from a one-row aggregate."""
+    one = sizes.agg(F.count(F.lit(1)).alias("_k"), F.sum("_size").alias("_total")).withColumn("_one", F.lit(1))
+    return sizes.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+
+
 # ---------------------------------------------------------------- G6: balanced cluster sample
 
 def balanced_sample(df: DataFrame, id_col: str, cluster_col: str, n: int, seed: int = 42) -> DataFrame:
     """N // k rows from each of the k clusters, one more for the first n % k clusters (by id),
     capped at the cluster size; n is clamped to the table size."""
     sizes = df.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("_size"))
-    # One row per cluster: the window below sorts the cluster table, not the data.
-    w = Window.orderBy(cluster_col)
-    quotas = (sizes.withColumn("_i", F.row_number().over(w) - 1)
-              .withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy()))
-              .withColumn("_total", F.sum("_size").over(Window.partitionBy())))
+    # clusters may be many: their order is an exact rank in buckets of neighbouring ids
+    numeric = sizes.schema[cluster_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    bucket = F.floor(F.col(cluster_col) / 4096) if numeric else F.substring(F.col(cluster_col).cast("string"), 1, 2)
+    ranked_sizes = exact_rank(sizes, [cluster_col], bucket, rank_col="_i").withColumn("_i", F.col("_i") - 1)
+    quotas = with_totals(ranked_sizes)
     n_eff = F.least(F.lit(n), F.col("_total"))
     quota = (F.floor(n_eff / F.col("_k")) +
              F.when(F.col("_i") < n_eff % F.col("_k"), 1).otherwise(0))
@@ -188,9 +194,7 @@ def ablation_sample(df: DataFrame, id_col: str, cluster_col: str, prob_col: str,
     elif filter_mode == "above_mean_std":
         x = x.where(p > F.col("_mu") - F.col("_sd"))
     sizes = x.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("_size"))
-    whole = Window.partitionBy()                      # over the per-cluster table only
-    sizes = (sizes.withColumn("_k", F.count(F.lit(1)).over(whole))
-             .withColumn("_total", F.sum("_size").over(whole)))
+    sizes = with_totals(sizes)
     if budget == "equal":
         b = F.ceil(F.lit(float(n)) / F.col("_k"))
     else:

@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlens.operators.sampling import exact_rank
+
 W = r"[\p{L}\p{N}_]"
 
 # The filter names the search options accept.
@@ -149,14 +151,16 @@ def equals(df: DataFrame, col: str, value) -> DataFrame:
 def encode_labels(df: DataFrame, col: str, out_col: str | None = None,
                   names: list[str] | None = None) -> DataFrame:
     """B2: class name → index.  With ``names`` the order is given; otherwise the sorted distinct
-    names (the class count is small, the dimension table one row per class)."""
+    names, by an exact rank in buckets of their first characters."""
     out_col = out_col or f"{col}_id"
     if names is not None:
         lookup = F.create_map(*[v for i, n in enumerate(names) for v in (F.lit(n), F.lit(i))])
         return df.withColumn(out_col, lookup[F.col(col)])
     dim = df.select(col).where(F.col(col).isNotNull()).distinct()
-    # one row per class: the window sorts the class table, not the data
-    dim = dim.withColumn(out_col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int"))
+    dim = exact_rank(dim, [col], F.substring(F.col(col).cast("string"), 1, 2), rank_col="_rank") if \
+        df.schema[col].dataType.simpleString() == "string" else \
+        dim.withColumn("_rank", F.dense_rank().over(Window.orderBy(col)))
+    dim = dim.select(col, (F.col("_rank") - 1).cast("int").alias(out_col))
     return df.join(dim, col, "left")
 
 
