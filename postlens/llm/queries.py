@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import byte_bpe, chat, common, dac, embedding_dedup, ngram_join, packing, quality, token_counts, toxicity, warc
+from postlens.llm import byte_bpe, chat, common, dac, embedding_dedup, ngram_join, oracle, packing, quality, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,7 +35,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_ids(manifest, out)
 
 
-@register("op2_warc")
+@register("op2_warc", oracle.WARC)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = common.run_dir(spark, "op2")
     warc.write_warc(common.table(spark, sf_dir, "pages"), out)
@@ -64,7 +64,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
-@register("op7_chat_format")
+@register("op7_chat_format", oracle.CHAT)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -79,11 +79,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
-@register("op9_embedding_dedup")
+@register("op9_embedding_dedup", oracle.EMBEDDINGS)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(common.table(spark, sf_dir, "embeddings"))
 
 
-@register("op10_ngram_join")
+@register("op10_ngram_join", oracle.NGRAMS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(common.table(spark, sf_dir, "documents"))
