@@ -66,10 +66,15 @@ def text_metrics(text: str | None) -> tuple[int, ...]:
 
 
 @pandas_udf(StructType([StructField(m, LongType()) for m in METRICS]))
-def metrics_udf(texts: pd.Series) -> pd.DataFrame:
+def _metrics(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([text_metrics(t) for t in texts], columns=list(METRICS), dtype="int64")
 
 
+#: Declared non-deterministic so that Catalyst evaluates it once per row: a filter on its numbers would
+#: otherwise be pushed below the projection with a second copy of the call.
+metrics_udf = _metrics.asNondeterministic()
+
+
 def share(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
@@ -143,10 +148,6 @@ class VoteModel:
         return self._posterior(self._signs(patterns)) if patterns else np.zeros(0)
 
 
-def with_metrics(docs: DataFrame, name: str = "_quality") -> DataFrame:
-    return docs.withColumn(name, metrics_udf("text"))
-
-
 def fit_posteriors(votes: DataFrame) -> DataFrame:
     """``votes(pattern)`` of all documents → ``pattern, p_good`` (at most 3^rules rows)."""
     rows = votes.groupBy("pattern").count().collect()          # bounded by the rules, not the data
@@ -164,8 +165,8 @@ def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     empty table gives no rows; other columns are not read.  The counts are written once to the
     checkpoint folder and read by both the estimation and the result."""
     checkpoint_dir(docs.sparkSession)
-    m = lambda k: F.col("_quality")[k]
-    scored = (with_metrics(docs.select("doc_id", "text")).select("doc_id", *(m(k).alias(k) for k in METRICS)).checkpoint())
+    scored = (docs.select("doc_id", metrics_udf("text").alias("q"))
+              .select("doc_id", *(F.col("q")[k].alias(k) for k in METRICS)).checkpoint())
     scored = scored.withColumns({"pattern": vote_pattern(F.col), "base_failed": base_failed(F.col)})
     p = fit_posteriors(scored.select("pattern"))
     return (scored.join(F.broadcast(p), "pattern")             # bounded by the rules
@@ -174,8 +175,10 @@ def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` (all columns, ``text`` among them) that pass the base and the posterior."""
-    m = lambda k: F.col("_quality")[k]
-    scored = with_metrics(docs).withColumns({"_pattern": vote_pattern(m), "_failed": base_failed(m)})
-    p = fit_posteriors(scored.select(F.col("_pattern").alias("pattern")))
-    return (scored.where("not _failed").join(F.broadcast(p.withColumnRenamed("pattern", "_pattern")), "_pattern")
-            .where(F.col("p_good") >= threshold).select(*docs.columns))
+    m = lambda k: F.col("q")[k]
+    # the row travels as one struct, so that no column of it can clash
+    scored = docs.select(F.struct("*").alias("row"), metrics_udf("text").alias("q")).select(
+        "row", vote_pattern(m).alias("pattern"), base_failed(m).alias("failed"))
+    p = fit_posteriors(scored.select("pattern"))
+    return (scored.where("not failed").join(F.broadcast(p), "pattern")     # bounded by the rules
+            .where(F.col("p_good") >= threshold).select("row.*"))
