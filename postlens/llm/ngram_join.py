@@ -38,7 +38,7 @@ N, THRESHOLD = 5, 0.8
 TREES, DEPTH = 24, 7
 FLOOR, TARGET = 0.995, 0.9995
 #: A tile of a large component: at most so many shingles and classes.
-TILE_SHINGLES, TILE_ROWS = 1_500_000, 1_500
+TILE_SHINGLES, TILE_ROWS = 500_000, 500
 CACHE_CHUNKS = 300_000
 
 _WORD = re.compile(r"\w+")
