@@ -301,4 +301,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of ``docs`` (all columns, ``text`` among them) that are not predicted toxic."""
-    return docs.withColumn("_toxicity", toxicity_score(model, F.col("text"))).where("_toxicity < 0.5").drop("_toxicity")
+    return docs.where(toxicity_score(model, F.col("text")) < 0.5)

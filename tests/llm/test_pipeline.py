@@ -37,3 +37,19 @@ def test_empty_documents(spark):
 
 def test_every_query_is_there():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    """Null ids and texts, repeats, long texts and columns named like the stages' own."""
+    good = " ".join(f"plain{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)) + "."
+    other = " ".join(f"other{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)) + "."
+    rows = [(1, good), (2, good + " more."), (3, None), (4, ""), (None, good), (5, other), (5, other), (6, (other + " ") * 3000), (7, "Word. " + other)]
+    names = ("row", "q", "pattern", "failed", "p_good", "rep", "comp", "digest", "score", "_toxicity")
+    ddl = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(d, t, *names) for d, t in rows], ddl)
+    for name, stage in C.STAGES[:3]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", *names]
+        assert all(tuple(r)[2:] == names for r in docs.collect())
+    assert sorted((str(r.doc_id) for r in docs.collect())) == ["1", "5", "None"]
+    assert {r.doc_id for r in C.pack_sequences(spark, docs, SF).collect()} == {1, 5, None}
