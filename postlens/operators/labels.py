@@ -303,8 +303,9 @@ def review_export_stats(df: DataFrame, cluster_col: str = "cluster", label_col:
 def review_export_nested(df: DataFrame, cluster_col: str = "cluster", label_col: str = "sentiment",
                          id_col: str = "tweet_id", chunk: int = 10000, seed: int = 42) -> DataFrame:
     """Cluster blocks ``{cluster_id, chunk, stats{size, labels}, samples[]}`` for the review
-    app, one JSON line per block.  Samples of a cluster are cut into chunks of at most ``chunk``
-    rows (rank by hash key), so no task ever holds a whole large cluster."""
+    app, one JSON line per block.  Output contract: a cluster of at most ``chunk`` rows is one block
+    (chunk 0); a larger one is several, numbered from 0 in rank order (rank by hash key), each with the
+    whole cluster's stats, so no task ever holds a whole large cluster.  ``flatten_review`` reads both."""
     flagged = minority_flag(df, cluster_col, label_col)
     sample = F.struct(
         F.col(id_col).cast("string").alias("tweet_id"), F.col("content"),

@@ -320,6 +320,29 @@ def review_export_nested(spark, sf_dir):
     return L.review_export_nested(_sentiment(spark, sf_dir), "cluster", "sentiment", "tweet_id")
 
 
+@register("review_export_blocks", f"""
+WITH {_SENT_SQL},
+r AS (SELECT cluster, tweet_id, row_number() OVER (PARTITION BY cluster
+             ORDER BY ('0x' || substr(md5('42:' || CAST(tweet_id AS VARCHAR)), 1, 15))::BIGINT, tweet_id) - 1 AS k FROM sv)
+SELECT cluster AS cluster_id, CAST(k // 20 AS BIGINT) AS chunk, (SELECT count(*) FROM sv WHERE sv.cluster = r.cluster) AS size,
+       list(CAST(tweet_id AS VARCHAR) ORDER BY k) AS ids
+FROM r GROUP BY r.cluster, k // 20
+""")
+def review_export_blocks(spark, sf_dir):
+    """The blocks of the nested export (twenty samples each here) and their samples in order."""
+    nested = L.review_export_nested(_sentiment(spark, sf_dir), "cluster", "sentiment", "tweet_id", chunk=20)
+    return nested.select("cluster_id", "chunk", F.col("stats.size").alias("size"), F.transform("samples", lambda x: x["tweet_id"]).alias("ids"))
+
+
+@register("review_metadata", f"""
+WITH {_SENT_SQL}
+SELECT 1 AS version, count(DISTINCT cluster) AS num_clusters, count(*) AS num_samples FROM sv
+""")
+def review_metadata(spark, sf_dir):
+    """The export's metadata record (without its generation time)."""
+    return L.review_metadata(_sentiment(spark, sf_dir)).drop("generated_at")
+
+
 @register("review_flatten", f"""
 WITH {_SENT_SQL},
 c AS (SELECT cluster, sentiment, count(*) AS n FROM sv WHERE sentiment <> -1 GROUP BY ALL),
