@@ -10,6 +10,11 @@ distinct per block (about ``BLOCK_WORDS`` words or ``BLOCK_CHARS`` characters),
 corpus-wide word table would have to be joined back to every occurrence, which shuffles more than
 the texts themselves.  Blocks bound a task's memory and lose nothing.
 
+Words that many blocks share are folded once: a table of at most ``SHARED_WORDS`` words of at most
+``SHARED_BYTES`` bytes, the commonest of a bounded sample of the texts, goes through the same
+expression first and is broadcast (at most about 20 MB).  It saves time only; a word that is not in
+it is folded in its block.
+
 The rank map: neighbours are looked up by their ids in a table compressed by row displacement (two
 literal arrays), because a Spark map is searched linearly.  In rank files the rank of a merge is the
 id of the merged piece.
@@ -22,8 +27,12 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +40,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm import common
+from postlens.session import checkpoint_dir
 
-BLOCK_WORDS = 600_000
+BLOCK_WORDS = 200_000
 BLOCK_CHARS = 64_000_000
+#: The shared table, and the characters of text that it is chosen from.
+SHARED_WORDS, SHARED_BYTES, SHARED_SAMPLE = 250_000, 32, 60_000_000
+#: Chunks of text whose words a task remembers.
+CHUNKS = 300_000
 #: Words of a block travel in rows of this many.
 WORDS_PER_ROW = 1024
 #: Array copies make a fold quadratic in the word's length; longer words use a heap (same merges).
@@ -90,17 +104,14 @@ def _tables_json(path: str) -> str:
     ids = max(ranks.values()) + 1
     if ids >= 65535:
         raise ValueError("ids must be below 65535")
-    pieces = [""] * ids
-    for p, r in ranks.items():
-        pieces[r] = base64.b64encode(p).decode()
     return json.dumps(comb_table(merge_pairs(ranks), ids) | {
-        "edge": ids, "bytes": [ranks[bytes([b])] for b in range(256)], "pieces": pieces}, separators=(",", ":"))
+        "edge": ids, "bytes": [ranks[bytes([b])] for b in range(256)]}, separators=(",", ":"))
 
 
 def rank_tables(path: str) -> Column:
     """The literal: a constant that the optimizer folds to arrays once per plan."""
     return F.from_json(F.lit(_tables_json(path)),
-                       "edge int, base array<int>, comb array<bigint>, bytes array<int>, pieces array<binary>")
+                       "edge int, base array<int>, comb array<bigint>, bytes array<int>")
 
 
 def let(value: Column, body) -> Column:
@@ -149,10 +160,19 @@ def encode_words(path: str, words: Column, known: Column) -> Column:
     return F.element_at(F.transform(F.array(rank_tables(path)), both), 1)
 
 
-def decode_words(path: str, words: Column) -> Column:
-    """``array<array<int>>`` of ids → the bytes of each word, its binary pieces laid end to end."""
-    one = lambda t, ids: F.aggregate(ids, F.lit(b""), lambda s, i: F.concat(s, F.get(t["pieces"], i)))
-    return F.element_at(F.transform(F.array(rank_tables(path)), lambda t: F.transform(words, lambda ids: one(t, ids))), 1)
+@lru_cache(maxsize=4)
+def binary_pieces(path: str) -> list[bytes]:
+    """id → its bytes."""
+    ranks = load_ranks(path)
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for p, r in ranks.items():
+        pieces[r] = p
+    return pieces
+
+
+def decode_ids(path: str, ids: list[int]) -> bytes:
+    """The bytes of token ids: their binary pieces laid end to end."""
+    return b"".join(map(binary_pieces(path).__getitem__, ids))
 
 
 def heap_merges(ranks: dict[bytes, int], word: bytes) -> list[int]:
@@ -178,83 +198,231 @@ def heap_merges(ranks: dict[bytes, int], word: bytes) -> list[int]:
 
 _ROWS = pa.schema([("doc_id", pa.int64()), ("words", pa.binary()), ("bytes", pa.list_(pa.list_(pa.int32()))),
                    ("known", pa.list_(pa.list_(pa.int32())))])
+_ROWS_DDL = "doc_id long, words binary, bytes array<array<int>>, known array<array<int>>"
+
+
+#: Marks that are a word of their own after letters.
+MARKS = frozenset(".,;:")
+
 
+def _finder(pattern: str):
+    import regex
+    return regex.compile(pattern).findall
 
-def _split(path: str, pattern: str):
-    """Documents → per block, first rows of its distinct words, then its documents as word numbers."""
+
+def chunks_of(text: str | None) -> list[str]:
+    """Pieces of a text that no word crosses, in order."""
+    if not text:
+        return []
+    return [text] if _OTHER_SPACE.search(text) else _CHUNK.findall(text)
+
+
+def cut_at_spaces(text: str) -> list[str] | None:
+    """``text.split(" ")`` where every cut is a word boundary, the space going with what follows; else
+    None.  A cut inside a run of white space is none."""
+    if "  " in text or "\n \n" in text or text.endswith("\n ") or _OTHER_SPACE.search(text):
+        return None
+    return text.split(" ")
+
+
+def _word_rows(found: list[bytes], ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(found), WORDS_PER_ROW):
+        some = found[k:k + WORDS_PER_ROW]
+        known = [[ranks[w]] if w in ranks else heap_merges(ranks, w) if len(w) > FOLD_BYTES else None for w in some]
+        plain = [w if i is None else b"" for w, i in zip(some, known)]
+        values = pa.array(np.frombuffer(b"".join(plain), np.uint8).astype(np.int32))
+        ends = np.concatenate([[0], np.cumsum([len(w) for w in plain])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([None], pa.int64()), pa.array([None], pa.binary()),
+            pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), values)),
+            pa.array([known], _ROWS.field("known").type)], schema=_ROWS)
+
+
+def _in_slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple]:
+    """Rows of a batch; only some texts at a time become Python strings."""
+    for k in range(0, batch.num_rows, rows):
+        yield from common.rows_of(batch.slice(k, rows), "doc_id", "text")
+
+
+def _split(path: str, pattern: str, shared):
+    """Documents → per block, first rows of its own distinct words, then its documents as word
+    numbers: those of the shared table first, the block's after them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-        find, ranks = regex.compile(pattern).findall, load_ranks(path)
-        words: dict[str, int] = {}
+        find, ranks = _finder(pattern), load_ranks(path)
+        index = _once("index", shared, SharedTable.index)
+        own: dict[str, int] = {}
+        n = len(index)
 
         class Chunks(dict):
+            """chunk (after ``lead``) → its words' numbers"""
+
+            def __init__(self, lead: str):
+                super().__init__()
+                self.lead = lead
+
             def __missing__(self, chunk: str) -> bytes:
-                number = self[chunk] = np.array([words.setdefault(w, len(words)) for w in find(chunk)], "<u4").tobytes()
-                return number
-        chunks, docs, chars = Chunks(), [], 0
+                if chunk.isalpha():
+                    found = number(self.lead + chunk)
+                elif chunk[-1:] in MARKS and chunk[:-1].isalpha():
+                    found = number(self.lead + chunk[:-1]) + number(chunk[-1])
+                else:
+                    found = b"".join(map(number, find(self.lead + chunk)))
+                if len(self) >= CHUNKS:                       # a cache only: word numbers stay
+                    self.clear()
+                self[chunk] = found
+                return found
+
+        def number(word: str) -> bytes:
+            k = index.get(word)
+            return (own.setdefault(word, n + len(own)) if k is None else k).to_bytes(4, "little")
+        plain, spaced, docs, chars = Chunks(""), Chunks(" "), [], 0
+
+        def numbered(text: str | None) -> bytes:
+            parts = cut_at_spaces(text) if text else []
+            if parts is None:
+                return b"".join(map(plain.__getitem__, chunks_of(text)))
+            return b"".join([*map(plain.__getitem__, parts[:1]), *map(spaced.__getitem__, parts[1:])])
 
         def close():
-            nonlocal chunks, docs, chars
-            found = [w.encode("utf-8", "surrogatepass") for w in words]
-            for k in range(0, len(found), WORDS_PER_ROW):
-                some = found[k:k + WORDS_PER_ROW]
-                known = [[ranks[w]] if w in ranks else heap_merges(ranks, w) if len(w) > FOLD_BYTES else None for w in some]
-                plain = [w if i is None else b"" for w, i in zip(some, known)]
-                values = pa.array(np.frombuffer(b"".join(plain), np.uint8).astype(np.int32))
-                ends = np.concatenate([[0], np.cumsum([len(w) for w in plain])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([None], pa.int64()), pa.array([None], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), values)),
-                    pa.array([known], _ROWS.field("known").type)], schema=_ROWS)
+            nonlocal docs, chars
+            yield from _word_rows([w.encode("utf-8", "surrogatepass") for w in own], ranks)
             for k in range(0, len(docs), common.OUT_ROWS):
                 some = docs[k:k + common.OUT_ROWS]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([d for d, _ in some], pa.int64()), pa.array([x for _, x in some], pa.binary()),
                     pa.nulls(len(some), _ROWS.field("bytes").type), pa.nulls(len(some), _ROWS.field("known").type)], schema=_ROWS)
-            words.clear()
-            chunks, docs, chars = Chunks(), [], 0
+            for numbers in (own, plain, spaced):
+                numbers.clear()
+            docs, chars = [], 0
 
         for batch in batches:
-            for doc_id, text in common.rows_of(batch, "doc_id", "text"):
-                text = text or ""
-                parts = [text] if _OTHER_SPACE.search(text) else _CHUNK.findall(text)
-                docs.append((doc_id, b"".join(map(chunks.__getitem__, parts))))
-                chars += len(text)
-                if len(words) >= BLOCK_WORDS or chars >= BLOCK_CHARS:
+            for doc_id, text in _in_slices(batch):
+                docs.append((doc_id, numbered(text)))
+                chars += len(text or "")
+                if len(own) >= BLOCK_WORDS or chars >= BLOCK_CHARS:
                     yield from close()
         yield from close()
     return run
 
 
-def _assemble(with_ids: bool):
+@dataclass(frozen=True)
+class SharedTable:
+    """The shared words in a few flat buffers; it is broadcast, and each worker takes out what it needs."""
+    words: bytes
+    word_ends: array
+    ids: array
+    id_ends: array
+
+    @classmethod
+    def of(cls, rows: list[tuple[bytes, list[int]]]) -> "SharedTable":
+        return cls(b"".join(w for w, _ in rows), array("I", accumulate(len(w) for w, _ in rows)),
+                   array("I", (i for _, own in rows for i in own)), array("I", accumulate(len(own) for _, own in rows)))
+
+    def __len__(self) -> int:
+        return len(self.word_ends)
+
+    def pieces(self) -> list[bytes]:
+        return [self.words[a:b] for a, b in zip([0, *self.word_ends], self.word_ends)]
+
+    def index(self) -> dict[str, int]:
+        return {w.decode(): k for k, w in enumerate(self.pieces())}
+
+    def word_ids(self) -> Iterator[list[int]]:
+        return (self.ids[a:b].tolist() for a, b in zip([0, *self.id_ends], self.id_ends))
+
+
+_TAKEN: dict[str, tuple] = {}
+
+
+def _once(name: str, held, make):
+    """What a worker made of a broadcast table, kept for its next tasks."""
+    key = held._path if hasattr(held, "_path") else id(held)
+    if _TAKEN.get(name, (None,))[0] != key:
+        _TAKEN[name] = key, make(held.value)
+    return _TAKEN[name][1]
+
+
+def shared_table(docs: DataFrame, path: str, pattern: str, max_words: int = SHARED_WORDS, sample_chars: int = SHARED_SAMPLE) -> SharedTable:
+    """The commonest words of a sample, folded and decoded."""
+    total = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    part = F.lit(int(1_000_000 * min(1.0, sample_chars / total)) if total else 0)
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, found = _finder(pattern), Counter()
+        for batch in batches:
+            seen = Counter()
+            for (text,) in common.rows_of(batch, "text"):
+                seen.update(chunks_of(text))
+            for chunk, n in seen.items():
+                for w in find(chunk) if len(chunk) <= 200 else ():
+                    if len(w) <= SHARED_BYTES:
+                        found[w] += n
+            if len(found) > BLOCK_WORDS:
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(found.values(), pa.int64())], schema=schema)
+                found.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(found.values(), pa.int64())], schema=schema)
+
+    counts = (docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < part)
+              .mapInArrow(count, "word string, n long").where(F.octet_length("word") <= SHARED_BYTES)
+              .groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2").checkpoint())
+    # the least count that at most max_words words reach
+    size, least = 0, None
+    for r in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect():
+        if size + r["count"] > max_words:
+            break
+        size, least = size + r["count"], r["n"]
+    if least is None:
+        return SharedTable.of([])
+    words = counts.where(F.col("n") >= least).select("word")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = load_ranks(path)
+        for batch in batches:
+            yield from _word_rows([w.encode() for (w,) in common.rows_of(batch, "word")], ranks)
+
+    folded = words.mapInArrow(rows, _ROWS_DDL).select(encode_words(path, F.col("bytes"), F.col("known")).alias("ids"))
+    return SharedTable.of([(decode_ids(path, ids), ids) for r in folded.toLocalIterator() for ids in r["ids"]])
+
+
+def _assemble(path: str, shared, with_ids: bool):
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema(fields + ([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] if with_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, sizes = common.Collector(schema), np.zeros(0, np.int64)
-        decimals: list[bytes] = []
-        pieces: list[bytes] = []
-        word_ids: list[list[int]] = []
-        lengths: list[int] = []
-        fresh = True                                          # the next row of words starts a block
+        out = common.Collector(schema)
+        decimals, pieces, shared_sizes = _once("words", shared, lambda t: (
+            ["".join(f"{i} " for i in own).encode() for own in t.word_ids()], t.pieces(), np.diff(t.id_ends, prepend=0).astype(np.int64)))
+        n, lengths = len(shared_sizes), []
+        del decimals[n:], pieces[n:]                          # a task that broke off may have left words
+        word_ids = list(shared.value.word_ids()) if with_ids else []
+        decimal, piece = [b"%d " % i for i in range(len(binary_pieces(path)))], binary_pieces(path)
+        sizes, fresh = shared_sizes, True                     # the next row of words starts a block
         for batch in batches:
-            for doc_id, words, ids, decoded in common.rows_of(batch, "doc_id", "words", "ids", "decoded"):
-                if ids is not None:
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "words", "ids")]
+            for k in range(batch.num_rows):
+                if columns[2][k].is_valid:
                     if fresh:
-                        decimals, pieces, lengths, word_ids, fresh = [], [], [], [], False
-                    decimals.extend((" ".join(map(str, w)) + " ").encode() for w in ids)
-                    pieces.extend(decoded)
-                    lengths.extend(map(len, ids))
+                        del decimals[n:], pieces[n:], word_ids[n:]
+                        lengths, fresh = [], False
+                    words = columns[2][k].values
+                    flat, ends = words.flatten().to_numpy().tolist(), words.offsets.to_numpy()
+                    ends = (ends - ends[0]).tolist()
+                    spelled, raw = list(map(decimal.__getitem__, flat)), list(map(piece.__getitem__, flat))
+                    spans = list(zip(ends, ends[1:]))
+                    decimals.extend([b"".join(spelled[a:b]) for a, b in spans])
+                    pieces.extend([b"".join(raw[a:b]) for a, b in spans])
+                    lengths.extend([b - a for a, b in spans])
                     if with_ids:
-                        word_ids.extend(ids)
+                        word_ids.extend(flat[a:b] for a, b in spans)
                     continue
                 if not fresh:
-                    sizes, fresh = np.array(lengths, np.int64), True
-                at = np.frombuffer(words, "<u4")
+                    sizes, fresh = np.concatenate([shared_sizes, np.array(lengths, np.int64)]), True
+                at = np.frombuffer(columns[1][k].as_py(), "<u4")
                 numbers = at.tolist()
                 text = b"".join(map(pieces.__getitem__, numbers))
-                row = (doc_id, int(sizes[at].sum()) if numbers else 0,
+                row = (columns[0][k].as_py(), int(sizes[at].sum()) if numbers else 0,
                        hashlib.sha256(b"".join(map(decimals.__getitem__, numbers))[:-1]).hexdigest(),
                        hashlib.sha256(text).hexdigest())
                 if out.add(*row, *([[i for w in numbers for i in word_ids[w]], text] if with_ids else [])):
@@ -271,9 +439,9 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
 
     Null and empty texts have no tokens; repeated ids and rows each give a row; other columns are
     not read; an empty table gives no rows; words over ``FOLD_BYTES`` bytes are merged by a heap."""
-    split = docs.select("doc_id", "text").mapInArrow(
-        _split(ranks_path, pattern), "doc_id long, words binary, bytes array<array<int>>, known array<array<int>>")
+    checkpoint_dir(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(shared_table(docs, ranks_path, pattern))
+    split = docs.select("doc_id", "text").mapInArrow(_split(ranks_path, pattern, shared), _ROWS_DDL)
     encoded = split.select("doc_id", "words", encode_words(ranks_path, F.col("bytes"), F.col("known")).alias("ids"))
-    decoded = encoded.select("doc_id", "words", "ids", decode_words(ranks_path, F.col("ids")).alias("decoded"))
-    run, schema = _assemble(with_ids)
-    return decoded.mapInArrow(run, schema)
+    run, schema = _assemble(ranks_path, shared, with_ids)
+    return encoded.mapInArrow(run, schema)
