@@ -47,7 +47,7 @@ BLOCK_CHARS = 64_000_000
 #: The shared table, and the characters of text that it is chosen from.
 SHARED_WORDS, SHARED_BYTES, SHARED_SAMPLE = 250_000, 32, 60_000_000
 #: Chunks of text whose words a task remembers.
-CHUNKS = 300_000
+CHUNKS = 250_000
 #: Words of a block travel in rows of this many.
 WORDS_PER_ROW = 1024
 #: Array copies make a fold quadratic in the word's length; longer words use a heap (same merges).
@@ -282,7 +282,8 @@ def _split(path: str, pattern: str, shared):
             parts = cut_at_spaces(text) if text else []
             if parts is None:
                 return b"".join(map(plain.__getitem__, chunks_of(text)))
-            return b"".join([*map(plain.__getitem__, parts[:1]), *map(spaced.__getitem__, parts[1:])])
+            rest = iter(parts)
+            return plain[next(rest, "")] + b"".join(map(spaced.__getitem__, rest))
 
         def close():
             nonlocal docs, chars
@@ -351,18 +352,24 @@ def shared_table(docs: DataFrame, path: str, pattern: str, max_words: int = SHAR
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, found = _finder(pattern), Counter()
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(found.values(), pa.int64())], schema=schema)
+
         for batch in batches:
-            seen = Counter()
-            for (text,) in common.rows_of(batch, "text"):
-                seen.update(chunks_of(text))
-            for chunk, n in seen.items():
-                for w in find(chunk) if len(chunk) <= 200 else ():
-                    if len(w) <= SHARED_BYTES:
-                        found[w] += n
-            if len(found) > BLOCK_WORDS:
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(found.values(), pa.int64())], schema=schema)
-                found.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(found.values(), pa.int64())], schema=schema)
+            for k in range(0, batch.num_rows, 2048):          # only some texts at a time become Python strings
+                seen = Counter()
+                for (text,) in common.rows_of(batch.slice(k, 2048), "text"):
+                    seen.update(chunks_of(text))
+                for chunk, n in seen.items():
+                    for w in find(chunk) if len(chunk) <= 200 else ():
+                        if len(w) <= SHARED_BYTES:
+                            found[w] += n
+                del seen
+                if len(found) > BLOCK_WORDS // 2:
+                    yield batch_of()
+                    found.clear()
+        yield batch_of()
 
     counts = (docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < part)
               .mapInArrow(count, "word string, n long").where(F.octet_length("word") <= SHARED_BYTES)
