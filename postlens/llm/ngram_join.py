@@ -1,7 +1,7 @@
 """Operator 10: n-gram Jaccard join by a MinHash LSH forest.
 
-A document is its set of shingles (runs of ``n`` words).  Documents with the same words form a class;
-classes are compared by their representative, the smallest id.
+A document is an id and a text, as its set of shingles (runs of ``n`` words).  Documents with the same
+words form a class; classes are numbered (``rep``) and compared by one text, that of the smallest id.
 
 Forest: ``trees`` independent sequences of ``depth`` minima.  In a trie over the sequences of one
 tree, two classes meet under a prefix; a prefix is the sorted key of that trie.  Classes that share
@@ -94,17 +94,24 @@ def meet_probability(similarity, length: int, trees: int):
     return 1 - (1 - similarity ** length) ** trees
 
 
-def _signatures(n: int, trees: int, depth: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("sig", pa.list_(pa.int32()))])
+def _text_key():
+    """Tells the texts of one id apart; a null text is an empty one."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+
+
+def _signatures(n: int, trees: int, depth: int, *more: str):
+    """``more``: binary columns to pass on."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("sig", pa.list_(pa.int32())),
+                        *((name, pa.binary()) for name in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = common.Collector(schema, 1024)
         for batch in batches:
-            for doc_id, text in common.rows_of(batch, "doc_id", "text"):
+            for doc_id, text, *rest in common.rows_of(batch, "doc_id", "text", *more):
                 words = _CHUNKS.words(text)
                 own = shingles(np.frombuffer(words, np.uint64), n)
                 digest = hashlib.blake2b(words, digest_size=16).digest() if own.size and doc_id is not None else None
-                if out.add(doc_id, digest, own.size, minima(own, trees, depth) if digest else None):
+                if out.add(doc_id, digest, own.size, minima(own, trees, depth) if digest else None, *rest):
                     yield from out.flush()
         yield from out.flush()
     return run
@@ -181,7 +188,8 @@ def _verify(threshold: Fraction, trees: int):
                             if out.add(*found):
                                 yield from out.flush()
                     current, rows = (comp, x, y), []
-                rows.append(row)
+                if not rows or rows[-1][0] != row[0]:         # a row of docs may occur several times
+                    rows.append(row)
         if len(rows) > 1:
             for found in group(rows):
                 out.add(*found)
@@ -221,67 +229,78 @@ def candidate_ties(classes: DataFrame, threshold: float, trees: int, depth: int,
         length -= 1
 
 
-def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
-                    floor: float = FLOOR, target: float = TARGET) -> DataFrame:
-    """``doc_id, n_links, class_id, kept``: one row per document of ``docs(doc_id, text)``.
-
-    ``n_links``: other documents with the same words or a shingle similarity of at least ``threshold``;
-    ``class_id``: the smallest id reachable by links; ``kept``: whether it is the document's own.
-    Words are runs of word characters in lower case.  Documents without words link with nothing; fewer
-    than n words are one shingle.  Rows that repeat an id and its words are one document; an id with
-    several texts has the links of all of them, a row for each.  Rows without id link with nothing, have
-    no class and are kept.  An empty table gives no rows; other columns are not read."""
+def _decisions(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
+               floor: float = FLOOR, target: float = TARGET) -> DataFrame:
+    """The rows of ``near_duplicates``, each with the key of one of its texts (``text_key``)."""
     spark = docs.sparkSession
     checkpoint_dir(spark)
     parts = common.partitions(spark)
-    docs = docs.select("doc_id", "text")
-    signed = docs.mapInArrow(_signatures(n, trees, depth), "doc_id long, digest binary, n_shingles long, sig array<int>").checkpoint()
-    members = signed.select("doc_id", "digest")
-    named = members.where("digest is not null").distinct()
-    copies = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    docs = docs.select("doc_id", "text", _text_key().alias("text_key"))
+    signed = docs.mapInArrow(_signatures(n, trees, depth, "text_key"),
+                             "doc_id long, digest binary, n_shingles long, sig array<int>, text_key binary").checkpoint()
+    members = signed.select("doc_id", "digest", "text_key")
+    named = members.where("digest is not null").groupBy("doc_id", "digest").agg(F.min("text_key").alias("text_key"))
+    copies = (named.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("copies"))
+              .select("digest", "first.doc_id", "first.text_key", "copies"))
     # the representative's own row has the signature: no need to aggregate the arrays
-    classes = (signed.where("digest is not null").withColumnRenamed("doc_id", "rep").join(copies, ["digest", "rep"])
-               .dropDuplicates(["digest", "rep"]).select("digest", "rep", "copies", "n_shingles", "sig").checkpoint())
+    classes = (signed.where("digest is not null").join(copies, ["digest", "doc_id", "text_key"]).dropDuplicates(["digest", "doc_id", "text_key"])
+               .select(F.monotonically_increasing_id().alias("rep"), "digest", "doc_id", "text_key", "copies", "n_shingles", "sig").checkpoint())
     ties, length = candidate_ties(classes, threshold, trees, depth, floor, target)
     comps = connected_components(ties, "rep", "least", "rep", "comp")
-    rows = _prefixes(classes.join(comps, "rep"), length, trees, depth).select("rep", "digest", "copies", "n_shingles", "keys", "comp").checkpoint()
+    rows = _prefixes(classes.join(comps, "rep"), length, trees, depth).select(
+        "rep", "doc_id", "text_key", "copies", "n_shingles", "keys", "comp").checkpoint()
     sizes = rows.groupBy("comp").agg(F.ceil(F.greatest(
         F.sum("n_shingles") / TILE_SHINGLES, F.count(F.lit(1)) / TILE_ROWS)).cast("int").alias("tiles"))
     rows = rows.join(sizes, "comp")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            words = [_CHUNKS.words(t) for t in texts]
-            digests = batch.column(batch.schema.get_field_index("digest")).to_pylist()
-            mine = [hashlib.blake2b(w, digest_size=16).digest() == d for w, d in zip(words, digests)]   # an id may have several texts
-            found = pa.array([shingles(np.frombuffer(w, np.uint64), n).tobytes() if m else None for w, m in zip(words, mine)], pa.binary())
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "shingles", found).select([*(c for c in batch.schema.names if c not in ("text", "digest")), "shingles"])
+            found = [shingles(np.frombuffer(_CHUNKS.words(t), np.uint64), n).tobytes() for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, "shingles", pa.array(found, pa.binary()))
 
-    texts = docs.withColumnRenamed("doc_id", "rep").join(rows.hint("shuffle_hash"), "rep").select(
-        "comp", "tiles", "rep", "copies", "keys", "digest", "text")
-    texts = (texts.mapInArrow(sets, "comp long, tiles int, rep long, copies long, keys array<long>, shingles binary")
-             .where("shingles is not null"))
+    texts = docs.join(rows.hint("shuffle_hash"), ["doc_id", "text_key"]).select("comp", "tiles", "rep", "copies", "keys", "text")
+    texts = texts.mapInArrow(sets, "comp long, tiles int, rep long, copies long, keys array<long>, shingles binary")
     side = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     tiled = texts.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("comp", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "rep", "copies", "side", "keys", "shingles")
     found = (tiled.repartition(parts, "comp", "x", "y").sortWithinPartitions("comp", "x", "y", "rep")
              .mapInArrow(_verify(Fraction(threshold).limit_denominator(10_000), trees), "rep long, links long, root long").checkpoint())
     # components of one tile are whole already; those of several are joined by their roots
-    whole = connected_components(found, "rep", "root", "rep", "class_id")
+    whole = connected_components(found, "rep", "root", "rep", "root")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    result = copies.join(links, "rep", "left").join(whole, "rep", "left").select(
-        "digest", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "rep").alias("class_id"))
-    linked = named.join(result, "digest").select("doc_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"), "class_id")
-    alone = members.where("digest is null")
-    alone = alone.where("doc_id is null").unionByName(alone.where("doc_id is not null").distinct()).select(
-        "doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    own = classes.select("rep", "digest", "doc_id", "copies")
+    least = whole.join(own, "rep").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("least"))
+    result = own.join(links, "rep", "left").join(whole.join(least, "root").select("rep", "least"), "rep", "left").select(
+        "digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.coalesce("least", F.struct("doc_id", "digest")).alias("least"))
+    first = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest"))
+    linked = named.join(result, "digest").select("doc_id", "text_key", "n_links", F.col("least.doc_id").alias("class_id"), first.alias("kept"))
+    alone = members.where("digest is null").select("doc_id", "text_key")
+    alone = alone.where("doc_id is null").unionByName(
+        alone.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_key").alias("text_key"))).select(
+        "doc_id", "text_key", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, n_links, class_id, kept``: one row per document of ``docs(doc_id, text)``.
+
+    ``n_links``: other documents with the same words or a shingle similarity of at least ``threshold``;
+    ``class_id``: the smallest id reachable by links; ``kept``: whether the document stands for all that
+    it reaches.  Words are runs of word characters in lower case.  Documents without words link with
+    nothing; fewer than n words are one shingle.  Rows that repeat an id and its words are one document;
+    an id with several texts is a document, and has a row, for each of them: its texts' groups stay
+    apart, and of several texts of one id in the same group one is kept.  Rows without id link with
+    nothing, have no class and are kept.  An empty table gives no rows; other columns are not read.
+    ``options``: those of ``_decisions``."""
+    return _decisions(docs, **options).select("doc_id", "n_links", "class_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose document stands for its class, one row per id; rows
-    without id stay."""
-    kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` (all columns) whose document stands for its class, one row per id and class
+    of texts; rows without id stay."""
+    kept = _decisions(docs, **options).where("kept and doc_id is not null").select(
+        F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key"))
+    chosen = docs.join(kept, (F.col("doc_id") == F.col("_kept_id")) & (_text_key() == F.col("_kept_key")))
+    return chosen.dropDuplicates(["_kept_id", "_kept_key"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))

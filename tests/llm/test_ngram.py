@@ -92,3 +92,16 @@ def test_several_texts_of_one_id(spark):
     rows = [(1, a, "c", 1, 1), (1, b, "c", 1, 1), (2, a + " x", "c", 1, 1), (3, b, "c", 1, 1)]
     got = J.near_duplicates(spark.createDataFrame(rows, DDL)).collect()
     assert len(got) == 4 and {r.class_id for r in got} == {1}
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(7, a, "c", 1, 1), (7, b, "c", 1, 1), (7, b, "c", 1, 1), (3, b + " x", "c", 1, 1), (2, c, "c", 1, 1), (2, c, "c", 1, 1),
+            (2, c + " x", "c", 1, 1), (4, c + " y", "c", 1, 1), (4, None, "c", 1, 1), (4, "", "c", 1, 1)]
+    rows += [(9, " ".join(f"w{k}x{i}" for i in range(20)), "c", 1, 1) for k in range(50)]
+    df = spark.createDataFrame(rows, DDL).repartition(3)
+    got = sorted(tuple(r) for r in J.near_duplicates(df).where("doc_id != 9").collect())
+    assert got == [(2, 2, 2, False), (2, 2, 2, True), (3, 1, 3, True), (4, 0, 4, True), (4, 2, 2, False), (7, 0, 7, True), (7, 1, 3, False)]
+    kept = [(r.doc_id, r.text) for r in J.drop_near_duplicates(df).collect()]
+    assert (7, a) in kept and (7, b) not in kept and (3, b + " x") in kept
+    assert sorted(d for d, _ in kept) == [2, 3, 4, 7] + [9] * 50
