@@ -11,6 +11,8 @@ emits one link: the candidate and the first place at or after the range's end th
 Pointer jumping over these links from offset 0 of each file — doubling, so the rounds grow with the
 logarithm of the ranges per file — finds where the true chain enters each range.  A second task per
 range walks from that verified entry and parses its records; magic inside payloads is never reached.
+A header is read to its blank line, however long.  A file whose chain does not reach its end (a
+truncated or damaged record) raises an error.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ _BIT_SQL = f"pmod(xxhash64(payload_digest), {1 << BITMAP_BITS}L)"
 #: Bytes of a range; a range without the start of a record is skipped by the chain.
 RANGE_BYTES = 8_000_000
 MAGIC = b"WARC/1.1\r\n"
-#: A header longer than this is no header.
-HEADER_BYTES = 65_536
+#: How a header line begins: a name of at most NAME_BYTES, which the writer's are; values have no bound.
+NAME_BYTES = 64
+FIELD = re.compile(rb"[!-9;-~]{1,%d}:" % NAME_BYTES)
 END = "\r\n\r\n"
 
 
@@ -118,27 +121,59 @@ class Source:
         self.handle.seek(offset)
         return self.handle.read(max(0, min(n, self.size - offset)))
 
+    def lines(self, offset: int) -> tuple[list[bytes], int] | None:
+        """Lines of the header at offset, and where its blank line begins; None if a line is no field
+        or the file ends first."""
+        n = 2048
+        while True:
+            head = self.at(offset, n)
+            if not head.startswith(MAGIC):
+                return None
+            cut = head.find(b"\r\n\r\n", len(MAGIC) - 2)
+            found = head[len(MAGIC):cut if cut >= 0 else len(head)].split(b"\r\n") if cut != len(MAGIC) - 2 else []
+            rest = found.pop() if cut < 0 else b""            # a line of which only the beginning is read
+            if not all(map(FIELD.match, found)) or len(rest) > NAME_BYTES and not FIELD.match(rest):
+                return None
+            if cut >= 0:
+                return found, offset + cut
+            if offset + n >= self.size:
+                return None
+            n *= 4
+
+    def shape(self, offset: int, ahead: tuple[int, tuple[int, bytes] | None] | None) -> tuple[int, bytes] | None:
+        """Where the blank line of the header at offset begins, and its length field.  ``ahead``: the
+        next candidate and its shape; both share the rest of a header that goes on past the next."""
+        shared = self.data[offset + len(MAGIC) - self.base:ahead[0] + len(MAGIC) - self.base] if ahead else b""
+        if not ahead or b"\r\n\r\n" in MAGIC[-2:] + shared:
+            found = self.lines(offset)
+            return found and (found[1], self.length(found[0]))
+        own = shared[:-2].split(b"\r\n")
+        if ahead[1] is None or not all(map(FIELD.match, own)):
+            return None
+        return ahead[1][0], ahead[1][1] or self.length(own)
+
+    @staticmethod
+    def length(lines: list[bytes]) -> bytes:
+        return next((value for name, _, value in (x.partition(b": ") for x in reversed(lines)) if name.lower() == b"content-length"), b"")
+
+    def after(self, shape: tuple[int, bytes] | None) -> int | None:
+        """Successor of a record."""
+        if shape is None or not re.fullmatch(rb"[0-9]{1,18}", shape[1]):
+            return None
+        after = shape[0] + 4 + int(shape[1]) + len(END)
+        return after if after <= self.size else None
+
     def header(self, offset: int) -> tuple[dict[str, str], int, int] | None:
         """Fields, payload offset and successor of a record that starts at offset."""
-        head = self.at(offset, 2048)
-        if not head.startswith(MAGIC):
+        found = self.lines(offset)
+        after = found and self.after((found[1], self.length(found[0])))
+        if after is None:
             return None
-        cut = head.find(b"\r\n\r\n")
-        if cut < 0:
-            head = self.at(offset, HEADER_BYTES)
-            cut = head.find(b"\r\n\r\n")
-            if cut < 0:
-                return None
         fields = {}
-        for line in head[len(MAGIC):cut].split(b"\r\n"):
+        for line in found[0]:
             name, _, value = line.partition(b": ")
             fields[name.decode("utf-8", "replace").lower()] = value.decode("utf-8", "replace")
-        length = fields.get("content-length", "")
-        if not re.fullmatch(r"[0-9]{1,18}", length):
-            return None
-        body = offset + cut + 4
-        after = body + int(length) + len(END)
-        return (fields, body, after) if after <= self.size else None
+        return fields, found[1] + 4, after
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], range_bytes: int, *more: str):
@@ -160,9 +195,10 @@ def chain_links(ranges: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         for file, start, end, source in _ranges(batches, range_bytes):
             spots = [start + m.start() for m in re.finditer(re.escape(MAGIC), source.data)]
             leaves: dict[int, int | None] = {}
+            ahead = None
             for offset in reversed(spots):                    # successors lie ahead
-                found = source.header(offset)
-                after = found and found[2]
+                ahead = offset, source.shape(offset, ahead)
+                after = source.after(ahead[1])
                 leaves[offset] = after if after is None or after >= end else leaves.get(after)
                 if leaves[offset] is not None and out.add(file, start, offset, leaves[offset]):
                     yield from out.flush()
@@ -174,7 +210,8 @@ def chain_links(ranges: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 def range_entries(ranges: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``file, size, start, entry``: where the chain from offset 0 enters each range, for the ranges
     it enters.  Pointer jumping: after round k a link spans 2^k ranges.  Each round's tables are
-    written to the checkpoint folder, so a lost executor costs one round."""
+    written to the checkpoint folder, so a lost executor costs one round.  A chain that breaks before
+    the end of its file is an error."""
     checkpoint_dir(ranges.sparkSession)
     links = chain_links(ranges, range_bytes).select("file", "offset", "leaves").checkpoint()
     # only candidates that some chain leads to, or that start a file, can be on the chain
@@ -191,6 +228,11 @@ def range_entries(ranges: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFram
             break
         jump = (jump.alias("a").join(jump.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("a.leaves") == F.col("b.offset")))
                 .select("a.file", "a.offset", "b.leaves").checkpoint())
+    whole = reached.join(links, ["file", "offset"]).select("file", F.col("leaves").alias("size"))
+    broken = ranges.select("file", "size").distinct().join(whole, ["file", "size"], "left_anti")
+    last = reached.groupBy("file").agg(F.max("offset").alias("offset"))
+    if row := broken.join(last, "file", "left").first():
+        raise ValueError(f"{row['file']}: the records from {row['offset'] or 0} on do not reach the file's end at {row['size']}")
     start = (F.floor(F.col("offset") / range_bytes) * range_bytes).cast("long")
     entry = reached.groupBy("file", start.alias("start")).agg(F.min("offset").alias("entry"))
     return ranges.join(entry, ["file", "start"])

@@ -59,3 +59,27 @@ def test_empty_table(spark):
     out = common.run_dir(spark, "t2") + "/warc"
     warc.write_warc(spark.createDataFrame([], DDL), out)
     assert warc.read_warc(spark, out).collect() == []
+
+
+def test_long_headers(spark):
+    data = [(i, "data:text/html," + "%41" * (30_000 * (i % 3)) + "WARC/1.1", f"<p>{i}</p>" * 30, 1, "x") for i in range(12)]
+    data += [(100, "u", "a: WARC/1.1\r\n" * 2000, 1, "x"), (101, "u", "a: WARC/1.1\r\nContent-Length: 5\r\n" * 500 + "\r\n12345\r\n\r\n", 1, "x")]
+    out = common.run_dir(spark, "t2") + "/warc"
+    warc.write_warc(spark.createDataFrame(data, DDL).coalesce(1), out)
+    for range_bytes in (50_000, 10_000_000):
+        got = [tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in warc.read_warc(spark, out, range_bytes, with_payload=True).collect()]
+        assert sorted(got, key=repr) == expected(data)
+
+
+@pytest.mark.parametrize("range_bytes", [500, 1_000_000])
+def test_truncated_file_is_an_error(spark, range_bytes):
+    out = common.run_dir(spark, "t2") + "/warc"
+    warc.write_warc(spark.createDataFrame(rows(), DDL).coalesce(1), out)
+    whole = bytes(spark.read.format("binaryFile").load(out).where("length > 0").first().content)
+    for cut in (1, len(whole) // 2):
+        part = f"{common.run_dir(spark, 't2')}.warc"
+        fs, path = common.file_system(part)
+        with fs.open_output_stream(path) as f:
+            f.write(whole[:-cut])
+        with pytest.raises(ValueError, match="do not reach"):
+            warc.read_warc(spark, part, range_bytes)
