@@ -9,8 +9,10 @@ its shards: greedily from the shard's medoid (and its own neighbours), and from
 to their neighbours until no more are in range.  Whatever is found is verified by the cosine in double
 precision.  A pair that meets in several shards counts in the first that both share.
 
-A sample of vectors is audited against brute force (all rows, in blocks); while the recall of links
-is below ``target``, the overlap grows.
+A sample of vectors is audited against brute force (all rows, in blocks).  The sample grows until it
+holds ``AUDIT_LINKED`` vectors with links or is the whole table; recall is the mean of the vectors'
+own.  While it is below ``target``, the overlap grows, to all shards if need be, and if that is not
+enough all pairs are compared.
 
 Shards of more than ``TILE_ROWS`` rows are cut into tiles: a graph per tile, searched by the vectors
 of every tile of the shard, so a large group of near copies is split over tasks and loses no link.
@@ -39,7 +41,10 @@ LEADER_COSINE = 0.8
 DEGREE, BEAM, ALPHA = 24, 32, 1.2
 #: Nodes up to this much below the threshold are walked through (not linked).
 SLACK = 0.02
-OVERLAPS, TARGET, AUDIT_ROWS = (2, 3, 5), 0.99, 200
+OVERLAPS, TARGET = (2, 3, 5), 0.99
+#: Vectors of the first sample, linked vectors it must hold, vectors a pass compares with all rows.
+AUDIT_ROWS, AUDIT_LINKED, AUDIT_BLOCK = 200, 200, 2_000
+_HASHES = 1 << 40
 
 ROWS = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("digest", pa.binary()), ("vector", pa.binary())])
 
@@ -182,8 +187,9 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out.flush()
 
 
-def _search(threshold: float):
-    """Links between tiles x and y of a shard, counted where the shard is the first that both share."""
+def _search(threshold: float, exact_pairs: bool = False):
+    """Links between tiles x and y of a shard, counted where the shard is the first that both share;
+    with ``exact_pairs`` all pairs are compared, without the graph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = common.Collector(pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]))
@@ -191,13 +197,17 @@ def _search(threshold: float):
             ids, n = [r[0] for r in rows], len(rows)
             copies, shards = np.array([r[1] for r in rows], np.int64), [set(r[3]) for r in rows]
             raw, norm, u = unit([r[5] for r in rows])
-            home = np.flatnonzero(np.array([r[2] for r in rows]) == x)      # the graph of tile x
+            tile = np.array([r[2] for r in rows])
+            home = np.flatnonzero(tile == x)                  # the graph of tile x
             place = {ids[i]: k for k, i in enumerate(home.tolist())}
-            graph = FlatGraph(u[home], [[place[j] for j in rows[i][4] if j in place] for i in home.tolist()]).symmetric()
+            others = np.arange(n) if x == y else np.flatnonzero(tile == y)
             pairs = set()
-            for q in range(n) if x == y else [i for i in range(n) if rows[i][2] == y]:
-                if not home.size:
-                    break
+            if exact_pairs:
+                a, b = np.nonzero(u[others] @ u[home].T >= threshold - 1e-9)
+                pairs = {(min(p), max(p)) for p in zip(others[a].tolist(), home[b].tolist()) if p[0] != p[1]}
+            else:
+                graph = FlatGraph(u[home], [[place[j] for j in rows[i][4] if j in place] for i in home.tolist()]).symmetric()
+            for q in others.tolist() if home.size and not exact_pairs else ():
                 own = place.get(ids[q], -1)
                 start = tuple(graph.neighbours[own] if own >= 0 else (place[j] for j in rows[q][4] if j in place))
                 for k in graph.in_range(u[q], threshold, skip=own, start=start).tolist():
@@ -269,36 +279,55 @@ def choose_leaders(classes: DataFrame, shard_rows: int, leader_bytes: int) -> di
     return {g: pick_leaders(unit(raw)[2], max(2, want[g])) for g, raw in found.items()}
 
 
-def _audit(classes: DataFrame, found: DataFrame, threshold: float, rows: int) -> float:
-    """Links found over links there are, of a sample of classes, by brute force over all rows."""
+def _audit(classes: DataFrame, found: DataFrame, threshold: float, rows: int, linked: int = AUDIT_LINKED) -> float:
+    """Mean over vectors of the links found over the links there are, by brute force over all rows.  The
+    sample begins with about ``rows`` vectors and grows fourfold until ``linked`` of them have links or
+    it is the whole table; without any link there, 1."""
     n = classes.count()
-    part = int(min(1.0, rows / n) * 1_000_000) if n else 0
-    sample = classes.where(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1_000_000)) < part).select("rep", "label", "vector").limit(4 * rows).collect()
+    at, upto, some, recalls = 0, max(1, int(min(1.0, rows / max(n, 1)) * _HASHES)), 0, 0.0
+    hashed = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(_HASHES))
+    links = found.groupBy("rep").agg(F.sum("links").alias("links")).checkpoint()
+    while n and at < _HASHES and some < linked:
+        step = min(upto - at, max(1, int(AUDIT_BLOCK / n * _HASHES)))
+        sample = classes.where((hashed >= at) & (hashed < at + step)).select("rep", "label", "vector").collect()
+        if sample:
+            there = _count_links(classes, sample, threshold)
+            row = there.join(links, "rep", "left").agg(F.count(F.lit(1)).alias("n"), F.sum(
+                F.least(F.coalesce("links", F.lit(0)) / F.col("there"), F.lit(1.0))).alias("recalls")).first()
+            some, recalls = some + row["n"], recalls + (row["recalls"] or 0.0)
+        at += step
+        if at == upto:
+            upto = min(_HASHES, 4 * upto)
+    return recalls / some if some else 1.0
+
+
+def _count_links(classes: DataFrame, sample: list, threshold: float) -> DataFrame:
+    """``rep, there``: the links of each vector of the sample that has any, compared with all rows."""
     queries: dict[str, list] = {}
     for r in sample:
         queries.setdefault(r["label"], []).append((r["rep"], bytes(r["vector"])))
-    queries = {g: ([i for i, _ in q], unit([v for _, v in q])) for g, q in queries.items()}
+    queries = {g: (np.array([i for i, _ in q]), unit([v for _, v in q])) for g, q in queries.items()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
+        total = {g: np.zeros(len(ids), np.int64) for g, (ids, _) in queries.items()}
         for batch in batches:
             by: dict[str, list] = {}
             for rep, copies, label, vector in common.rows_of(batch, "rep", "copies", "label", "vector"):
                 if label in queries:
                     by.setdefault(label, []).append((rep, copies, vector))
-            for label, some in by.items():
+            for label, rows in by.items():
                 ids, (raw, norm, _) = queries[label]
-                x, size, _ = unit([v for _, _, v in some])
-                hit = (raw @ x.T) / (norm[:, None] * size[None, :]) >= threshold
-                hit &= np.array(ids)[:, None] != np.array([r for r, _, _ in some])[None, :]
-                for i, k in zip(ids, hit @ np.array([c for _, c, _ in some])):
-                    total[i] = total.get(i, 0) + int(k)
-        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array(total.values(), pa.int64())], names=["rep", "there"])
+                for k in range(0, len(rows), 1_000):          # bounded memory
+                    part = rows[k:k + 1_000]
+                    x, size, _ = unit([v for _, _, v in part])
+                    hit = (raw @ x.T) / (norm[:, None] * size[None, :]) >= threshold
+                    hit &= ids[:, None] != np.array([r for r, _, _ in part])[None, :]
+                    total[label] += hit @ np.array([c for _, c, _ in part], np.int64)
+        for label, (ids, _) in queries.items():
+            some = total[label] > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(total[label][some], pa.int64())], names=["rep", "there"])
 
-    there = classes.select("rep", "copies", "label", "vector").mapInArrow(count, "rep long, there long").groupBy("rep").agg(F.sum("there").alias("there"))
-    row = (there.join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
-           .agg(F.sum("there").alias("there"), F.sum("links").alias("links")).first())
-    return (row["links"] or 0) / row["there"] if row["there"] else 1.0
+    return classes.select("rep", "copies", "label", "vector").mapInArrow(count, "rep long, there long").groupBy("rep").agg(F.sum("there").alias("there"))
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, overlaps: tuple[int, ...] = OVERLAPS,
@@ -309,7 +338,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sha
     least ``threshold``.  Null, empty and zero vectors and those with null or non-finite components link
     with nothing; rows without id neither (component null, kept).  Equal vectors link with each other;
     rows repeating an id and its vector are one; an empty table gives no rows; other columns are not
-    read.  ``report`` receives the audited recall and the overlap used."""
+    read.  ``report`` receives the audited recall and the overlap used (0: all pairs were compared)."""
     spark = vectors.sparkSession
     checkpoint_dir(spark)
     parts = common.partitions(spark)
@@ -320,20 +349,25 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sha
     classes = (rows.where("digest is not null").withColumnRenamed("vec_id", "rep").join(copies, ["label", "digest", "rep"])
                .dropDuplicates(["label", "digest", "rep"]).select("rep", "copies", "label", "vector").checkpoint())
     leaders = choose_leaders(classes, shard_rows, leader_bytes)
-    for overlap in overlaps:
-        sharded = classes.mapInArrow(_assign(leaders, overlap), "rep long, copies long, label string, vector binary, shards array<long>").checkpoint()
+    most = max(map(len, leaders.values()), default=1)
+    steps = [*overlaps]
+    while steps[-1] < most:
+        steps.append(2 * steps[-1])
+    for overlap in [*(o for k, o in enumerate(steps) if not k or steps[k - 1] < most), 0]:
+        sharded = classes.mapInArrow(_assign(leaders if overlap else {}, overlap), "rep long, copies long, label string, vector binary, shards array<long>").checkpoint()
         placed = sharded.withColumn("shard", F.explode("shards"))
         sizes = placed.groupBy("label", "shard").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("tiles"))
         placed = placed.join(sizes, ["label", "shard"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).checkpoint()
         near = (placed.select("label", "shard", "tile", "rep", "vector").repartition(parts, "label", "shard", "tile")
                 .sortWithinPartitions("label", "shard", "tile", "rep").mapInArrow(_build, "rep long, near array<long>"))
         near = near.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))   # overlap × degree ids
-        tiled = placed.join(near, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        linked = placed.join(near, "rep") if overlap else placed.withColumn("near", F.array().cast("array<long>"))
+        tiled = linked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         tiled = tiled.select("label", "shard", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"),
                              "rep", "copies", "tile", "shards", "near", "vector")
         found = (tiled.repartition(parts, "label", "shard", "x", "y").sortWithinPartitions("label", "shard", "x", "y", "rep")
-                 .mapInArrow(_search(threshold), "rep long, links long, root long").checkpoint())
-        recall = _audit(classes, found, threshold, AUDIT_ROWS)
+                 .mapInArrow(_search(threshold, not overlap), "rep long, links long, root long").checkpoint())
+        recall = _audit(classes, found, threshold, AUDIT_ROWS) if overlap else 1.0
         if report is not None:
             report.update(recall=recall, overlap=overlap, leaders={g: len(x) for g, x in leaders.items()})
         if recall >= target:

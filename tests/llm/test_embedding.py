@@ -102,3 +102,30 @@ def test_graph_finds_what_is_in_range():
     assert not (found & ~there).any()
     found |= found.T                                          # either end may find a pair
     assert found.sum() >= 0.995 * there.sum()
+
+
+def test_audit_needs_evidence(spark):
+    """Lost pairs count, be they rare or beside a large group whose links are found."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 24))
+    x[1000:1300] = x[1000] + rng.normal(size=(300, 24)) * 0.01
+    x[1300:1340] = x[1340:1380] + rng.normal(size=(40, 24)) * 0.01
+    ddl = "rep long, copies long, label string, vector binary"
+    none = spark.createDataFrame([], "rep long, links long, root long")
+    group = spark.createDataFrame([(i, 299, 1000) for i in range(1000, 1300)], none.schema)
+    table = lambda keep: spark.createDataFrame([(i, 1, "0/24", x[i].tobytes()) for i in keep], ddl)
+    alone = [*range(1000), *range(1300, 1303), *range(1340, 1343)]
+    assert E._audit(table(alone), none, 0.98, 20) == 0.0
+    assert E._audit(table(range(2000)), group, 0.98, 2000) == pytest.approx(300 / 380)
+    assert E._audit(table(range(900)), none, 0.98, 200) == 1.0
+
+
+def test_goes_on_until_target(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(E, "_audit", lambda *a: asked.append(1) or 0.0)
+    monkeypatch.setattr(E, "TILE_ROWS", 100)
+    rows, report = data(400, 60), {}
+    got = E.near_duplicate_vectors(spark.createDataFrame(rows, DDL).repartition(4), shard_rows=30, overlaps=(1, 2), report=report).collect()
+    links, root = brute(rows)
+    assert {r.vec_id: r.n_links for r in got} == links and all(r.component_id == root[r.vec_id] for r in got)
+    assert len(asked) > 2 and report["overlap"] == 0
