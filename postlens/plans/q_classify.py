@@ -128,7 +128,8 @@ def relevance_metrics(spark, sf_dir):
 
 @register("self_training")
 def self_training(spark, sf_dir):
-    """One expansion round on the 75/25 labelled split with 200 unlabelled posts."""
+    """One expansion round on the 75/25 labelled split with the study's 50 000 unlabelled posts (all
+    where the pool is smaller)."""
     posts = posts_from_documents(spark, sf_dir)
     lab = table(spark, sf_dir, "labels")
     sent = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
@@ -136,4 +137,4 @@ def self_training(spark, sf_dir):
     parts = S.split_exact(labelled, "tweet_id", test=0.25)
     train = parts.where("split = 'train'").drop("split")
     test = parts.where("split = 'test'").drop("split")
-    return C.self_training_round(posts, train, test, 200)
+    return C.self_training_round(posts, train, test, 50_000)

@@ -130,3 +130,12 @@ def test_large_dictionary_is_joined(spark, monkeypatch):
     monkeypatch.setattr(C, "BROADCAST_WORDS", 0)
     assert sorted(map(tuple, C.segment_column(df, "t", words).collect()), key=str) == sorted(first, key=str)
     assert dict((r[0], r[2]) for r in first)[1] == "demo mahasiswa jakarta"
+
+
+def test_self_training_takes_the_whole_sample(spark, monkeypatch):
+    from postlens.operators import classify
+    from postlens.plans import catalog
+    asked = []
+    monkeypatch.setattr(classify, "self_training_round", lambda posts, train, test, n, **options: asked.append(n))
+    catalog.queries()["self_training"](spark, "/root/testdata/sf0.001")
+    assert asked == [50_000]
