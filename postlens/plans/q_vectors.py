@@ -207,17 +207,17 @@ def cluster_param_search(spark, sf_dir):
 
 @register("cluster_param_mix")
 def cluster_param_mix(spark, sf_dir):
-    return CL.search_parameters(_emb(spark, sf_dir), "vec_id", "embedding", "mix", [5, 20, 50, 100])[0]
+    return CL.search_parameters(_emb(spark, sf_dir), "vec_id", "embedding", "mix")[0]
 
 
 @register("cluster_param_dbcv")
 def cluster_param_dbcv(spark, sf_dir):
-    return CL.search_parameters(_emb(spark, sf_dir), "vec_id", "embedding", "dbcv", [5, 20])[0]
+    return CL.search_parameters(_emb(spark, sf_dir), "vec_id", "embedding", "dbcv")[0]
 
 
 @register("cluster_param_stability")
 def cluster_param_stability(spark, sf_dir):
-    return CL.search_parameters(_emb(spark, sf_dir), "vec_id", "embedding", "stability", [5, 20])[0]
+    return CL.search_parameters(_emb(spark, sf_dir), "vec_id", "embedding", "stability")[0]
 
 
 @register("embed_text")

@@ -150,3 +150,14 @@ def test_twonn_on_a_plane(spark):
     nn = V.knn(df, "id", "v", 2, cells=4)
     d = V.twonn_dimension(nn, "id", clip=(1, 50)).first()
     assert 1.5 < d["dimension"] < 2.6
+
+
+def test_registered_searches_take_the_whole_range(monkeypatch):
+    from postlens.plans import catalog, q_vectors
+    asked = []
+    monkeypatch.setattr(q_vectors, "_emb", lambda spark, sf_dir: None)
+    monkeypatch.setattr(CL, "search_parameters", lambda df, i, v, mode, grid=None: asked.append((mode, grid)) or [None, 0, 0])
+    for mode in ("search", "mix", "dbcv", "stability"):
+        catalog.queries()[f"cluster_param_{mode}"](None, "")
+    assert asked == [(m, None) for m in ("heuristic", "mix", "dbcv", "stability")]
+    assert min(CL.PAIR_GRID) == min(CL.ELBOW_GRID) == 5 and max(CL.PAIR_GRID) == 500 and max(CL.ELBOW_GRID) == 100
