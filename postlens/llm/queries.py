@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import byte_bpe, chat, common, dac, embedding_dedup, hard_negatives, importance, ngram_join, oracle, packing, quality, token_counts, toxicity, warc
+from postlens.llm import byte_bpe, chat, common, dac, embedding_dedup, hard_negatives, importance, language_id, ngram_join, oracle, packing, quality, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,3 +100,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_features", "weight", "score", "rank")
+
+
+@register("op13_language_id")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = language_id.identify(common.table(spark, sf_dir, "documents"), held_out)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "code_bits")
