@@ -1,22 +1,27 @@
 """Operator 9: embedding near-duplicates by a robust-pruned flat graph.
 
-Vectors are compared within a label.  Equal vectors form a class with one representative.  Leaders —
-a bounded sample of vectors, none close to another — define cluster shards, and every vector goes to
-its ``overlap`` nearest shards.  In each shard a flat graph is built by greedy insertion with robust
-pruning; the adjacency lists that a vector got in its shards are united, with the reverse edges where
-they are searched.  Then every vector searches
-its shards: greedily from the shard's medoid (and its own neighbours), and from all nodes in range on
-to their neighbours until no more are in range.  Whatever is found is verified by the cosine in double
-precision.  A pair that meets in several shards counts in the first that both share.
-
-A sample of vectors is audited against brute force (all rows, in blocks).  The sample grows until it
-holds ``AUDIT_LINKED`` vectors with links or is the whole table; recall is the mean of the vectors'
-own.  While it is below ``target``, the overlap grows, to all shards if need be, and if that is not
-enough all pairs are compared.
+Vectors are compared within a label.  Equal vectors of a label form a class, numbered on its own: an id
+that stands on several vectors belongs to several classes, which have nothing to do with each other.
+Leaders — a bounded sample of vectors, none close to another — define cluster shards, and every vector
+goes to its ``overlap`` nearest shards.  In each shard a flat graph is built by greedy insertion with
+robust pruning; the adjacency lists that a vector got in its shards are united, with the reverse edges
+where they are searched.  Then every vector searches its shards: greedily from the shard's medoid (and
+its own neighbours), and from all nodes in range on to their neighbours until no more are in range.
+Whatever is found is verified by the cosine in double precision.  A pair that meets in several shards
+counts in the first that both share.
+
+Recall is audited twice, both times on a bounded number of vectors.  Planted copies — of sampled vectors,
+one, a few or many of each, at cosines from the threshold on — go through shards, graphs and searches
+like all others; how many of the links among a vector's planted copies are found is known evidence on
+any table, however rare its own copies are.  (Planted vectors count in no result and join no
+components.)  And a sample of the table's own vectors is compared with all rows.  Recall is the mean of
+the vectors' own; while either falls below ``target``, the overlap grows, to all shards if need be, and
+if that is not enough all pairs are compared.
 
 Shards of more than ``TILE_ROWS`` rows are cut into tiles: a graph per tile, searched by the vectors
 of every tile of the shard, so a large group of near copies is split over tasks and loses no link.
-Tasks return one row per class — links and local component — never pairs.
+Tasks return one row per class — links and local component — never pairs.  Leaders are bounded in bytes;
+labels beyond that bound are one shard, cut into tiles and searched whole.
 """
 
 from __future__ import annotations
@@ -42,8 +47,8 @@ DEGREE, BEAM, ALPHA = 24, 32, 1.2
 #: Nodes up to this much below the threshold are walked through (not linked).
 SLACK = 0.02
 OVERLAPS, TARGET = (2, 3, 5), 0.99
-#: Vectors of the first sample, linked vectors it must hold, vectors a pass compares with all rows.
-AUDIT_ROWS, AUDIT_LINKED, AUDIT_BLOCK = 200, 200, 2_000
+#: Sampled vectors that are compared with all rows; planted copies: (sampled vectors, copies of each).
+AUDIT_ROWS, PLANTED = 200, ((200, 1), (80, 6), (20, 40))
 _HASHES = 1 << 40
 
 ROWS = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("digest", pa.binary()), ("vector", pa.binary())])
@@ -152,13 +157,18 @@ class FlatGraph:
 
 def pick_leaders(x: np.ndarray, most: int) -> np.ndarray:
     """Rows of unit vectors none of which has LEADER_COSINE or more with an earlier one."""
-    kept: list[int] = []
-    for i in range(len(x)):
-        if len(kept) >= most:
-            break
-        if not kept or (x[kept] @ x[i]).max() < LEADER_COSINE:
-            kept.append(i)
-    return x[kept]
+    kept, n = np.empty((min(most, len(x)), x.shape[1])), 0
+    for at in range(0, len(x), 512):
+        block = x[at:at + 512]
+        block = block[(block @ kept[:n].T).max(1, initial=-1.0) < LEADER_COSINE]      # against the leaders before this block
+        first = n
+        for row in block:
+            if n == len(kept):
+                return kept
+            if n == first or (kept[first:n] @ row).max() < LEADER_COSINE:
+                kept[n] = row
+                n += 1
+    return kept[:n]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: tuple[str, ...]):
@@ -189,12 +199,15 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _search(threshold: float, exact_pairs: bool = False):
     """Links between tiles x and y of a shard, counted where the shard is the first that both share;
-    with ``exact_pairs`` all pairs are compared, without the graph."""
+    with ``exact_pairs`` all pairs are compared, without the graph.  ``base`` is a planted copy's vector (a
+    class's own number otherwise): pairs of one base count as ``planted``, other pairs with a planted copy
+    (negative numbers) not at all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = common.Collector(pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]))
-        for (_, shard, x, y), rows in _groups(batches, ("label", "shard", "x", "y"), ("rep", "copies", "tile", "shards", "near", "vector")):
+        out = common.Collector(pa.schema([(c, pa.int64()) for c in ("rep", "first", "links", "planted", "root", "root_first")]))
+        for (_, shard, x, y), rows in _groups(batches, ("label", "shard", "x", "y"), ("rep", "copies", "tile", "shards", "near", "vector", "first", "base")):
             ids, n = [r[0] for r in rows], len(rows)
+            first, base = [r[6] for r in rows], [r[7] for r in rows]
             copies, shards = np.array([r[1] for r in rows], np.int64), [set(r[3]) for r in rows]
             raw, norm, u = unit([r[5] for r in rows])
             tile = np.array([r[2] for r in rows])
@@ -217,7 +230,7 @@ def _search(threshold: float, exact_pairs: bool = False):
             a, b = np.array(sorted(pairs)).T
             exact = (raw[a] * raw[b]).sum(1) / (norm[a] * norm[b]) >= threshold
             a, b = a[exact], b[exact]
-            links, parent = np.zeros(n, np.int64), list(range(n))
+            links, planted, parent = np.zeros(n, np.int64), np.zeros(n, np.int64), list(range(n))
 
             def find(v):
                 while parent[v] != v:
@@ -225,17 +238,24 @@ def _search(threshold: float, exact_pairs: bool = False):
                     v = parent[v]
                 return v
             for i, j in zip(a.tolist(), b.tolist()):
-                if min(shards[i] & shards[j]) == shard:
-                    links[i] += copies[j]
-                    links[j] += copies[i]
-                    p, r = find(i), find(j)
-                    parent[max(p, r)] = min(p, r)
-            least: dict[int, int] = {}
+                if min(shards[i] & shards[j]) != shard:
+                    continue
+                if ids[i] < 0 or ids[j] < 0:
+                    if base[i] == base[j]:
+                        planted[i] += ids[i] < 0
+                        planted[j] += ids[j] < 0
+                    continue
+                links[i] += copies[j]
+                links[j] += copies[i]
+                p, r = find(i), find(j)
+                parent[max(p, r)] = min(p, r)
+            least: dict[int, tuple[int, int]] = {}
             for i in np.flatnonzero(links).tolist():
                 r = find(i)
-                least[r] = min(least.get(r, ids[i]), ids[i])
-            for i in np.flatnonzero(links).tolist():
-                if out.add(ids[i], int(links[i]), least[find(i)]):
+                least[r] = min(least.get(r, (first[i], ids[i])), (first[i], ids[i]))
+            for i in np.flatnonzero(links + planted).tolist():
+                root_first, root = least.get(find(i), (first[i], ids[i]))
+                if out.add(ids[i], first[i], int(links[i]), int(planted[i]), root, root_first):
                     yield from out.flush()
         yield from out.flush()
     return run
@@ -261,9 +281,10 @@ def _assign(leaders: dict[str, np.ndarray], overlap: int):
 
 
 def choose_leaders(classes: DataFrame, shard_rows: int, leader_bytes: int) -> dict[str, np.ndarray]:
-    """Leaders of every label with more than a shard of vectors; the sample is bounded by leader_bytes."""
+    """Leaders of the labels with more than a shard of vectors, the largest first; the sample, two vectors
+    a label at least, is bounded by leader_bytes."""
     sizes = {r["label"]: r["count"] for r in classes.groupBy("label").count().where(F.col("count") > shard_rows)
-             .orderBy(F.desc("count"), "label").limit(100_000).collect()}
+             .orderBy(F.desc("count"), "label").limit(leader_bytes // 128).collect()}
     if not sizes:
         return {}
     want = {g: -(-n // shard_rows) for g, n in sizes.items()}
@@ -271,7 +292,7 @@ def choose_leaders(classes: DataFrame, shard_rows: int, leader_bytes: int) -> di
     part = min(1.0, leader_bytes / (2 * size))
     shares = classes.sparkSession.createDataFrame(
         [(g, int(min(1.0, 2 * k * part / sizes[g]) * 1_000_000) + 1) for g, k in want.items()], "label string, share long")
-    rows = (classes.join(F.broadcast(shares), "label")        # at most 100 000 labels
+    rows = (classes.join(F.broadcast(shares), "label")        # bounded by leader_bytes
             .where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < F.col("share")).select("label", "rep", "vector").orderBy("label", "rep").collect())
     found: dict[str, list[bytes]] = {}
     for r in rows:
@@ -279,26 +300,59 @@ def choose_leaders(classes: DataFrame, shard_rows: int, leader_bytes: int) -> di
     return {g: pick_leaders(unit(raw)[2], max(2, want[g])) for g, raw in found.items()}
 
 
-def _audit(classes: DataFrame, found: DataFrame, threshold: float, rows: int, linked: int = AUDIT_LINKED) -> float:
-    """Mean over vectors of the links found over the links there are, by brute force over all rows.  The
-    sample begins with about ``rows`` vectors and grows fourfold until ``linked`` of them have links or
-    it is the whole table; without any link there, 1."""
+def _planted(classes: DataFrame, threshold: float) -> tuple[DataFrame | None, dict[int, int]]:
+    """Copies of a bounded sample of vectors, numbered from -1 downwards, and how many links each has with
+    its vector and that vector's other copies."""
+    want = sum(n for n, _ in PLANTED)
+    n = classes.count()
+    part = int(min(1.0, 2 * want / max(1, n)) * _HASHES) + 1
+    bases = (classes.where(F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(_HASHES)) < part).orderBy(F.xxhash64("rep", F.lit(2)), "rep")
+             .limit(want).select("rep", "label", "vector").collect())
+    rng, rows, there = np.random.default_rng(17), [], {}
+    counts = [k for n, k in PLANTED for _ in range(n)]
+    # few vectors: every kind of group among them
+    counts = counts if len(bases) >= want else [PLANTED[i % len(PLANTED)][1] for i in range(len(bases))]
+    for base, k in zip(bases, counts):
+        u = unit([bytes(base["vector"])])[2][0]
+        if u.size < 2:
+            continue
+        away = rng.normal(size=(k, u.size))
+        away -= np.outer(away @ u, u)
+        away /= np.sqrt((away * away).sum(1, keepdims=True))
+        cos = rng.uniform(threshold, 1.0, (k, 1)) + 1e-9
+        x = np.concatenate([u[None], np.minimum(cos, 1) * u + np.sqrt(np.maximum(0, 1 - cos * cos)) * away])
+        _, norm, _ = unit([r.tobytes() for r in x])
+        near = unit([r.tobytes() for r in x])[2]
+        linked = (near @ near.T >= threshold).sum(1) - 1
+        for r, links in zip(x[1:], linked[1:].tolist()):
+            number = -1 - len(there)
+            there[number] = links
+            rows.append((number, number, base["rep"], 0, base["label"], bytearray(r.tobytes())))
+    if not rows:
+        return None, {}
+    return classes.sparkSession.createDataFrame(rows, "rep long, first long, base long, copies long, label string, vector binary"), there
+
+
+def _planted_recall(found: DataFrame, there: dict[int, int]) -> float:
+    got = {r["rep"]: r["n"] for r in found.where("rep < 0").groupBy("rep").agg(F.sum("planted").alias("n")).collect()}   # bounded by PLANTED
+    some = {k: n for k, n in there.items() if n}
+    return sum(min(1.0, got.get(k, 0) / n) for k, n in some.items()) / len(some) if some else 1.0
+
+
+def _audit(classes: DataFrame, found: DataFrame, threshold: float, rows: int) -> float:
+    """Mean over about ``rows`` sampled vectors of the links found over the links there are, by brute force
+    over all rows; without any link there, 1."""
     n = classes.count()
-    at, upto, some, recalls = 0, max(1, int(min(1.0, rows / max(n, 1)) * _HASHES)), 0, 0.0
-    hashed = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(_HASHES))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links")).checkpoint()
-    while n and at < _HASHES and some < linked:
-        step = min(upto - at, max(1, int(AUDIT_BLOCK / n * _HASHES)))
-        sample = classes.where((hashed >= at) & (hashed < at + step)).select("rep", "label", "vector").collect()
-        if sample:
-            there = _count_links(classes, sample, threshold)
-            row = there.join(links, "rep", "left").agg(F.count(F.lit(1)).alias("n"), F.sum(
-                F.least(F.coalesce("links", F.lit(0)) / F.col("there"), F.lit(1.0))).alias("recalls")).first()
-            some, recalls = some + row["n"], recalls + (row["recalls"] or 0.0)
-        at += step
-        if at == upto:
-            upto = min(_HASHES, 4 * upto)
-    return recalls / some if some else 1.0
+    part = int(min(1.0, rows / max(n, 1)) * _HASHES) + 1
+    sample = (classes.where(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(_HASHES)) < part).orderBy(F.xxhash64("rep", F.lit(1)), "rep")
+              .limit(2 * rows).select("rep", "label", "vector").collect())
+    if not sample:
+        return 1.0
+    names = classes.sparkSession.createDataFrame([(r["rep"],) for r in sample], "rep long")
+    links = found.join(F.broadcast(names), "rep", "left_semi").groupBy("rep").agg(F.sum("links").alias("links"))
+    row = _count_links(classes, sample, threshold).join(links, "rep", "left").agg(F.count(F.lit(1)).alias("n"), F.sum(
+        F.least(F.coalesce("links", F.lit(0)) / F.col("there"), F.lit(1.0))).alias("recalls")).first()
+    return row["recalls"] / row["n"] if row["n"] else 1.0
 
 
 def _count_links(classes: DataFrame, sample: list, threshold: float) -> DataFrame:
@@ -336,25 +390,33 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sha
 
     Vectors link when their labels are equal and not null, their lengths are equal and the cosine is at
     least ``threshold``.  Null, empty and zero vectors and those with null or non-finite components link
-    with nothing; rows without id neither (component null, kept).  Equal vectors link with each other;
-    rows repeating an id and its vector are one; an empty table gives no rows; other columns are not
-    read.  ``report`` receives the audited recall and the overlap used (0: all pairs were compared)."""
+    with nothing; rows without id neither (component null, kept).  Equal vectors of a label link with each
+    other; rows repeating an id, its label and its vector are one.  An id with several vectors or labels
+    has a row for each, with that vector's own links and component: ``n_links`` counts linked vectors (of
+    the same id too), ``component_id`` is the smallest id reachable from that vector.  An empty table gives
+    no rows; other columns are not read.  ``report`` receives the audited recalls (``planted``,
+    ``recall``) and the overlap used (0: all pairs were compared)."""
     spark = vectors.sparkSession
     checkpoint_dir(spark)
     parts = common.partitions(spark)
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding").mapInArrow(
         _valid, "vec_id long, label string, digest binary, vector binary").checkpoint()
-    named = rows.where("digest is not null").select("vec_id", "label", "digest").distinct()
-    copies = named.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = (rows.where("digest is not null").withColumnRenamed("vec_id", "rep").join(copies, ["label", "digest", "rep"])
-               .dropDuplicates(["label", "digest", "rep"]).select("rep", "copies", "label", "vector").checkpoint())
+    valid = rows.where("digest is not null")
+    named = valid.select("vec_id", "label", "digest").distinct()
+    copies = named.groupBy("label", "digest").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    vector = valid.groupBy("label", "digest").agg(F.first("vector").alias("vector"))           # equal within a class
+    numbered = copies.join(vector, ["label", "digest"]).withColumn("rep", F.monotonically_increasing_id()).checkpoint()
+    classes = numbered.select("rep", "first", F.col("rep").alias("base"), "copies", "label", "vector")
+    planted, there = _planted(classes, threshold)
+    searched = classes if planted is None else classes.unionByName(planted)
     leaders = choose_leaders(classes, shard_rows, leader_bytes)
     most = max(map(len, leaders.values()), default=1)
     steps = [*overlaps]
     while steps[-1] < most:
         steps.append(2 * steps[-1])
+    carried = "rep long, first long, base long, copies long, label string, vector binary, shards array<long>"
     for overlap in [*(o for k, o in enumerate(steps) if not k or steps[k - 1] < most), 0]:
-        sharded = classes.mapInArrow(_assign(leaders if overlap else {}, overlap), "rep long, copies long, label string, vector binary, shards array<long>").checkpoint()
+        sharded = searched.mapInArrow(_assign(leaders if overlap else {}, overlap), carried).checkpoint()
         placed = sharded.withColumn("shard", F.explode("shards"))
         sizes = placed.groupBy("label", "shard").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("tiles"))
         placed = placed.join(sizes, ["label", "shard"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).checkpoint()
@@ -364,18 +426,23 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sha
         linked = placed.join(near, "rep") if overlap else placed.withColumn("near", F.array().cast("array<long>"))
         tiled = linked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         tiled = tiled.select("label", "shard", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"),
-                             "rep", "copies", "tile", "shards", "near", "vector")
-        found = (tiled.repartition(parts, "label", "shard", "x", "y").sortWithinPartitions("label", "shard", "x", "y", "rep")
-                 .mapInArrow(_search(threshold, not overlap), "rep long, links long, root long").checkpoint())
-        recall = _audit(classes, found, threshold, AUDIT_ROWS) if overlap else 1.0
+                             "rep", "first", "base", "copies", "tile", "shards", "near", "vector")
+        found = (tiled.repartition(parts, "label", "shard", "x", "y").sortWithinPartitions("label", "shard", "x", "y", "rep").mapInArrow(
+            _search(threshold, not overlap), "rep long, first long, links long, planted long, root long, root_first long").checkpoint())
+        audits = {"planted": _planted_recall(found, there), "recall": _audit(classes, found, threshold, AUDIT_ROWS) if overlap else 1.0}
         if report is not None:
-            report.update(recall=recall, overlap=overlap, leaders={g: len(x) for g, x in leaders.items()})
-        if recall >= target:
+            report.update(audits, overlap=overlap, leaders={g: len(x) for g, x in leaders.items()})
+        if min(audits.values()) >= target:
             break
-    whole = connected_components(found, "rep", "root", "rep", "component_id")
+    found = found.where("rep >= 0 and links > 0")
+    # the smallest class of a component is that of its smallest id: nothing is looked up per component
+    whole = connected_components(found.select(
+        common.vertex("first", F.lpad(F.col("rep").cast("string"), 20, "0")).alias("a"),
+        common.vertex("root_first", F.lpad(F.col("root").cast("string"), 20, "0")).alias("b")), "a", "b", "v", "c")
+    whole = whole.select(F.substring("v", 21, 20).cast("long").alias("rep"), common.first_id("c").alias("component_id"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    result = copies.join(links, "rep", "left").join(whole, "rep", "left").select(
-        "label", "digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    linked = rows.where("digest is not null").select("vec_id", "label", "digest").join(result, ["label", "digest"]).select("vec_id", "n_links", "component_id")
+    result = numbered.select("rep", "label", "digest", "first", "copies").join(links, "rep", "left").join(whole, "rep", "left").select(
+        "label", "digest", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
+    linked = common.join_classes(valid.select("vec_id", "label", "digest"), result, ["label", "digest"], "vec_id").select("vec_id", "n_links", "component_id")
     alone = rows.where("digest is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

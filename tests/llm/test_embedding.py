@@ -104,20 +104,49 @@ def test_graph_finds_what_is_in_range():
     assert found.sum() >= 0.995 * there.sum()
 
 
-def test_audit_needs_evidence(spark):
-    """Lost pairs count, be they rare or beside a large group whose links are found."""
+def test_one_id_on_several_vectors(spark):
+    """Vectors of one id have nothing to do with each other unless they are alike."""
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    v2, w2 = [1.0, 0.01, 0.0], [0.01, 1.0, 0.0]
+
+    def run(rows):
+        return sorted(tuple(r) for r in E.near_duplicate_vectors(spark.createDataFrame([(*r, 1, "x") for r in rows], DDL)).collect())
+    assert run([(1, v, 0), (1, w, 1), (2, v2, 0), (3, w2, 1)]) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+    assert run([(5, v, 0), (5, w, 0), (2, v2, 0), (3, w2, 0)]) == [(2, 1, 2, True), (3, 1, 3, True), (5, 1, 2, False), (5, 1, 3, False)]
+    assert run([(-4, v, 0), (-4, v2, 0), (7, w, 0)]) == [(-4, 1, -4, True), (-4, 1, -4, True), (7, 0, 7, True)]
+    assert run([(1, v, 0), (1, v, 1), (2, v, 1)]) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_planted_copies_are_evidence(spark):
+    """Planted links are known on any table; what the search loses of them shows."""
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(2000, 24))
-    x[1000:1300] = x[1000] + rng.normal(size=(300, 24)) * 0.01
-    x[1300:1340] = x[1340:1380] + rng.normal(size=(40, 24)) * 0.01
-    ddl = "rep long, copies long, label string, vector binary"
-    none = spark.createDataFrame([], "rep long, links long, root long")
-    group = spark.createDataFrame([(i, 299, 1000) for i in range(1000, 1300)], none.schema)
-    table = lambda keep: spark.createDataFrame([(i, 1, "0/24", x[i].tobytes()) for i in keep], ddl)
-    alone = [*range(1000), *range(1300, 1303), *range(1340, 1343)]
-    assert E._audit(table(alone), none, 0.98, 20) == 0.0
-    assert E._audit(table(range(2000)), group, 0.98, 2000) == pytest.approx(300 / 380)
-    assert E._audit(table(range(900)), none, 0.98, 200) == 1.0
+    ddl = "rep long, first long, base long, copies long, label string, vector binary"
+    classes = spark.createDataFrame([(i, i, i, 1, "0/24", bytearray(x.tobytes())) for i, x in enumerate(rng.normal(size=(400, 24)))], ddl)
+    planted, there = E._planted(classes, 0.98)
+    rows = planted.collect()
+    assert len(rows) == len(there) == sum(n * k for n, k in E.PLANTED) and all(r["copies"] == 0 and r["rep"] < 0 <= r["base"] for r in rows)
+    assert all(n >= 1 for n in there.values())
+    got = spark.createDataFrame([(k, n if k % 2 else 0) for k, n in there.items()], "rep long, planted long")
+    assert E._planted_recall(got, there) == pytest.approx(0.5, abs=0.01)
+    assert E._planted(classes.limit(0), 0.98) == (None, {}) and E._planted_recall(got, {}) == 1.0
+
+
+def test_planted_copies_leave_no_trace(spark):
+    report = {}
+    rows = [(i, v.tolist(), 0, 1, "x") for i, v in enumerate(np.random.default_rng(9).normal(size=(300, 24)))]
+    got = E.near_duplicate_vectors(spark.createDataFrame(rows, DDL), shard_rows=50, report=report).collect()
+    assert report["planted"] >= 0.99 and sorted(map(tuple, got)) == [(i, 0, i, True) for i in range(300)]
+
+
+def test_leaders_by_blocks():
+    x = np.random.default_rng(2).normal(size=(1500, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    kept = []
+    for i in range(len(x)):
+        if not kept or (x[kept] @ x[i]).max() < E.LEADER_COSINE:
+            kept.append(i)
+    assert np.array_equal(E.pick_leaders(x, 10_000), x[kept])
+    assert np.array_equal(E.pick_leaders(x, 20), x[kept[:20]])
 
 
 def test_goes_on_until_target(spark, monkeypatch):
