@@ -10,9 +10,10 @@ at the threshold still meets in some tree with probability ``floor``, and are sh
 estimated recall — from how often the pairs that met under a prefix did so over all trees — is below
 ``target``.
 
-Verification is exact and complete.  Candidates are never spelled out as pairs: every class is tied to
-the smallest class under its prefix, connected components of these ties bring together all that may
-match, and a component's shingle sets meet in one task, or — beyond ``TILE_SHINGLES`` or
+Verification is exact: a link is found by comparing whole sets, and every pair that shares a prefix in
+some tree is compared (pairs without one are not).  Candidates are never spelled out as pairs: every
+class is tied to the smallest class under its prefix, connected components of these ties bring together
+all that may match, and a component's shingle sets meet in one task, or — beyond ``TILE_SHINGLES`` or
 ``TILE_ROWS`` — in tasks for pairs of its tiles.  Each task enumerates the pairs that share a prefix,
 compares their sets, and hands back one row per class: its links and its local component.  So a group
 of thousands of near copies costs its comparisons, but no rows beyond its size.
@@ -118,12 +119,15 @@ def _signatures(n: int, trees: int, depth: int, *more: str):
 
 
 def _verify(threshold: Fraction, trees: int):
-    """Rows of one group at a time → links and local component of each class."""
-    schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    """Rows of one group at a time → links and local component (its smallest vertex) of each class."""
+    schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("vertex", pa.string()), ("root", pa.string())])
     up, down = threshold.numerator, threshold.denominator
 
-    def group(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        reps = np.array([r[0] for r in rows], np.int64)
+    def group(rows: list[tuple]) -> Iterator[tuple[int, int, str, str]]:
+        vertices = [r[5] for r in rows]
+        by_vertex = sorted(range(len(rows)), key=vertices.__getitem__)
+        place = np.empty(len(rows), np.int64)
+        place[by_vertex] = np.arange(len(rows))
         copies = np.array([r[1] for r in rows], np.int64)
         side = np.array([r[2] for r in rows])
         keys = np.array([r[3] for r in rows], np.int64)
@@ -173,15 +177,15 @@ def _verify(threshold: Fraction, trees: int):
                 if a != b:
                     parent[max(a, b)] = min(a, b)
         roots = np.array([find(i) for i in range(n)])
-        least = reps.copy()
-        np.minimum.at(least, roots, reps)
+        least = place.copy()
+        np.minimum.at(least, roots, place)
         for i in np.flatnonzero(links > 0).tolist():
-            yield int(reps[i]), int(links[i]), int(least[roots[i]])
+            yield rows[i][0], int(links[i]), vertices[i], vertices[by_vertex[least[roots[i]]]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, current, rows = common.Collector(schema), None, []
         for batch in batches:
-            for comp, x, y, *row in common.rows_of(batch, "comp", "x", "y", "rep", "copies", "side", "keys", "shingles"):
+            for comp, x, y, *row in common.rows_of(batch, "comp", "x", "y", "rep", "copies", "side", "keys", "shingles", "vertex"):
                 if (comp, x, y) != current:
                     if len(rows) > 1:
                         for found in group(rows):
@@ -248,7 +252,7 @@ def _decisions(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees:
     ties, length = candidate_ties(classes, threshold, trees, depth, floor, target)
     comps = connected_components(ties, "rep", "least", "rep", "comp")
     rows = _prefixes(classes.join(comps, "rep"), length, trees, depth).select(
-        "rep", "doc_id", "text_key", "copies", "n_shingles", "keys", "comp").checkpoint()
+        "rep", "doc_id", "text_key", "copies", "n_shingles", "keys", "comp", common.vertex("doc_id", F.hex("digest")).alias("vertex")).checkpoint()
     sizes = rows.groupBy("comp").agg(F.ceil(F.greatest(
         F.sum("n_shingles") / TILE_SHINGLES, F.count(F.lit(1)) / TILE_ROWS)).cast("int").alias("tiles"))
     rows = rows.join(sizes, "comp")
@@ -259,23 +263,23 @@ def _decisions(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees:
             found = [shingles(np.frombuffer(_CHUNKS.words(t), np.uint64), n).tobytes() for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, "shingles", pa.array(found, pa.binary()))
 
-    texts = docs.join(rows.hint("shuffle_hash"), ["doc_id", "text_key"]).select("comp", "tiles", "rep", "copies", "keys", "text")
-    texts = texts.mapInArrow(sets, "comp long, tiles int, rep long, copies long, keys array<long>, shingles binary")
+    texts = docs.join(rows.hint("shuffle_hash"), ["doc_id", "text_key"]).select(
+        "comp", "tiles", "rep", "copies", "keys", "vertex", "text")
+    texts = texts.mapInArrow(sets, "comp long, tiles int, rep long, copies long, keys array<long>, vertex string, shingles binary")
     side = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     tiled = texts.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("comp", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "rep", "copies", "side", "keys", "shingles")
+    tiled = tiled.select("comp", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "rep", "copies", "side", "keys", "vertex", "shingles")
     found = (tiled.repartition(parts, "comp", "x", "y").sortWithinPartitions("comp", "x", "y", "rep")
-             .mapInArrow(_verify(Fraction(threshold).limit_denominator(10_000), trees), "rep long, links long, root long").checkpoint())
-    # components of one tile are whole already; those of several are joined by their roots
-    whole = connected_components(found, "rep", "root", "rep", "root")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    own = classes.select("rep", "digest", "doc_id", "copies")
-    least = whole.join(own, "rep").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("least"))
-    result = own.join(links, "rep", "left").join(whole.join(least, "root").select("rep", "least"), "rep", "left").select(
-        "digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.coalesce("least", F.struct("doc_id", "digest")).alias("least"))
-    first = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest"))
-    linked = named.join(result, "digest").select("doc_id", "text_key", "n_links", F.col("least.doc_id").alias("class_id"), first.alias("kept"))
+             .mapInArrow(_verify(Fraction(threshold).limit_denominator(10_000), trees), "rep long, links long, vertex string, root string").checkpoint())
+    # components of one tile are whole already; those of several are joined by their roots.  The smallest
+    # vertex is the smallest id's class, so nothing is looked up per component
+    whole = connected_components(found.select("vertex", "root"), "vertex", "root", "vertex", "least")
+    links = found.groupBy("vertex").agg(F.sum("links").alias("links"))
+    own = classes.select("digest", "copies", common.vertex("doc_id", F.hex("digest")).alias("vertex"))
+    result = own.join(links, "vertex", "left").join(whole, "vertex", "left").select(
+        "digest", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "vertex").alias("least"))
+    linked = common.join_classes(named, result, ["digest"], "doc_id").select(
+        "doc_id", "text_key", "n_links", common.first_id("least").alias("class_id"), (common.vertex("doc_id", F.hex("digest")) == F.col("least")).alias("kept"))
     alone = members.where("digest is null").select("doc_id", "text_key")
     alone = alone.where("doc_id is null").unionByName(
         alone.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_key").alias("text_key"))).select(
