@@ -174,11 +174,13 @@ def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` (all columns, ``text`` among them) that pass the base and the posterior."""
+    """The rows of ``docs`` (all columns, ``text`` among them) that pass the base and the posterior.  Rows
+    and votes are written once to the checkpoint folder, so every text is counted once."""
+    checkpoint_dir(docs.sparkSession)
     m = lambda k: F.col("q")[k]
     # the row travels as one struct, so that no column of it can clash
     scored = docs.select(F.struct("*").alias("row"), metrics_udf("text").alias("q")).select(
-        "row", vote_pattern(m).alias("pattern"), base_failed(m).alias("failed"))
+        "row", vote_pattern(m).alias("pattern"), base_failed(m).alias("failed")).checkpoint()
     p = fit_posteriors(scored.select("pattern"))
     return (scored.where("not failed").join(F.broadcast(p), "pattern")     # bounded by the rules
             .where(F.col("p_good") >= threshold).select("row.*"))
