@@ -2,17 +2,20 @@
 
 Per block of documents the distinct words (matches of the split pattern) go once through a Spark
 expression: each word's byte array is folded by ``aggregate``, every step merging the neighbours of
-least rank, with the rank map held as literal arrays.  A second expression decodes each word's ids by
-concatenating the binary pieces.  Documents are then put together from their words' results.
+least rank, with the rank map held as literal arrays.  The same projection decodes each word's ids:
+the pieces of the ids are laid end to end.  (Spark joins arrays of strings only, so pieces are held as
+hexadecimal digits and the joined digits are turned back into bytes.)  Documents are then put together
+from their words' results.
 
 One narrow stage, no shuffle: split (Python) → fold and decode (JVM) → assemble (Python).  Words are
-distinct per block (about ``BLOCK_WORDS`` words or ``BLOCK_CHARS`` characters), not per corpus: a
-corpus-wide word table would have to be joined back to every occurrence, which shuffles more than
-the texts themselves.  Blocks bound a task's memory and lose nothing.
+distinct per block (at most about ``BLOCK_WORDS`` words of their own or ``BLOCK_CHARS`` characters), not
+per corpus: a corpus-wide word table would have to be joined back to every occurrence, which shuffles
+more than the texts themselves.  Blocks bound a task's memory and lose nothing; the assembling side
+holds a block's words as flat buffers with offsets and gathers from them.
 
 Words that many blocks share are folded once: a table of at most ``SHARED_WORDS`` words of at most
 ``SHARED_BYTES`` bytes, the commonest of a bounded sample of the texts, goes through the same
-expression first and is broadcast (at most about 20 MB).  It saves time only; a word that is not in
+expression first and is broadcast (at most about 10 MB).  It saves time only; a word that is not in
 it is folded in its block.
 
 The rank map: neighbours are looked up by their ids in a table compressed by row displacement (two
@@ -42,12 +45,14 @@ from pyspark.sql import functions as F
 from postlens.llm import common
 from postlens.session import checkpoint_dir
 
-BLOCK_WORDS = 200_000
-BLOCK_CHARS = 64_000_000
+BLOCK_WORDS = 100_000
+BLOCK_CHARS = 16_000_000
 #: The shared table, and the characters of text that it is chosen from.
-SHARED_WORDS, SHARED_BYTES, SHARED_SAMPLE = 250_000, 32, 60_000_000
-#: Chunks of text whose words a task remembers.
-CHUNKS = 250_000
+SHARED_WORDS, SHARED_BYTES, SHARED_SAMPLE = 120_000, 32, 60_000_000
+#: Chunks of text (with their bytes, at most) whose words a task remembers.
+CHUNKS, CHUNK_BYTES = 120_000, 8_000_000
+#: Words of a document put together at once.
+GATHER_WORDS = 1 << 16
 #: Words of a block travel in rows of this many.
 WORDS_PER_ROW = 1024
 #: Array copies make a fold quadratic in the word's length; longer words use a heap (same merges).
@@ -154,25 +159,32 @@ def fold_merges(t: Column, word: Column) -> Column:
         F.slice(q, F.lit(2), F.size(q) - 2), lambda x: x.bitwiseAND(low16).cast("int")))
 
 
+@lru_cache(maxsize=4)
+def _pieces_json(path: str) -> str:
+    ranks = load_ranks(path)
+    pieces = [""] * (max(ranks.values()) + 1)
+    for p, r in ranks.items():
+        pieces[r] = p.hex()
+    return json.dumps({"pieces": pieces}, separators=(",", ":"))
+
+
 def encode_words(path: str, words: Column, known: Column) -> Column:
     """``array<array<int>>`` of byte values → ids of each word; ``known`` holds ready ids or null."""
     both = lambda t: F.zip_with(words, known, lambda w, k: F.coalesce(k, fold_merges(t, w)))
-    return F.element_at(F.transform(F.array(rank_tables(path)), both), 1)
+    return let(rank_tables(path), both)
 
 
-@lru_cache(maxsize=4)
-def binary_pieces(path: str) -> list[bytes]:
-    """id → its bytes."""
-    ranks = load_ranks(path)
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for p, r in ranks.items():
-        pieces[r] = p
-    return pieces
+def decode_words(path: str, ids: Column) -> Column:
+    """``array<array<int>>`` of token ids → the bytes of each word: its pieces laid end to end."""
+    table = F.from_json(F.lit(_pieces_json(path)), "pieces array<string>")
+    return let(table, lambda t: F.transform(ids, lambda word: F.unhex(
+        F.array_join(F.transform(word, lambda i: F.get(t["pieces"], i)), ""))))
 
 
-def decode_ids(path: str, ids: list[int]) -> bytes:
-    """The bytes of token ids: their binary pieces laid end to end."""
-    return b"".join(map(binary_pieces(path).__getitem__, ids))
+def encoded_and_decoded(rows: DataFrame, path: str) -> DataFrame:
+    """Adds ``ids`` and ``decoded`` to rows of words; the ids are computed once."""
+    coded = let(encode_words(path, F.col("bytes"), F.col("known")), lambda ids: F.struct(ids.alias("ids"), decode_words(path, ids).alias("decoded")))
+    return rows.withColumn("coded", F.when(F.col("bytes").isNotNull(), coded)).select("doc_id", "words", "coded.ids", "coded.decoded")
 
 
 def heap_merges(ranks: dict[bytes, int], word: bytes) -> list[int]:
@@ -252,7 +264,7 @@ def _split(path: str, pattern: str, shared):
         find, ranks = _finder(pattern), load_ranks(path)
         index = _once("index", shared, SharedTable.index)
         own: dict[str, int] = {}
-        n = len(index)
+        n, held = len(index), 0
 
         class Chunks(dict):
             """chunk (after ``lead``) → its words' numbers"""
@@ -268,9 +280,14 @@ def _split(path: str, pattern: str, shared):
                     found = number(self.lead + chunk[:-1]) + number(chunk[-1])
                 else:
                     found = b"".join(map(number, find(self.lead + chunk)))
-                if len(self) >= CHUNKS:                       # a cache only: word numbers stay
-                    self.clear()
-                self[chunk] = found
+                nonlocal held
+                held += len(chunk) + len(found)
+                if len(plain) + len(spaced) >= CHUNKS or held >= CHUNK_BYTES:       # a cache only: word numbers stay
+                    plain.clear()
+                    spaced.clear()
+                    held = 0
+                if len(found) < CHUNK_BYTES:
+                    self[chunk] = found
                 return found
 
         def number(word: str) -> bytes:
@@ -286,7 +303,7 @@ def _split(path: str, pattern: str, shared):
             return plain[next(rest, "")] + b"".join(map(spaced.__getitem__, rest))
 
         def close():
-            nonlocal docs, chars
+            nonlocal docs, chars, held
             yield from _word_rows([w.encode("utf-8", "surrogatepass") for w in own], ranks)
             for k in range(0, len(docs), common.OUT_ROWS):
                 some = docs[k:k + common.OUT_ROWS]
@@ -295,7 +312,7 @@ def _split(path: str, pattern: str, shared):
                     pa.nulls(len(some), _ROWS.field("bytes").type), pa.nulls(len(some), _ROWS.field("known").type)], schema=_ROWS)
             for numbers in (own, plain, spaced):
                 numbers.clear()
-            docs, chars = [], 0
+            docs, chars, held = [], 0, 0
 
         for batch in batches:
             for doc_id, text in _in_slices(batch):
@@ -323,14 +340,52 @@ class SharedTable:
     def __len__(self) -> int:
         return len(self.word_ends)
 
-    def pieces(self) -> list[bytes]:
-        return [self.words[a:b] for a, b in zip([0, *self.word_ends], self.word_ends)]
-
     def index(self) -> dict[str, int]:
-        return {w.decode(): k for k, w in enumerate(self.pieces())}
+        return {self.words[a:b].decode(): k for k, (a, b) in enumerate(zip([0, *self.word_ends], self.word_ends))}
+
+
+class Flat:
+    """Values of numbered words laid end to end, with the end of each; ``gather`` lays those of a
+    document's words end to end."""
 
-    def word_ids(self) -> Iterator[list[int]]:
-        return (self.ids[a:b].tolist() for a, b in zip([0, *self.id_ends], self.id_ends))
+    def __init__(self, values: np.ndarray, ends: np.ndarray):
+        self.values, self.ends = values, ends.astype(np.int64)
+        self.sizes = np.diff(self.ends, prepend=0)
+
+    def joined(self, values: list[np.ndarray], ends: list[np.ndarray]) -> "Flat":
+        at, moved = len(self.values), [self.ends]
+        for v, e in zip(values, ends):
+            moved.append(e + at)
+            at += len(v)
+        return Flat(np.concatenate([self.values, *values]), np.concatenate(moved))
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        size = self.sizes[numbers]
+        ends = np.cumsum(size)
+        first = self.ends[numbers] - ends                     # ends - size, less the place in the result
+        return self.values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first, size)]
+
+
+def _decimals(path: str) -> Flat:
+    """Every id in decimal digits with a space behind."""
+    digits = [b"%d " % i for i in range(max(load_ranks(path).values()) + 1)]
+    return Flat(np.frombuffer(b"".join(digits), np.uint8), np.cumsum([len(d) for d in digits]))
+
+
+def _list_parts(column: pa.Array, k: int) -> tuple[pa.Array, np.ndarray]:
+    """Row k of a list of lists: (values, ends)."""
+    lists = column[k].values
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return lists.flatten(), offsets[1:] - offsets[0]
+
+
+def _byte_parts(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row k of a list of byte strings: (bytes, ends)."""
+    items = column[k].values.cast(pa.binary())
+    offsets = np.frombuffer(items.buffers()[1], np.int32)[items.offset:items.offset + len(items) + 1].astype(np.int64)
+    held = items.buffers()[2]
+    values = np.frombuffer(held, np.uint8)[offsets[0]:offsets[-1]] if held is not None else np.zeros(0, np.uint8)
+    return values, offsets[1:] - offsets[0]
 
 
 _TAKEN: dict[str, tuple] = {}
@@ -389,50 +444,50 @@ def shared_table(docs: DataFrame, path: str, pattern: str, max_words: int = SHAR
         for batch in batches:
             yield from _word_rows([w.encode() for (w,) in common.rows_of(batch, "word")], ranks)
 
-    folded = words.mapInArrow(rows, _ROWS_DDL).select(encode_words(path, F.col("bytes"), F.col("known")).alias("ids"))
-    return SharedTable.of([(decode_ids(path, ids), ids) for r in folded.toLocalIterator() for ids in r["ids"]])
+    folded = encoded_and_decoded(words.mapInArrow(rows, _ROWS_DDL), path).select("ids", "decoded")
+    return SharedTable.of([(bytes(w), ids) for r in folded.toLocalIterator() for w, ids in zip(r["decoded"], r["ids"])])
 
 
 def _assemble(path: str, shared, with_ids: bool):
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema(fields + ([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] if with_ids else []))
 
+    def shared_parts(table: SharedTable) -> tuple[Flat, Flat, Flat]:
+        """(decimal digits of all ids, ids of the shared words, their bytes)"""
+        return (_decimals(path), Flat(np.array(table.ids, np.int32), np.array(table.id_ends, np.int64)),
+                Flat(np.frombuffer(table.words, np.uint8), np.array(table.word_ends, np.int64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = common.Collector(schema)
-        decimals, pieces, shared_sizes = _once("words", shared, lambda t: (
-            ["".join(f"{i} " for i in own).encode() for own in t.word_ids()], t.pieces(), np.diff(t.id_ends, prepend=0).astype(np.int64)))
-        n, lengths = len(shared_sizes), []
-        del decimals[n:], pieces[n:]                          # a task that broke off may have left words
-        word_ids = list(shared.value.word_ids()) if with_ids else []
-        decimal, piece = [b"%d " % i for i in range(len(binary_pieces(path)))], binary_pieces(path)
-        sizes, fresh = shared_sizes, True                     # the next row of words starts a block
+        decimals, shared_ids, shared_bytes = _once("words", shared, shared_parts)
+        ids, pieces, own = shared_ids, shared_bytes, ([], [], [], [])
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "words", "ids")]
+            column = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "words", "ids", "decoded")}
             for k in range(batch.num_rows):
-                if columns[2][k].is_valid:
-                    if fresh:
-                        del decimals[n:], pieces[n:], word_ids[n:]
-                        lengths, fresh = [], False
-                    words = columns[2][k].values
-                    flat, ends = words.flatten().to_numpy().tolist(), words.offsets.to_numpy()
-                    ends = (ends - ends[0]).tolist()
-                    spelled, raw = list(map(decimal.__getitem__, flat)), list(map(piece.__getitem__, flat))
-                    spans = list(zip(ends, ends[1:]))
-                    decimals.extend([b"".join(spelled[a:b]) for a, b in spans])
-                    pieces.extend([b"".join(raw[a:b]) for a, b in spans])
-                    lengths.extend([b - a for a, b in spans])
-                    if with_ids:
-                        word_ids.extend(flat[a:b] for a, b in spans)
+                if column["ids"][k].is_valid:                 # words of a block; the first one after documents starts it
+                    if ids is not shared_ids:
+                        ids, pieces = shared_ids, shared_bytes
+                    values, ends = _list_parts(column["ids"], k)
+                    for parts, new in zip(own, (values.to_numpy(), ends, *_byte_parts(column["decoded"], k))):
+                        parts.append(new.copy())
                     continue
-                if not fresh:
-                    sizes, fresh = np.concatenate([shared_sizes, np.array(lengths, np.int64)]), True
-                at = np.frombuffer(columns[1][k].as_py(), "<u4")
-                numbers = at.tolist()
-                text = b"".join(map(pieces.__getitem__, numbers))
-                row = (columns[0][k].as_py(), int(sizes[at].sum()) if numbers else 0,
-                       hashlib.sha256(b"".join(map(decimals.__getitem__, numbers))[:-1]).hexdigest(),
-                       hashlib.sha256(text).hexdigest())
-                if out.add(*row, *([[i for w in numbers for i in word_ids[w]], text] if with_ids else [])):
+                if own[0]:
+                    ids, pieces = shared_ids.joined(own[0], own[1]), shared_bytes.joined(own[2], own[3])
+                    own = ([], [], [], [])
+                numbers = np.frombuffer(column["words"][k].as_py(), "<u4")
+                digits, text, n, held, last = hashlib.sha256(), hashlib.sha256(), 0, [], b""
+                for at in range(0, len(numbers), GATHER_WORDS):
+                    some = numbers[at:at + GATHER_WORDS]
+                    found, raw = ids.gather(some), pieces.gather(some).tobytes()
+                    spelled = last + decimals.gather(found).tobytes()
+                    digits.update(spelled[:-1])
+                    last = spelled[-1:]                       # the space behind the last id is none
+                    text.update(raw)
+                    n += len(found)
+                    if with_ids:
+                        held.append((found, raw))
+                row = (column["doc_id"][k].as_py(), n, digits.hexdigest(), text.hexdigest())
+                if out.add(*row, *([[i for f, _ in held for i in f.tolist()], b"".join(r for _, r in held)] if with_ids else [])):
                     yield from out.flush()
         yield from out.flush()
 
@@ -449,6 +504,5 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
     checkpoint_dir(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(shared_table(docs, ranks_path, pattern))
     split = docs.select("doc_id", "text").mapInArrow(_split(ranks_path, pattern, shared), _ROWS_DDL)
-    encoded = split.select("doc_id", "words", encode_words(ranks_path, F.col("bytes"), F.col("known")).alias("ids"))
     run, schema = _assemble(ranks_path, shared, with_ids)
-    return encoded.mapInArrow(run, schema)
+    return encoded_and_decoded(split, ranks_path).mapInArrow(run, schema)
