@@ -2,7 +2,9 @@
 
 The vocabulary file drops white space and its pattern never matches across a space or a line feed,
 and canonical composition never reaches over either, so the ids of a text are the ids of its
-space-separated words laid end to end.  Ids travel as little-endian unsigned 32-bit bytes: joining
+space-separated words laid end to end.  The file's added tokens (``<|startoftext|>``,
+``<|endoftext|>``) hold no space either: where a word contains one, the library itself cuts it out, as
+the untouched file does.  Ids travel as little-endian unsigned 32-bit bytes: joining
 cached byte strings is far cheaper than encoding the same words again.
 """
 
@@ -30,7 +32,6 @@ class WordEncoder(dict):
         super().__init__()
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True      # their strings in a text are ordinary text
         self[""] = b""
         # the byte-level spelling of accented letters, as the library's own pre-tokenizer gives it
         from tokenizers.pre_tokenizers import ByteLevel

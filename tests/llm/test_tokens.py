@@ -8,13 +8,14 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from postlens.llm import common, dac, packing
 from postlens.llm.token_bytes import encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["Hello, World! it's 2024.", "", None, "ÄÖÜ straße été ́x", "a b c\td\r\ne\x1cf", "x" * 5000,
-         "Hello, World! it's 2024.", "日本語 テキスト 👍🏽", "İstanbul ΑΣ ΑΣ. Σ", "<|endoftext|> <|startoftext|>x", "a  b   c\n\n\nd",
+         "Hello, World! it's 2024.", "日本語 テキスト 👍🏽", "İstanbul ΑΣ ΑΣ. Σ", "<|endoftext|> <|startoftext|>x", "hello <|endoftext|> x", "a<|startoftext|>b <|ENDOFTEXT|> <|endoftext|><|endoftext|>. é<|endoftext|>́", "a  b   c\n\n\nd",
          " ".join(["word. more"] * 4000)]
 DDL = "doc_id long, text string, n_tokens string"
 
@@ -23,8 +24,12 @@ def rows():
     return [(i * 3, t, "clash") for i, t in enumerate(TEXTS)] + [(None, "no id", "x"), (6, "again", "x"), (6, "again", "x")]
 
 
+#: The file as it is, apart from the operators' own encoder.
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def library_ids(text):
-    return encoder(PATH).library.encode(text or "", add_special_tokens=False).ids + [2]
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def expected():
