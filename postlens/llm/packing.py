@@ -11,7 +11,8 @@ A window is padded to ``size`` unless its length is a power of two.  Padding is
 so the best ``i`` is the least ``f[i] + p[i]`` in a sliding window: a monotone queue gives it in
 constant time; the powers of two are looked up one by one.  Candidate cuts are all document and
 sentence ends, one position every ``stride`` tokens where neither comes, and — so that windows can be
-filled to the last token or end at a power of two — the points ``size`` after each document end.
+filled to the last token or end at a power of two — the points ``size`` after the start of each document,
+the multiples of ``size``, and powers of two before the end of the run.
 """
 
 from __future__ import annotations
@@ -52,7 +53,8 @@ def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int, strid
     powers = 1 << np.arange(size.bit_length())
     rest = powers[::-1][(total % size) & powers[::-1] > 0]
     tail = total - total % size + np.concatenate([[0], np.cumsum(rest)])
-    middle = np.concatenate([inner, np.arange(size, total, size), total - powers, tail])
+    filled = np.concatenate([[0], doc_ends]) + size            # a window that begins where a document does
+    middle = np.concatenate([inner, filled, np.arange(size, total, size), total - powers, tail])
     positions = np.concatenate([[0], doc_ends, sentence_ends, middle[(middle > 0) & (middle < total)]]).astype(np.int64)
     kinds = np.repeat([DOC, SENT, MID], [1 + len(doc_ends), len(sentence_ends), len(positions) - 1 - len(doc_ends) - len(sentence_ends)])
     order = np.lexsort((kinds, positions))
