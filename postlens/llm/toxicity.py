@@ -48,6 +48,7 @@ _LOOK = re.compile("[Ͱ-ԯ]")
 _MIXED = re.compile(r"[^\W\d_][0-9@$!|+]|[0-9@$!|+][^\W\d_]")
 _TOKEN = re.compile(r"[\w@$!|+]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_AFTER, _LAST = re.compile(r" ([^\W\d_]+)"), re.compile(r"([^\W\d_]+)$")
 _LOOK_TABLE, _LEET_TABLE = str.maketrans(LOOK_ALIKE), str.maketrans(LEET)
 
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum")
@@ -114,7 +115,15 @@ def matches(automaton, folded: str) -> list[tuple[int, int, float]]:
                     spared.append((start, last + 1))
             elif (kind == "stem" or ends) and (start not in best or weight > best[start][1]):
                 best[start] = (last + 1, weight)
-    return [(a, b, w) for a, (b, w) in sorted(best.items()) if not any(x <= a < y for x, y in spared)]
+    out, ends, at = [], -1, 0
+    spared.sort()
+    for a, (b, w) in sorted(best.items()):
+        while at < len(spared) and spared[at][0] <= a:         # exceptions that begin no later than the match
+            ends = max(ends, spared[at][1])
+            at += 1
+        if a >= ends:
+            out.append((a, b, w))
+    return out
 
 
 def features(automaton, folded: str) -> tuple[float, float, float]:
@@ -157,7 +166,8 @@ def training_set(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame
     part = min(1.0, max_rows / n) if n else 0.0
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
     found = (docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")               # bounded by max_rows
-             .dropDuplicates(["doc_id"]).withColumn("s", _sketch("text")).checkpoint())
+             .groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))           # of an id's texts the smallest
+             .withColumn("s", _sketch("text")).checkpoint())
     ids = found.select("doc_id", "toxic", *(F.col("s")[k].alias(f"s{k}") for k in range(3)))
     for k in range(3):
         ids = ids.groupBy(f"s{k}").agg(F.min(F.struct("doc_id", "toxic", "s0", "s1", "s2")).alias("r")).select("r.*")
@@ -170,7 +180,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = Counter(), Counter()
         for text, toxic in common.rows_of(batch, "text", "toxic"):
-            words = {w for w in _LETTERS.findall(fold(text)) if len(w) <= 40}
+            words = set(_LETTERS.findall(fold(text)))
             terms = {"=" + w for w in words if len(w) >= 3}
             terms |= {w[:k] for w in words for k in STEM_LENGTHS if len(w) >= k}
             counts[toxic].update(terms)
@@ -217,8 +227,8 @@ def _phrase_counts(model: ToxicityModel):
                 folded, phrases = fold(text), set()
                 for start, _, _ in matches(automaton, folded):
                     word = _LETTERS.match(folded, start)[0]
-                    after = re.match(r" ([^\W\d_]+)", folded[start + len(word): start + len(word) + 40])
-                    before = re.search(r"([^\W\d_]+) $", folded[max(0, start - 40): start])
+                    after = _AFTER.match(folded, start + len(word))
+                    before = _LAST.search(folded, folded.rfind(" ", 0, start - 1) + 1, start - 1) if start > 1 and folded[start - 1] == " " else None
                     phrases |= {f"{word} {after[1]}"} if after else set()
                     phrases |= {f"{before[1]} {word}"} if before else set()
                 counts[toxic].update(phrases)
