@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from postlens.llm import common
 from postlens.operators.components import connected_components
+from postlens.operators.joins import join_classes
 from postlens.session import checkpoint_dir
 
 THRESHOLD = 0.98
@@ -443,6 +444,6 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sha
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     result = numbered.select("rep", "label", "digest", "first", "copies").join(links, "rep", "left").join(whole, "rep", "left").select(
         "label", "digest", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
-    linked = common.join_classes(valid.select("vec_id", "label", "digest"), result, ["label", "digest"], "vec_id").select("vec_id", "n_links", "component_id")
+    linked = join_classes(valid.select("vec_id", "label", "digest"), result, ["label", "digest"], "vec_id").select("vec_id", "n_links", "component_id")
     alone = rows.where("digest is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

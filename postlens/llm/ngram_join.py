@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from postlens.llm import common
 from postlens.operators.components import connected_components
+from postlens.operators.joins import join_classes
 from postlens.session import checkpoint_dir
 
 N, THRESHOLD = 5, 0.8
@@ -278,7 +279,7 @@ def _decisions(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees:
     own = classes.select("digest", "copies", common.vertex("doc_id", F.hex("digest")).alias("vertex"))
     result = own.join(links, "vertex", "left").join(whole, "vertex", "left").select(
         "digest", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "vertex").alias("least"))
-    linked = common.join_classes(named, result, ["digest"], "doc_id").select(
+    linked = join_classes(named, result, ["digest"], "doc_id").select(
         "doc_id", "text_key", "n_links", common.first_id("least").alias("class_id"), (common.vertex("doc_id", F.hex("digest")) == F.col("least")).alias("kept"))
     alone = members.where("digest is null").select("doc_id", "text_key")
     alone = alone.where("doc_id is null").unionByName(
