@@ -39,22 +39,26 @@ def parse_metrics(c, locale: str = "reference") -> Column:
     ``locale='id'`` reads dots as thousands separators); ``rb`` ×1e3, ``jt`` ×1e6; unknown labels
     are ignored; when a label repeats, the later item wins; values are rounded.
 
-    One anchored pattern per metric: the longest prefix that ends before a number leaves that label's
-    last item.  A metric whose label is not in the text costs one substring test."""
+    One scan per group of the item pattern; the found items are bound once, and each metric reads the last
+    item with its label."""
     s = F.lower(_col(c))
+    item = r"(?Us)([0-9.,]+)\s*(rb|jt)?\s*([a-z\s]+?)\s*(?=,|\z)"
+    found = F.struct(*[F.regexp_extract_all(s, F.lit(item), F.lit(k)).alias(name) for k, name in ((1, "nums"), (2, "units"))],
+                     F.reverse(F.regexp_extract_all(s, F.lit(item), F.lit(3))).alias("labels"))
 
-    def metric(label: str) -> Column:
-        item = rf"(?Us)^(?:.*[^0-9.,])?([0-9.,]+)\s*(rb|jt)?\s*{label}\s*(?:,|$)"
-        value = _item_value(F.regexp_extract(s, item, 1), F.regexp_extract(s, item, 2), locale)
-        return F.when(s.contains(label), value)
+    def metrics(x: Column) -> Column:
+        def last(label: str) -> Column:
+            at = -F.array_position(x["labels"], label).cast("int")              # from the end; 0: none
+            return F.when(at < 0, _item_value(F.element_at(x["nums"], at), F.element_at(x["units"], at), locale))
+        return F.struct(*[last(label).alias(name) for label, name in METRIC_LABELS.items()])
 
-    return F.when(s.isNotNull(), F.struct(*[metric(label).alias(name) for label, name in METRIC_LABELS.items()]))
+    return F.when(s.isNotNull(), F.element_at(F.transform(F.array(found), metrics), 1))
 
 
 def _item_value(raw: Column, unit: Column, locale: str) -> Column:
-    if locale == "id":
-        raw = F.regexp_replace(raw, r"\.", "")
-    num = js_parse_float(F.regexp_replace(raw, "^([^,]*),", "$1."))
+    """``raw`` holds digits, dots and commas only: the number ends at its second separator."""
+    raw = F.translate(raw, "," if locale != "id" else ",.", "." if locale != "id" else ".")
+    num = F.substring_index(raw, ".", 2).try_cast("double")
     mult = (F.when(unit == "rb", F.lit(1000.0))
             .when(unit == "jt", F.lit(1_000_000.0)).otherwise(F.lit(1.0)))
     return js_round(num * mult)

@@ -96,10 +96,20 @@ DOMAIN_ONLY = r"(?iU)\b[a-z0-9.-]+\.[a-z]{2,}\b"
 
 def dari_domain(c) -> Column:
     """``xdari site.com`` → ``x``; `` dari site.com`` → ``; ``xdari`` → ``x``; bare domains → space."""
-    c = F.regexp_replace(_col(c), DARI_ATTACHED, "$1")
-    c = F.regexp_replace(c, DARI_SPACED, "")
-    c = F.regexp_replace(c, DARI_STUCK, "$1")
-    return F.regexp_replace(c, DOMAIN_ONLY, " ")
+    return let(_col(c), lambda x: F.regexp_replace(let(x, _dari), DOMAIN_ONLY, " "))
+
+
+def _dari(c: Column) -> Column:
+    """The three rules; texts without the word pay a substring test."""
+    cut = F.regexp_replace(c, DARI_ATTACHED, "$1")
+    cut = F.regexp_replace(cut, DARI_SPACED, "")
+    cut = F.regexp_replace(cut, DARI_STUCK, "$1")
+    return F.when(F.lower(c).contains("dari") | F.upper(c).contains("DARI"), cut).otherwise(c)
+
+
+def let(value: Column, body) -> Column:
+    """``body(x)`` with x evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def squeeze_repeats(c) -> Column:
@@ -123,8 +133,8 @@ def collapse_ws(c) -> Column:
 
 def clean_post(c) -> Column:
     """The full post cleaner, steps in the reference's order."""
-    from postlens.functions.unicode import demojize, nfkc
-    c = nfkc(_col(c))
+    from postlens.functions.unicode import demojize, fold_width
+    c = fold_width(_col(c))
     c = drop_grok(c)
     c = literal_escapes_to_space(c)
     c = url_token(c)
@@ -141,8 +151,8 @@ def clean_post(c) -> Column:
 
 def clean_dataset(c) -> Column:
     """The dataset cleaner (no dari/domain/emoji/repeat rules, no lower-casing)."""
-    from postlens.functions.unicode import nfkc
-    c = nfkc(_col(c))
+    from postlens.functions.unicode import fold_width
+    c = fold_width(_col(c))
     c = drop_grok(c)
     c = literal_escapes_to_space(c)
     c = url_token(c)

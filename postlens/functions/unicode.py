@@ -28,60 +28,76 @@ def _nfkc_udf(s: pd.Series) -> pd.Series:
     return s.map(_nfkc, na_action="ignore")
 
 
-def _only_non_ascii(c, udf) -> Column:
-    """ASCII texts stay as they are on the JVM side; the helper sees a null in their place."""
+def nfkc(c) -> Column:
+    """Unicode NFKC.  ASCII texts stay as they are on the JVM side; the helper sees a null in their place,
+    so the argument, a plain column as a rule, is named more than once."""
     col = F.col(c) if isinstance(c, str) else c
     other = col.rlike(r"[^\x00-\x7F]")
-    return F.when(other, udf(F.when(other, col))).otherwise(col)
+    return F.when(other, _nfkc_udf(F.when(other, col))).otherwise(col)
 
 
-def nfkc(c) -> Column:
-    """Unicode NFKC; also folds full-width ASCII letters, digits and the ideographic space."""
-    return _only_non_ascii(c, _nfkc_udf)
+# The characters that width folding changes and NFKC leaves (curly quotes, minus sign, wave
+# dash), and what they become.
+_WIDE, _NARROW = "\u201d\u2019\u2018\u2212\u301c", "\"'`-~"
+
+
+def fold_width(c) -> Column:
+    """NFKC, then the rest of the folding of full-width letters, digits and marks to ASCII."""
+    return F.translate(nfkc(c), _WIDE, _NARROW)
 
 
 # Emoji ranges treated as emoji when the character is a symbol (category So/Sk).
 _EMOJI_RANGES = ((0x1F000, 0x1FAFF), (0x2600, 0x27BF), (0x2300, 0x23FF), (0x2B00, 0x2BFF),
                  (0x3030, 0x3030), (0x303D, 0x303D), (0x3297, 0x3299), (0x00A9, 0x00AE),
                  (0x2190, 0x21FF), (0x2100, 0x214F))
-_JOINERS = {0x200D, 0xFE0E, 0xFE0F, 0x20E3}
-
-
-_EMOJI_RE = re.compile("[" + "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in _EMOJI_RANGES)
-                       + "\u200d\ufe0e\ufe0f\u20e3]")
-
-
-def _is_emoji(cp: int) -> bool:
-    return any(lo <= cp <= hi for lo, hi in _EMOJI_RANGES)
+_MARKS = "\ufe0e\ufe0f"
+# The five skin tones, lightest first.
+_TONES = ("light_skin_tone", "medium_light_skin_tone", "medium_skin_tone", "medium_dark_skin_tone", "dark_skin_tone")
+
+_ONE = "[" + "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in _EMOJI_RANGES) + "]"
+_PART = f"{_ONE}[\U0001f3fb-\U0001f3ff]?[{_MARKS}]?"
+#: A flag of two letters, a keycap, or emoji joined to one.
+_SEQUENCE = re.compile(f"[\U0001f1e6-\U0001f1ff]{{2}}|[0-9#*]\ufe0f?\u20e3|{_PART}(?:\u200d{_PART})*|[{_MARKS}\u200d\u20e3\U0001f3fb-\U0001f3ff]")
+
+
+def _emoji_name(sequence: str) -> str | None:
+    """Words for one emoji: ``flag_id``, ``keycap_1``, or the Unicode names of its parts, skin tones after
+    theirs, in snake case; an empty string for stray joiners and marks, None for what is no emoji."""
+    if "\U0001f1e6" <= sequence[0] <= "\U0001f1ff" and len(sequence) == 2:
+        return "flag_" + "".join(chr(ord(c) - 0x1F1E6 + 97) for c in sequence)
+    if sequence[-1] == "\u20e3" and len(sequence) > 1:
+        return "keycap_" + {"#": "number_sign", "*": "asterisk"}.get(sequence[0], sequence[0])
+    words = []
+    for ch in sequence:
+        if "\U0001f3fb" <= ch <= "\U0001f3ff":
+            words += [_TONES[ord(ch) - 0x1F3FB]] if words else []
+        elif ch not in _MARKS + "\u200d\u20e3":
+            name = unicodedata.name(ch, "") if unicodedata.category(ch) in ("So", "Sk", "Sm") else ""
+            if not name:
+                return None
+            words.append(name.lower().replace(" ", "_").replace("-", "_"))
+    return "_".join(words)
 
 
 def _demojize(s: str | None, left: str = " ", right: str = " ") -> str | None:
-    """Replace each emoji by its Unicode name in snake case between delimiters; skin-tone
-    modifiers, variation selectors and joiners are dropped."""
-    if s is None or s.isascii() or not _EMOJI_RE.search(s):
+    """Each emoji, whole sequences as one, becomes its name between delimiters."""
+    if s is None or s.isascii():
         return s
-    out = []
-    for ch in s:
-        cp = ord(ch)
-        if cp in _JOINERS or 0x1F3FB <= cp <= 0x1F3FF:
-            continue
-        if _is_emoji(cp) and unicodedata.category(ch) in ("So", "Sk", "Sm"):
-            name = unicodedata.name(ch, "")
-            if name:
-                out.append(left + name.lower().replace(" ", "_").replace("-", "_") + right)
-                continue
-        out.append(ch)
-    return "".join(out)
+
+    def name(m: re.Match) -> str:
+        found = _emoji_name(m[0])
+        return m[0] if found is None else left + found + right if found else ""
+    return _SEQUENCE.sub(name, s)
 
 
 @F.pandas_udf(T.StringType())
-def _demojize_udf(s: pd.Series) -> pd.Series:
+def demojize_udf(s: pd.Series) -> pd.Series:
     return s.map(_demojize, na_action="ignore")
 
 
 def demojize(c) -> Column:
-    """Emoji → their names in words."""
-    return _only_non_ascii(c, _demojize_udf)
+    """Emoji → their names in words.  The argument, a long chain as a rule, is named once."""
+    return demojize_udf(F.col(c) if isinstance(c, str) else c)
 
 
 class _TextCollector(HTMLParser):

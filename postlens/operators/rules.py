@@ -91,22 +91,16 @@ def rule_label(df: DataFrame, rules: RuleSet, col: str = "content") -> DataFrame
     x = (df.withColumn("_t", padded_words(low)).withColumn("_b", padded_words(bare))
          .withColumn("_bl", F.length(bare)).withColumn("_h", TX.extract_hashtags(low)))
     t, b, h, bl = F.col("_t"), F.col("_b"), F.col("_h"), F.col("_bl")
-    label = conf = reason = name = None
-    for r in rules.rules:
-        m = _matches(r, t, b, h, bl)
-        lv, cv = F.lit(r.label).cast(rules.label_type), F.lit(float(r.confidence))
-        rv, nv = F.lit(r.reason), F.lit(r.name)
-        label = F.when(m, lv) if label is None else label.when(m, lv)
-        conf = F.when(m, cv) if conf is None else conf.when(m, cv)
-        reason = F.when(m, rv) if reason is None else reason.when(m, rv)
-        name = F.when(m, nv) if name is None else name.when(m, nv)
-    dl = F.lit(rules.default_label).cast(rules.label_type)
-    dc = F.lit(rules.default_confidence).cast("double")
-    return (x.withColumn("label", label.otherwise(dl))
-            .withColumn("confidence", conf.otherwise(dc))
-            .withColumn("reason", reason.otherwise(F.lit(rules.default_reason)))
-            .withColumn("rule", name.otherwise(F.lit("default")))
-            .drop("_t", "_b", "_bl", "_h"))
+    number = F.lit(len(rules.rules) + 1)                       # every condition once: the first rule's number
+    for k in range(len(rules.rules), 0, -1):
+        number = F.when(_matches(rules.rules[k - 1], t, b, h, bl), F.lit(k)).otherwise(number)
+    last = (rules.default_label, rules.default_confidence, rules.default_reason, "default")
+    outcome = F.array(*[F.struct(F.lit(label).cast(rules.label_type).alias("label"), F.lit(conf).cast("double").alias("confidence"),
+                                 F.lit(reason).alias("reason"), F.lit(name).alias("rule"))
+                        for label, conf, reason, name in [*((r.label, r.confidence, r.reason, r.name) for r in rules.rules), last]])
+    x = x.withColumn("_r", F.element_at(outcome, number))
+    return (x.withColumn("label", F.col("_r.label")).withColumn("confidence", F.col("_r.confidence"))
+            .withColumn("reason", F.col("_r.reason")).withColumn("rule", F.col("_r.rule")).drop("_t", "_b", "_bl", "_h", "_r"))
 
 
 # ---------------------------------------------------------------- fixed rule data of the study

@@ -9,6 +9,8 @@ from postlens.operators import classify as C
 from postlens.operators import evaluate as E
 from postlens.operators import keywords as K
 from postlens.operators import sampling as S
+from postlens.operators import language as LG
+from postlens.operators.sampling import hash_key
 from postlens.plans.registry import register
 from postlens.sources.tables import POSTS_SQL, posts_from_documents, table
 
@@ -53,6 +55,38 @@ def lang_guess(spark, sf_dir):
     return C.guess_language(table(spark, sf_dir, "documents"), "text").select("doc_id", "lang", "guess")
 
 
+_GRAM_HELD = "('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT % 5 = 0"
+
+_LANG_GRAMS_SQL = f"""
+WITH d AS (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') AS w, {_GRAM_HELD} AS held_out,
+                  text IS NOT NULL AND lang IS NOT NULL AS labelled FROM documents),
+w AS (SELECT doc_id, lang, held_out, labelled, unnest(w) AS word FROM d),
+train AS (SELECT lang, word, count(*) AS n FROM w WHERE labelled AND NOT held_out GROUP BY ALL),
+words AS (SELECT DISTINCT '_' || word || '_' AS p, word FROM w),
+grams AS (SELECT word, substr(p, i, k) AS gram FROM (SELECT word, p, k, unnest(range(1, length(p) - k + 2)) AS i
+          FROM words, (SELECT unnest([1, 2, 3]) AS k)) WHERE substr(p, i, k) <> '_'),
+c AS (SELECT lang, gram, sum(n) AS n FROM train JOIN grams USING (word) GROUP BY ALL),
+kept AS (SELECT gram FROM c GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT 200000),
+t AS (SELECT lang, sum(n) AS n FROM c JOIN kept USING (gram) GROUP BY lang),
+l AS (SELECT lang, ln(count(*) / (SELECT count(*) FROM d WHERE labelled AND NOT held_out)) AS prior FROM d WHERE labelled AND NOT held_out GROUP BY lang),
+s AS (SELECT gram, l.lang, ln(coalesce(c.n, 0) + 1) - ln(t.n + (SELECT count(*) FROM kept)) AS score
+      FROM kept CROSS JOIN l JOIN t USING (lang) LEFT JOIN c ON c.lang = l.lang AND c.gram = kept.gram),
+ws AS (SELECT word, lang, sum(score) AS score FROM grams JOIN s USING (gram) GROUP BY ALL),
+ds AS (SELECT doc_id, ws.lang, sum(score) AS score FROM w JOIN ws USING (word) GROUP BY ALL),
+best AS (SELECT doc_id, arg_max(lang, score + prior) AS guess FROM ds JOIN l USING (lang) GROUP BY doc_id)
+SELECT doc_id, lang, held_out, coalesce(guess, 'unknown') AS guess FROM d LEFT JOIN best USING (doc_id)
+"""
+
+
+@register("lang_ngrams", _LANG_GRAMS_SQL)
+def lang_ngrams(spark, sf_dir):
+    """Learned from four fifths of the labelled documents, said of all."""
+    held = hash_key("doc_id") % 5 == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", held.alias("held_out"))
+    model = LG.train_language_model(docs.where("not held_out"), "text", "lang")
+    return LG.guess_language_ngrams(docs, "text", model).select("doc_id", "lang", "held_out", "guess")
+
+
 @register("lang_filter", f"SELECT doc_id, guess FROM ({_lang_sql()}) WHERE guess IN ('id', 'en')")
 def lang_filter(spark, sf_dir):
     d = C.guess_language(table(spark, sf_dir, "documents"), "text")

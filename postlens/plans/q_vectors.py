@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postlens.operators import cluster as CL
+from postlens.operators import hierarchy as HI
 from postlens.operators import vectors as V
 from postlens.plans.registry import register
 from postlens.sources.tables import posts_from_documents, table
@@ -124,7 +125,34 @@ model AS (SELECT e.vec_id, e.v, coalesce(cluster, -1) AS cluster,
 """
 
 
-@register("density_cluster", _density_sql("true") + "SELECT vec_id, cluster, probability, core, eps FROM model")
+@register("density_cluster")
+def density_hierarchy(spark, sf_dir):
+    """H5: clusters of the condensed tree; no density is given."""
+    return HI.density_clusters(_emb(spark, sf_dir), "vec_id", "embedding", min_samples=5, min_cluster_size=5)
+
+
+@register("cluster_predict")
+def hierarchy_predict(spark, sf_dir):
+    """H9: the tree of the even-numbered half places the odd-numbered half."""
+    emb = _emb(spark, sf_dir)
+    model = HI.hierarchy(emb.where(F.col("vec_id") % 2 == 0), "vec_id", "embedding", 5, 5)
+    return HI.predict(model, emb.where(F.col("vec_id") % 2 == 1), "vec_id", "embedding", 5)
+
+
+@register("cluster_validity")
+def hierarchy_dbcv(spark, sf_dir):
+    """H7 (dbcv) of the given labels as clusters."""
+    emb = _emb(spark, sf_dir)
+    return HI.dbcv(emb.select("vec_id", F.col("label").alias("cluster")), emb, "vec_id", "embedding")
+
+
+@register("cluster_stability")
+def hierarchy_validity(spark, sf_dir):
+    """H7 (relative validity) of the clusters of the condensed tree."""
+    return HI.relative_validity(HI.hierarchy(_emb(spark, sf_dir), "vec_id", "embedding", 5, 5))
+
+
+@register("density_cluster_eps", _density_sql("true") + "SELECT vec_id, cluster, probability, core, eps FROM model")
 def density_cluster(spark, sf_dir):
     return CL.density_cluster(_emb(spark, sf_dir), "vec_id", "embedding", min_samples=5, min_cluster_size=5,
                               eps_quantile=0.6)
@@ -136,7 +164,7 @@ def reduce_cluster(spark, sf_dir):
     return CL.reduce_and_cluster(_emb(spark, sf_dir), "vec_id", "embedding", min_samples=5, min_cluster_size=5, eps_quantile=0.6)
 
 
-@register("cluster_predict", _density_sql("vec_id % 2 = 0") + """
+@register("cluster_predict_eps", _density_sql("vec_id % 2 = 0") + """
 , o AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 2 = 1),
 near AS (SELECT o.vec_id, m.cluster, m.probability, m.eps,
                 sqrt(list_sum(list_transform(list_zip(o.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance, m.vec_id AS nb
@@ -165,7 +193,7 @@ kl AS (SELECT x.label AS ka, y.label AS kb, m FROM (SELECT a, b, m FROM ed UNION
 """
 
 
-@register("cluster_validity", _VALIDITY_SQL + """
+@register("cluster_validity_edges", _VALIDITY_SQL + """
 sp AS (SELECT ka AS label, max(m) FILTER (WHERE ka = kb) AS sparse FROM kl GROUP BY ka),
 fr AS (SELECT p.vec_id, p.neighbor, p.distance, x.label FROM pairs p
        JOIN lb x ON x.vec_id = p.vec_id JOIN lb y ON y.vec_id = p.neighbor WHERE x.label <> y.label
@@ -184,7 +212,7 @@ def cluster_validity(spark, sf_dir):
     return CL.validity(emb, nn, "vec_id", 5, "dbcv", emb.drop("cluster"), "embedding")
 
 
-@register("cluster_stability", _VALIDITY_SQL + """
+@register("cluster_stability_edges", _VALIDITY_SQL + """
 st AS (SELECT ka AS label, max(m) FILTER (WHERE ka = kb) AS sparse, min(m) FILTER (WHERE ka <> kb) AS sep FROM kl GROUP BY ka),
 w AS (SELECT label, coalesce(sparse, 0) AS sparse, coalesce(sep, (SELECT 2 * max(m) FROM kl)) AS sep FROM st),
 sz AS (SELECT label, count(*) AS n FROM lb GROUP BY label)
