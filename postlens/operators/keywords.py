@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions import text as T
 from postlens.functions.stopwords import DEFAULT_STOPWORDS
+from postlens.session import checkpoint_dir
 
 
 def _top(counts: DataFrame, n: int | None) -> DataFrame:
@@ -32,15 +33,39 @@ def top_hashtags(df: DataFrame, col: str = "content", n: int | None = 10) -> Dat
     return _top(token_counts(df, T.extract_hashtags(F.col(col))), n)
 
 
+#: Tokens that may be shipped with the plan as the frequent ones; no token holds the mark of the others.
+MAX_FREQUENT, _RARE = 20_000, "\0"
+
+
 def top_ngrams(df: DataFrame, col: str = "content", n: int | None = 10,
                stopwords: Iterable[str] | None = DEFAULT_STOPWORDS,
                n_min: int = 1, n_max: int = 5, min_count: int = 1) -> DataFrame:
-    """The n most frequent 1–5-grams; stop words are dropped before n-grams are formed."""
+    """The n most frequent 1–5-grams; stop words are dropped before n-grams are formed.
+
+    An n-gram occurs no more often than the rarest of its tokens.  So single tokens are counted first; the
+    n-th largest count is a bound that every further result must reach, and longer n-grams are formed only
+    where all their tokens reach it (ties included): the others never get as far as the shuffle.  Without
+    single tokens in the result, without an n, or with more tokens at the bound than a plan should carry,
+    all n-grams are counted."""
     toks = T.tokens(F.col(col))
     if stopwords:
         toks = T.drop_stopwords(toks, stopwords)
     # materialise the token array once: the n-gram lambdas refer to it many times per row
     x = df.select(toks.alias("_toks"))
+    if n and n_min == 1 and n_max > 1:
+        checkpoint_dir(df.sparkSession)
+        ones = token_counts(x, F.col("_toks")).where(F.col("cnt") >= min_count).checkpoint()
+        best = ones.orderBy(F.desc("cnt")).limit(n).agg(F.count(F.lit(1)).alias("n"), F.min("cnt").alias("cnt")).first()
+        bound = best["cnt"] if best["n"] == n else min_count
+        often = [r["token"] for r in ones.where(F.col("cnt") >= bound).select("token").limit(MAX_FREQUENT + 1).collect()]
+        if len(often) <= MAX_FREQUENT:
+            if not often:
+                return _top(ones, n)
+            marked = x.select(F.transform("_toks", lambda t: F.when(t.isin(*often), t).otherwise(F.lit(_RARE))).alias("_m"))
+            runs = marked.select(F.filter("_m", lambda t, i: (t != _RARE) | ((i > 0) & (F.get("_m", i - 1) != _RARE))).alias("_m"))
+            grams = F.filter(T.ngrams(F.col("_m"), 2, n_max), lambda g: ~g.contains(_RARE))
+            more = token_counts(runs, grams).where(F.col("cnt") >= bound)
+            return _top(ones.where(F.col("cnt") >= bound).unionByName(more), n)
     counts = token_counts(x, T.ngrams(F.col("_toks"), n_min, n_max))
     if min_count > 1:
         counts = counts.where(F.col("cnt") >= min_count)

@@ -69,7 +69,7 @@ c AS (SELECT lang, gram, sum(n) AS n FROM train JOIN grams USING (word) GROUP BY
 kept AS (SELECT gram FROM c GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT 200000),
 t AS (SELECT lang, sum(n) AS n FROM c JOIN kept USING (gram) GROUP BY lang),
 l AS (SELECT lang, ln(count(*) / (SELECT count(*) FROM d WHERE labelled AND NOT held_out)) AS prior FROM d WHERE labelled AND NOT held_out GROUP BY lang),
-s AS (SELECT gram, l.lang, ln(coalesce(c.n, 0) + 1) - ln(t.n + (SELECT count(*) FROM kept)) AS score
+s AS (SELECT kept.gram, l.lang, ln(coalesce(c.n, 0) + 1) - ln(t.n + (SELECT count(*) FROM kept)) AS score
       FROM kept CROSS JOIN l JOIN t USING (lang) LEFT JOIN c ON c.lang = l.lang AND c.gram = kept.gram),
 ws AS (SELECT word, lang, sum(score) AS score FROM grams JOIN s USING (gram) GROUP BY ALL),
 ds AS (SELECT doc_id, ws.lang, sum(score) AS score FROM w JOIN ws USING (word) GROUP BY ALL),
