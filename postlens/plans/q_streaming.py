@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postlens.plans.registry import register
+from postlens.sources.keyed_table import KeyedTable
 from postlens.sources.tables import EVENTS_POSTS_SQL, event_sentiment
 from postlens.streaming import ingest as ST
 
@@ -30,7 +31,7 @@ def ingest_stream(spark, sf_dir):
     stream = _event_stream(spark, sf_dir).where(F.length("content") > 0)
     q = ST.ingest_stream(spark, stream, table_path, ST.scratch_path(spark, "ingest-ckpt"))
     q.awaitTermination()
-    return spark.read.parquet(table_path)
+    return KeyedTable(spark, table_path).read()
 
 
 @register("weekly_stream", f"""
@@ -87,4 +88,4 @@ def ingest_v2(spark, sf_dir):
     clean = IN.clean_v2(stream, F.lit(V2_TS).cast("timestamp_ntz"))
     table_path = ST.scratch_path(spark, "posts-v2")
     ST.ingest_stream(spark, clean, table_path, ST.scratch_path(spark, "ingest-v2-ckpt")).awaitTermination()
-    return spark.read.parquet(table_path)
+    return KeyedTable(spark, table_path).read()

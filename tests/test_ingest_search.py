@@ -11,6 +11,7 @@ from postlens.operators import rules as R
 from postlens.operators import search as SE
 from postlens.operators import timeseries as TS
 from postlens.sources import ingest as IN
+from postlens.sources.keyed_table import KeyedTable
 from postlens.streaming import ingest as ST
 
 
@@ -128,10 +129,10 @@ def test_stream_matches_batch(spark, tmp_path):
     table = str(tmp_path / "posts")
     q = ST.ingest_stream(spark, stream, table, str(tmp_path / "ck"))
     q.awaitTermination()
-    assert spark.read.parquet(table).count() == 40
+    assert KeyedTable(spark, table).read().count() == 40
     q = ST.ingest_stream(spark, spark.readStream.schema(df.schema).parquet(str(src)), table, str(tmp_path / "ck2"))
     q.awaitTermination()                                   # replay: nothing new is inserted
-    assert spark.read.parquet(table).count() == 40
+    assert KeyedTable(spark, table).read().count() == 40
     weekly = ST.run_weekly_stream(spark, spark.readStream.schema(df.schema).parquet(str(src)))
     batch = TS.add_scores(TS.weekly_counts(df, spine=False))
     key = lambda r: (r["week_end"], r["count_neg"], r["count_neu"], r["count_pos"])
@@ -170,4 +171,4 @@ def test_stream_keeps_posts_of_any_age(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(str(src))
         stream = spark.readStream.schema(schema).parquet(str(src))
         ST.ingest_stream(spark, stream, out, str(tmp_path / "ckpt")).awaitTermination()
-    assert sorted(r.tweet_id for r in spark.read.parquet(out).collect()) == ["1", "2", "3", "4"]
+    assert sorted(r.tweet_id for r in KeyedTable(spark, out).read().collect()) == ["1", "2", "3", "4"]
