@@ -75,8 +75,10 @@ def upsert_corrections(train: DataFrame, corrections: DataFrame, source: DataFra
                .select(*[t[c] if c != label_col else F.col(label_col) for c in train.columns]))
     new_ids = changed.join(train.select(F.col(id_col).cast("string").alias(id_col)), id_col, "left_anti")
     s = source.withColumn("_sid", F.col(id_col).cast("string"))
-    # an id that the source holds several times is taken once
-    added = s.dropDuplicates(["_sid"]).join(new_ids, s["_sid"] == new_ids[id_col], "inner") \
+    # an id that the source holds several times is taken once: the least of its rows
+    rest = [c for c in s.columns if c != "_sid"]
+    s = s.groupBy("_sid").agg(F.min(F.struct(*rest)).alias("_first")).select("_sid", "_first.*")
+    added = s.join(new_ids, s["_sid"] == new_ids[id_col], "inner") \
         .withColumn(label_col, F.col("_new").cast(train.schema[label_col].dataType))
     if set_true and set_true in train.columns:
         added = added.withColumn(set_true, F.lit(True))

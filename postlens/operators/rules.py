@@ -124,7 +124,7 @@ GENERAL = ("dirgahayu tni", "hut tni", "tni hebat", "prajurit", "amankan perbata
 OPINION = ("ngeri banget", "setuju", "tolak", "parah", "enggak ada hati nuraninya", "gila")
 
 RELEVANCE_RULES = RuleSet(rules=(
-    Rule("layer0_spam", False, 1.0, "Spam/Engagement bait detected.", all_of=(SPAM,)),
+    Rule("layer0_spam", False, 1.0, "Advertising or reply bait.", all_of=(SPAM,)),
     Rule("layer1_core", True, 1.0, "Explicitly mentions the bill or its core concepts.",
          all_of=(CORE_BILL + CORE_CONCEPTS + CORE_ACTORS,), text_only=True),
     Rule("layer2_package", True, 1.0, "Related package bill within the protest context.",

@@ -148,18 +148,31 @@ def equals(df: DataFrame, col: str, value) -> DataFrame:
     return df.where(F.col(col) == F.lit(value))
 
 
+def _order_bucket(dim: DataFrame, col: str, buckets: int = 4096) -> Column:
+    """A bucket that never falls while the column rises."""
+    kind = dim.schema[col].dataType.simpleString()
+    if kind == "string":
+        return F.substring(F.col(col), 1, 2)
+    x = (F.unix_date(col) if kind == "date" else F.col(col).cast("int") if kind == "boolean"
+         else F.col(col).cast("timestamp") if kind == "timestamp_ntz" else F.col(col)).cast("double")
+    finite = F.when(F.abs(x) < float("inf"), x)
+    lo, hi = dim.agg(F.min(finite), F.max(finite)).first()
+    if lo is None:
+        return x
+    step = F.floor((x - lo) / max((hi - lo) / buckets, 1e-300))
+    return F.when(F.isnan(x) | (x > hi), F.lit(buckets + 1)).when(x < lo, F.lit(-1)).otherwise(step).cast("long")
+
+
 def encode_labels(df: DataFrame, col: str, out_col: str | None = None,
                   names: list[str] | None = None) -> DataFrame:
     """B2: class name → index.  With ``names`` the order is given; otherwise the sorted distinct
-    names, by an exact rank in buckets of their first characters."""
+    values, by an exact rank in buckets of their first characters or of their range."""
     out_col = out_col or f"{col}_id"
     if names is not None:
         lookup = F.create_map(*[v for i, n in enumerate(names) for v in (F.lit(n), F.lit(i))])
         return df.withColumn(out_col, lookup[F.col(col)])
     dim = df.select(col).where(F.col(col).isNotNull()).distinct()
-    dim = exact_rank(dim, [col], F.substring(F.col(col).cast("string"), 1, 2), rank_col="_rank") if \
-        df.schema[col].dataType.simpleString() == "string" else \
-        dim.withColumn("_rank", F.dense_rank().over(Window.orderBy(col)))
+    dim = exact_rank(dim, [col], _order_bucket(dim, col), rank_col="_rank")
     dim = dim.select(col, (F.col("_rank") - 1).cast("int").alias(out_col))
     return df.join(dim, col, "left")
 

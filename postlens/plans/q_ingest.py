@@ -359,27 +359,19 @@ def validate_posts(spark, sf_dir):
 
 @register("validate_posts_all", f"""
 WITH {_V1_SQL},
-b AS (SELECT *, time IS NULL OR content IS NULL AS bad FROM v1 WHERE conv_id % 2 = 0),
-n AS (SELECT count(*) FILTER (WHERE bad) AS n_bad FROM b)
+b AS (SELECT *, time IS NULL OR content IS NULL AS bad,
+             count(*) FILTER (WHERE time IS NULL OR content IS NULL) OVER (PARTITION BY conv_id) AS n_bad FROM v1)
 SELECT conv_id, turn,
        CASE WHEN n_bad = 0 THEN NULL WHEN NOT bad THEN 'batch rejected' ELSE
          'missing or not a string: ' || concat_ws(', ', CASE WHEN time IS NULL THEN 'time' END,
                                                    CASE WHEN content IS NULL THEN 'content' END) END AS reason
-FROM b, n
-UNION ALL
-SELECT conv_id, turn, NULL FROM v1 WHERE conv_id % 2 = 1 AND time IS NOT NULL AND content IS NOT NULL
+FROM b
 """)
 def validate_posts_all(spark, sf_dir):
-    """A11, batch mode, on two batches: one with bad items (all rejected), one without (all taken)."""
-    items = _v1_items(spark, sf_dir)
-    out = None
-    for batch in (items.where("conv_id % 2 = 0"),
-                  items.where("conv_id % 2 = 1 AND time IS NOT NULL AND content IS NOT NULL")):
-        valid, rejected = IN.validate_posts(batch, mode="all")
-        both = (valid.select("conv_id", "turn", F.lit(None).cast("string").alias("reason"))
-                .unionByName(rejected.select("conv_id", "turn", "reason")))
-        out = both if out is None else out.unionByName(both)
-    return out
+    """A11, batch mode: every conversation is a batch, taken or rejected whole."""
+    valid, rejected = IN.validate_posts(_v1_items(spark, sf_dir), mode="all", batch_col="conv_id")
+    return (valid.select("conv_id", "turn", F.lit(None).cast("string").alias("reason"))
+            .unionByName(rejected.select("conv_id", "turn", "reason")))
 
 
 @register("filter_min_content", f"""

@@ -96,7 +96,7 @@ def reduce_dims(spark, sf_dir):
 
 @register("kmeans_search")
 def kmeans_search(spark, sf_dir):
-    scores, _, _ = V.kmeans_search(_emb(spark, sf_dir), "embedding", 2, 8)
+    scores, _, _ = V.kmeans_search(_emb(spark, sf_dir), "embedding")
     return scores
 
 

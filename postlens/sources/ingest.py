@@ -119,10 +119,11 @@ def write_lines(df: DataFrame, path: str, col: str = "content") -> None:
 REQUIRED_V1 = ("time", "author", "content", "data")
 
 
-def validate_posts(df: DataFrame, required=REQUIRED_V1, mode: str = "row") -> tuple[DataFrame, DataFrame]:
+def validate_posts(df: DataFrame, required=REQUIRED_V1, mode: str = "row", batch_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Every item needs the ``required`` string fields.  Returns (valid, rejected with a
     ``reason``).  ``mode='all'`` rejects the whole batch when one item is invalid (the
-    reference's behaviour); ``mode='row'`` rejects only the bad items."""
+    reference's behaviour) — with ``batch_col`` each of its values is a batch; ``mode='row'`` rejects
+    only the bad items."""
     missing = F.array_compact(F.array(*[
         F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
     x = df.withColumn("_missing", missing)
@@ -133,8 +134,12 @@ def validate_posts(df: DataFrame, required=REQUIRED_V1, mode: str = "row") -> tu
                 x.where(bad).withColumn("reason", reason).drop("_missing"))
     if mode != "all":
         raise ValueError(f"unknown validation mode {mode!r}")
-    n_bad = x.agg(F.count(F.when(bad, 1)).alias("_n_bad")).withColumn("_k", F.lit(1))
-    y = x.withColumn("_k", F.lit(1)).join(F.broadcast(n_bad), "_k").drop("_k")       # one row
+    if batch_col is None:
+        n_bad = x.agg(F.count(F.when(bad, 1)).alias("_n_bad")).withColumn("_k", F.lit(1))
+        y = x.withColumn("_k", F.lit(1)).join(F.broadcast(n_bad), "_k").drop("_k")       # one row
+    else:
+        n_bad = x.where(bad).groupBy(F.col(batch_col).alias("_k")).agg(F.count(F.lit(1)).alias("_n_bad"))
+        y = x.join(n_bad, F.col(batch_col).eqNullSafe(F.col("_k")), "left").drop("_k").withColumn("_n_bad", F.coalesce("_n_bad", F.lit(0)))
     valid = y.where(F.col("_n_bad") == 0).drop("_missing", "_n_bad")
     rejected = (y.where(F.col("_n_bad") > 0)
                 .withColumn("reason", F.when(bad, reason).otherwise(F.lit("batch rejected")))

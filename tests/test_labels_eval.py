@@ -139,3 +139,22 @@ def test_self_training_takes_the_whole_sample(spark, monkeypatch):
     monkeypatch.setattr(classify, "self_training_round", lambda posts, train, test, n, **options: asked.append(n))
     catalog.queries()["self_training"](spark, "/root/testdata/sf0.001")
     assert asked == [50_000]
+
+
+def test_encode_labels_of_any_type(spark):
+    from postlens.operators.search import encode_labels
+    rows = [(i, float(x), x % 2 == 0, f"2024-01-{x % 28 + 1:02d}") for i, x in enumerate([5, -3, 7, 7, -200, 0, 41, 5])] + [(99, float("nan"), None, None), (98, float("inf"), None, None)]
+    df = spark.createDataFrame(rows, "id int, x double, b boolean, d string").selectExpr("id", "x", "b", "cast(d as date) d", "id % 7 n")
+    for col in ("x", "b", "d"):
+        got = {r[0]: r[1] for r in encode_labels(df, col).select(col, f"{col}_id").collect() if r[0] is not None}
+        values = [r[0] for r in df.select(col).where(f"{col} is not null").distinct().orderBy(col).collect()]
+        assert len(got) >= len(values) - 1 and [got[v] for v in values if v == v] == list(range(len([v for v in values if v == v])))
+
+
+def test_batches_of_a_column(spark):
+    from postlens.sources.ingest import validate_posts
+    df = spark.createDataFrame([(1, "a"), (1, None), (2, "b"), (2, "c"), (None, "d"), (None, None)], "k int, t string")
+    valid, rejected = validate_posts(df, ["t"], "all", "k")
+    assert sorted(r["t"] for r in valid.collect()) == ["b", "c"]
+    assert sorted((str(r["k"]), r["reason"]) for r in rejected.collect()) == [("1", "batch rejected"), ("1", "missing or not a string: t"),
+                                                                            ("None", "batch rejected"), ("None", "missing or not a string: t")]
