@@ -8,14 +8,15 @@ hexadecimal digits and the joined digits are turned back into bytes.)  Documents
 from their words' results.
 
 One narrow stage, no shuffle: split (Python) → fold and decode (JVM) → assemble (Python).  Words are
-distinct per block (at most about ``BLOCK_WORDS`` words of their own or ``BLOCK_CHARS`` characters), not
-per corpus: a corpus-wide word table would have to be joined back to every occurrence, which shuffles
-more than the texts themselves.  Blocks bound a task's memory and lose nothing; the assembling side
-holds a block's words as flat buffers with offsets and gathers from them.
+distinct per block of at most about ``BLOCK_WORDS`` words, not per corpus: a corpus-wide word table would
+have to be joined back to every occurrence, which shuffles more than the texts themselves.  Documents
+leave the splitting side every ``FLUSH_CHARS`` characters, after those words that are new since the last
+time; the assembling side holds a block's words as flat buffers with offsets and gathers from them.  All
+buffers are bounded and lose nothing.
 
 Words that many blocks share are folded once: a table of at most ``SHARED_WORDS`` words of at most
 ``SHARED_BYTES`` bytes, the commonest of a bounded sample of the texts, goes through the same
-expression first and is broadcast (at most about 10 MB).  It saves time only; a word that is not in
+expression first and is broadcast (at most about 15 MB).  It saves time only; a word that is not in
 it is folded in its block.
 
 The rank map: neighbours are looked up by their ids in a table compressed by row displacement (two
@@ -35,7 +36,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +46,12 @@ from pyspark.sql import functions as F
 from postlens.llm import common
 from postlens.session import checkpoint_dir
 
-BLOCK_WORDS = 100_000
-BLOCK_CHARS = 16_000_000
+#: Words of a block's own, and characters of documents held until they go on.
+BLOCK_WORDS, FLUSH_CHARS = 220_000, 4_000_000
 #: The shared table, and the characters of text that it is chosen from.
-SHARED_WORDS, SHARED_BYTES, SHARED_SAMPLE = 120_000, 32, 60_000_000
+SHARED_WORDS, SHARED_BYTES, SHARED_SAMPLE = 220_000, 32, 60_000_000
 #: Chunks of text (with their bytes, at most) whose words a task remembers.
-CHUNKS, CHUNK_BYTES = 120_000, 8_000_000
+CHUNKS, CHUNK_BYTES = 200_000, 12_000_000
 #: Words of a document put together at once.
 GATHER_WORDS = 1 << 16
 #: Words of a block travel in rows of this many.
@@ -237,7 +238,11 @@ def cut_at_spaces(text: str) -> list[str] | None:
     return text.split(" ")
 
 
-def _word_rows(found: list[bytes], ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+#: Marks the first words of a block.
+_FRESH = b"block"
+
+
+def _word_rows(found: list[bytes], ranks: dict[bytes, int], fresh: bool = False) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(found), WORDS_PER_ROW):
         some = found[k:k + WORDS_PER_ROW]
         known = [[ranks[w]] if w in ranks else heap_merges(ranks, w) if len(w) > FOLD_BYTES else None for w in some]
@@ -245,7 +250,7 @@ def _word_rows(found: list[bytes], ranks: dict[bytes, int]) -> Iterator[pa.Recor
         values = pa.array(np.frombuffer(b"".join(plain), np.uint8).astype(np.int32))
         ends = np.concatenate([[0], np.cumsum([len(w) for w in plain])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([
-            pa.array([None], pa.int64()), pa.array([None], pa.binary()),
+            pa.array([None], pa.int64()), pa.array([_FRESH if fresh and not k else None], pa.binary()),
             pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), values)),
             pa.array([known], _ROWS.field("known").type)], schema=_ROWS)
 
@@ -264,7 +269,7 @@ def _split(path: str, pattern: str, shared):
         find, ranks = _finder(pattern), load_ranks(path)
         index = _once("index", shared, SharedTable.index)
         own: dict[str, int] = {}
-        n, held = len(index), 0
+        n, held, sent = len(index), 0, 0
 
         class Chunks(dict):
             """chunk (after ``lead``) → its words' numbers"""
@@ -302,25 +307,30 @@ def _split(path: str, pattern: str, shared):
             rest = iter(parts)
             return plain[next(rest, "")] + b"".join(map(spaced.__getitem__, rest))
 
-        def close():
-            nonlocal docs, chars, held
-            yield from _word_rows([w.encode("utf-8", "surrogatepass") for w in own], ranks)
+        def flush():
+            nonlocal docs, chars, sent
+            fresh = [w.encode("utf-8", "surrogatepass") for w in islice(own, sent, None)]
+            yield from _word_rows(fresh, ranks, not sent)
+            sent = len(own)
             for k in range(0, len(docs), common.OUT_ROWS):
                 some = docs[k:k + common.OUT_ROWS]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([d for d, _ in some], pa.int64()), pa.array([x for _, x in some], pa.binary()),
                     pa.nulls(len(some), _ROWS.field("bytes").type), pa.nulls(len(some), _ROWS.field("known").type)], schema=_ROWS)
-            for numbers in (own, plain, spaced):
-                numbers.clear()
-            docs, chars, held = [], 0, 0
+            docs, chars = [], 0
 
         for batch in batches:
             for doc_id, text in _in_slices(batch):
                 docs.append((doc_id, numbered(text)))
                 chars += len(text or "")
-                if len(own) >= BLOCK_WORDS or chars >= BLOCK_CHARS:
-                    yield from close()
-        yield from close()
+                if len(own) >= BLOCK_WORDS:
+                    yield from flush()
+                    for numbers in (own, plain, spaced):
+                        numbers.clear()
+                    held = sent = 0
+                elif chars >= FLUSH_CHARS:
+                    yield from flush()
+        yield from flush()
     return run
 
 
@@ -421,7 +431,7 @@ def shared_table(docs: DataFrame, path: str, pattern: str, max_words: int = SHAR
                         if len(w) <= SHARED_BYTES:
                             found[w] += n
                 del seen
-                if len(found) > BLOCK_WORDS // 2:
+                if len(found) > 100_000:
                     yield batch_of()
                     found.clear()
         yield batch_of()
@@ -464,15 +474,15 @@ def _assemble(path: str, shared, with_ids: bool):
         for batch in batches:
             column = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "words", "ids", "decoded")}
             for k in range(batch.num_rows):
-                if column["ids"][k].is_valid:                 # words of a block; the first one after documents starts it
-                    if ids is not shared_ids:
+                if column["ids"][k].is_valid:                 # words
+                    if column["words"][k].as_py() == _FRESH:
                         ids, pieces = shared_ids, shared_bytes
                     values, ends = _list_parts(column["ids"], k)
                     for parts, new in zip(own, (values.to_numpy(), ends, *_byte_parts(column["decoded"], k))):
                         parts.append(new.copy())
                     continue
                 if own[0]:
-                    ids, pieces = shared_ids.joined(own[0], own[1]), shared_bytes.joined(own[2], own[3])
+                    ids, pieces = ids.joined(own[0], own[1]), pieces.joined(own[2], own[3])
                     own = ([], [], [], [])
                 numbers = np.frombuffer(column["words"][k].as_py(), "<u4")
                 digits, text, n, held, last = hashlib.sha256(), hashlib.sha256(), 0, [], b""

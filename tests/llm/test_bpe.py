@@ -42,6 +42,7 @@ def test_equals_library(spark, library):
 def test_blocks(spark, library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "WORDS_PER_ROW", 3)
     monkeypatch.setattr(byte_bpe, "BLOCK_WORDS", 7)
+    monkeypatch.setattr(byte_bpe, "FLUSH_CHARS", 40)
     check(spark, library, list(enumerate(TEXTS)))
 
 
