@@ -36,7 +36,7 @@ def test_empty_documents(spark):
 
 
 def test_every_query_is_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_odd_rows_and_clashing_columns(spark):
