@@ -422,9 +422,9 @@ def kmeans_search(df: DataFrame, vec_col: str, k_min: int = 2, k_max: int = 10,
 
 
 def corpus_centroid(df: DataFrame, vec_col: str) -> DataFrame:
-    """Mean vector of a table (one row, ``centroid``), by a tree aggregate."""
+    """Mean vector of a table (one row, ``centroid``; none for an empty table), by a tree aggregate."""
     v = df.select(array_to_vector(as_double_array(vec_col)).alias("_fv"))
-    return v.select(Summarizer.mean(F.col("_fv")).alias("_m")).select(vector_to_array("_m").alias("centroid"))
+    return v.groupBy(F.lit(1)).agg(Summarizer.mean(F.col("_fv")).alias("_m")).select(vector_to_array("_m").alias("centroid"))
 
 
 def centroid_similarity(df: DataFrame, id_col: str, vec_col: str, top: int | None = 50) -> DataFrame:

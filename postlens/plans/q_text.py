@@ -204,13 +204,36 @@ def nfkc_emoji(spark, sf_dir):
     return _posts(spark, sf_dir).select("tweet_id", demojize(nfkc(F.col("content"))).alias("content"))
 
 
+def _keywords(posts):
+    """Every hashtag of every text: segmented (C17), average word length of at least 2.5 (C19), language
+    (C18)."""
+    from postlens.operators import classify as C
+    tags = K.top_hashtags(posts, n=None).select(F.expr("substring(token, 2)").alias("token"), "cnt")
+    split = C.segment_column(tags, "token", C.unigram_counts(posts, "content"), "keyword")
+    long = split.where(T.avg_word_length(T.split_ws(F.col("keyword"))) >= 2.5)
+    return C.guess_language(long, "keyword").where(F.col("guess").isin("id", "en", "unknown"))
+
+
 @register("keyword_candidates")
 def keyword_candidates(spark, sf_dir):
-    """The keyword filter chain: frequent n-grams → segmented (C17) → average word length of at least
-    2.5 (C19) → language (C18) → distinct candidates with their counts."""
-    from postlens.operators import classify as C
-    posts = _posts(spark, sf_dir)
-    top = C.segment_column(K.top_ngrams(posts, n=500), "token", C.unigram_counts(posts, "content"), "keyword")
-    long = top.where(T.avg_word_length(T.split_ws(F.col("keyword"))) >= 2.5)
-    kept = C.guess_language(long, "keyword").where(F.col("guess").isin("id", "en", "unknown"))
-    return kept.groupBy("keyword", "guess").agg(F.sum("cnt").cast("long").alias("cnt"))
+    """The keyword filter chain: all hashtags, as words → distinct candidates with their counts."""
+    return _keywords(_posts(spark, sf_dir)).groupBy("keyword", "guess").agg(F.sum("cnt").cast("long").alias("cnt"))
+
+
+@register("keyword_ranking")
+def keyword_ranking(spark, sf_dir):
+    """All candidates of the chain by the cosine of their learned vector to the mean
+    of the posts' vectors."""
+    from postlens.operators import embeddings as EM
+    posts = _posts(spark, sf_dir).select("tweet_id", "content")
+    model = EM.learn_word_vectors(posts, "content")
+    words = _keywords(posts).groupBy("keyword").agg(F.sum("cnt").cast("long").alias("cnt"))
+    return EM.rank_keywords(words, "keyword", posts, "content", model)
+
+
+@register("embed_learned")
+def embed_learned(spark, sf_dir):
+    """H1: vectors of all posts from word vectors learned on them."""
+    from postlens.operators import embeddings as EM
+    posts = _posts(spark, sf_dir).select("tweet_id", "content")
+    return EM.embed_texts(posts, "content", EM.learn_word_vectors(posts, "content")).select("tweet_id", "embedding")
