@@ -27,6 +27,8 @@ from postlens.operators.sampling import exact_rank, split_exact
 # ---------------------------------------------------------------- C26: token ids
 
 PAD, UNK = 0, 1
+#: Tokens of the highest counts that are looked up by broadcast.
+OFTEN = 2_000
 
 
 def build_vocabulary(df: DataFrame, col: str, max_vocab: int | None = None, min_count: int = 1) -> DataFrame:
@@ -45,7 +47,12 @@ def encode_tokens(df: DataFrame, id_col: str, col: str, vocab: DataFrame, max_le
     """Token ids truncated / padded to ``max_len`` and the attention mask.  Truncation is the
     feature; it comes before the look-up, so later tokens are never shuffled."""
     toks = df.select(id_col, F.posexplode(F.slice(TX.tokens(F.col(col)), 1, max_len)).alias("pos", "token"))
-    ids = toks.join(vocab.select("token", "token_id"), "token", "left") \
+    # the commonest tokens meet a small broadcast table: no task holds all uses of a token
+    often = F.col("token_id") <= UNK + OFTEN
+    common = vocab.where(often).select("token", F.col("token_id").alias("_often"))
+    toks = toks.join(F.broadcast(common), "token", "left").withColumn("token", F.when(F.col("_often").isNull(), F.col("token")))     # OFTEN rows
+    rare = toks.where("_often is null").drop("_often").join(vocab.where(~often).select("token", "token_id"), "token", "left")
+    ids = toks.where("_often is not null").withColumnRenamed("_often", "token_id").unionByName(rare) \
         .withColumn("token_id", F.coalesce("token_id", F.lit(UNK)))
     seq = ids.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("_s"))
     seq = df.select(id_col).join(seq, id_col, "left")
@@ -121,6 +128,43 @@ def _segment(chunk: str, counts: dict[str, int], total: float) -> str:
     return " ".join(out[::-1])
 
 
+def pair_counts(df: DataFrame, col: str, max_pairs: int = BROADCAST_WORDS) -> DataFrame:
+    """Counts of neighbouring words, the commonest ``max_pairs`` (ties by the words): the size of the model
+    that is shipped to the tasks."""
+    words = df.select(F.regexp_extract_all(F.lower(F.col(col)), F.lit(r"[\p{L}\p{N}]+"), 0).alias("w")).where(F.size("w") > 1)
+    pairs = words.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))).alias("p"))
+    counts = pairs.groupBy(F.col("p.a").alias("first"), F.col("p.b").alias("second")).agg(F.count(F.lit(1)).alias("cnt"))
+    return counts.orderBy(F.desc("cnt"), "first", "second").limit(max_pairs)
+
+
+def _segment_pairs(chunk: str, counts: dict[str, int], pairs: dict[tuple[str, str], int], total: float) -> str:
+    """Most probable split when a piece depends on the one before it: p(b | a) = p(a b) / p(a) for known
+    pairs, else p(b).  States are the last pieces; ties: the earlier start."""
+    def alone(piece: str) -> float:
+        c = counts.get(piece)
+        return math.log10(c / total) if c else math.log10(10.0 / total) - len(piece)
+
+    n = len(chunk)
+    best: list[dict[int, tuple[float, int]]] = [{0: (0.0, -1)}] + [{} for _ in range(n)]      # end → start of the last piece → (score, start before)
+    for j in range(1, n + 1):
+        for i in range(max(0, j - SEGMENT_LIMIT), j):
+            piece = chunk[i:j]
+            free, top = alone(piece), None
+            for k, (score, _) in best[i].items():
+                before = chunk[k:i]
+                c = pairs.get((before, piece)) if i and before in counts else None
+                s = score + (math.log10(c / total) - alone(before) if c else free)
+                if top is None or s > top[0]:
+                    top = s, k
+            best[j][i] = top
+    out, j = [], n
+    i = max(best[n], key=lambda k: best[n][k][0]) if n else 0
+    while j > 0:
+        out.append(chunk[i:j])
+        i, j = best[j][i][1], i
+    return " ".join(out[::-1])
+
+
 def segment_chunks(chunks: DataFrame, counts: DataFrame, col: str = "chunk") -> DataFrame:
     """``chunk, segmented`` of distinct chunks.  A small dictionary is broadcast; for a larger one each
     chunk's pieces are joined with it, so that a task needs the counts of its own pieces only."""
@@ -148,9 +192,45 @@ def segment_chunks(chunks: DataFrame, counts: DataFrame, col: str = "chunk") ->
         col, own(col, F.coalesce("_w", empty.cast("array<string>")), F.coalesce("_c", empty.cast("array<bigint>"))).alias("segmented")))
 
 
-def segment_column(df: DataFrame, col: str, counts: DataFrame, out_col: str = "segmented") -> DataFrame:
+def segment_column(df: DataFrame, col: str, counts: DataFrame, out_col: str = "segmented", pairs: DataFrame | None = None) -> DataFrame:
     """C17: most probable split of each value into dictionary words (``demomahasiswa`` →
-    ``demo mahasiswa``).  Distinct chunks are segmented once and joined back to the distinct values."""
+    ``demo mahasiswa``), with ``pairs`` (``pair_counts``) by words and their predecessors.
+
+    A dictionary of at most ``BROADCAST_WORDS`` words is shipped to the tasks, which remember the chunks they
+    have split: nothing is shuffled.  With a larger one, distinct chunks are segmented once and joined back
+    to the distinct values."""
+    size = counts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("t")).first()
+    if size["n"] <= BROADCAST_WORDS:
+        total = float(size["t"]) or 1.0
+        known = {} if pairs is None else {(r["first"], r["second"]): int(r["cnt"]) for r in pairs.collect()}
+        held = df.sparkSession.sparkContext.broadcast(({r["word"]: int(r["cnt"]) for r in counts.collect()}, known))
+        by_pairs = pairs is not None
+
+        @F.pandas_udf(T.StringType())
+        def whole(texts: pd.Series) -> pd.Series:
+            import regex
+            find, done = regex.compile(r"[\p{L}\p{N}]+").findall, _SEGMENTED
+            words, known = held.value
+            if done.get("of") is not words:
+                done.clear()
+                done["of"] = words
+            out = []
+            for text in texts:
+                parts = []
+                for chunk in find(text) if isinstance(text, str) else ():
+                    key = (by_pairs, chunk)
+                    if key not in done:
+                        if len(done) > BROADCAST_WORDS:
+                            done.clear()
+                            done["of"] = words
+                        done[key] = _segment_pairs(chunk, words, known, total) if by_pairs else _segment(chunk, words, total)
+                    parts.append(done[key])
+                out.append(" ".join(parts) if isinstance(text, str) else None)
+            return pd.Series(out, dtype=object)
+
+        return df.withColumn(out_col, whole(F.lower(F.col(col))))
+    if pairs is not None:
+        raise ValueError(f"pairs need a dictionary of at most {BROADCAST_WORDS} words")
     values = df.where(F.col(col).isNotNull()).select(F.col(col).alias("_text")).distinct()
     parts = values.select("_text", F.posexplode_outer(F.regexp_extract_all(F.lower("_text"), F.lit(r"[\p{L}\p{N}]+"), 0)).alias("_pos", "chunk"))
     done = segment_chunks(parts.where("chunk is not null").select("chunk").distinct(), counts)
@@ -160,6 +240,10 @@ def segment_column(df: DataFrame, col: str, counts: DataFrame, out_col: str = "s
     return df.join(texts, df[col] == texts["_text"], "left").drop("_text")
 
 
+#: Chunks that a worker has split, for one dictionary at a time.
+_SEGMENTED: dict = {}
+
+
 def reaggregate_segmented(top: DataFrame, counts: DataFrame, n: int = 50) -> DataFrame:
     """E5: hashtags of each n-gram keep their form (count added per occurrence); other n-grams
     are segmented and merged; top ``n``."""

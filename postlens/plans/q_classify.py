@@ -103,6 +103,14 @@ def segment_tokens(spark, sf_dir):
     return C.segment_column(glued, "glued", counts)
 
 
+@register("segment_pairs")
+def segment_pairs(spark, sf_dir):
+    """C17 with word pairs: the glued hashtags of all posts, split by words and their predecessors."""
+    posts = posts_from_documents(spark, sf_dir)
+    tags = K.top_hashtags(posts, n=None).select(F.expr("substring(token, 2)").alias("tag"), "cnt")
+    return C.segment_column(tags, "tag", C.unigram_counts(posts, "content"), pairs=C.pair_counts(posts, "content"))
+
+
 @register("reaggregate_segmented")
 def reaggregate_segmented(spark, sf_dir):
     posts = posts_from_documents(spark, sf_dir)

@@ -158,3 +158,34 @@ def test_batches_of_a_column(spark):
     assert sorted(r["t"] for r in valid.collect()) == ["b", "c"]
     assert sorted((str(r["k"]), r["reason"]) for r in rejected.collect()) == [("1", "batch rejected"), ("1", "missing or not a string: t"),
                                                                             ("None", "batch rejected"), ("None", "missing or not a string: t")]
+
+
+def test_pairs_split_like_all_splits(spark):
+    """Viterbi over (piece before, piece) against every split of short chunks."""
+    import itertools
+    import math
+    from postlens.operators import classify as C
+    corpus = ["demo maha siswa", "demo mahasiswa tolak", "maha siswa", "a b ab", "ab ab a", "tolak ruu", "ruu tni tolak ruu tni", "demoma hasiswa"]
+    df = spark.createDataFrame([(t,) for t in corpus], "t string")
+    counts, pairs = C.unigram_counts(df, "t"), C.pair_counts(df, "t")
+    c, p = {r["word"]: r["cnt"] for r in counts.collect()}, {(r["first"], r["second"]): r["cnt"] for r in pairs.collect()}
+    assert p[("ruu", "tni")] == 2 and p[("maha", "siswa")] == 2
+    total = sum(c.values())
+
+    def alone(w):
+        return math.log10(c[w] / total) if w in c else math.log10(10 / total) - len(w)
+
+    def score(split):
+        s = alone(split[0])
+        for a, b in zip(split, split[1:]):
+            s += math.log10(p[(a, b)] / total) - alone(a) if (a, b) in p and a in c else alone(b)
+        return s
+
+    def best(chunk):
+        cuts = [m for k in range(len(chunk)) for m in itertools.combinations(range(1, len(chunk)), k)]
+        return max(score([chunk[i:j] for i, j in zip((0, *m), (*m, len(chunk)))]) for m in cuts)
+    asked = ["demomahasiswa", "ruutnitolak", "abab", "aab", "xyztni", "tolakruutni", "q"]
+    got = C.segment_column(spark.createDataFrame([(t.title(),) for t in asked] + [(None,), ("",), ("RUUTNI, abab!",)], "t string"), "t", counts, pairs=pairs).collect()
+    for r in got[:len(asked)]:
+        assert r["segmented"].replace(" ", "") == r["t"].lower() and math.isclose(score(r["segmented"].split(" ")), best(r["t"].lower()))
+    assert [r["segmented"] for r in got[len(asked):-1]] == [None, ""] and got[-1]["segmented"].startswith("ruu tni ")
