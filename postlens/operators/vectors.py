@@ -177,20 +177,21 @@ def _visits(model, probe: int, certify: bool):
 
     def run(frames):
         centers, radii = model.value
+        step = max(1, 16_384 // max(1, len(centers)))         # bounds the rows of a batch: a query may visit every cell
         for f in frames:
-            if f.empty:
-                continue
-            q = np.stack(f["_qv"].to_numpy()).astype(np.float64)
-            d2 = (q * q).sum(1)[:, None] + (centers * centers).sum(1) - 2 * (q @ centers.T)
-            d = np.sqrt(np.maximum(d2, 0.0))
-            first = np.argsort(d, axis=1, kind="stable")[:, :probe]
-            visit = np.zeros(d.shape, bool)
-            np.put_along_axis(visit, first, True, 1)
-            if certify:
-                scale = np.sqrt((q * q).sum(1))[:, None] + np.sqrt((centers * centers).sum(1))
-                visit = ~visit & (d - radii <= f["_bound"].to_numpy()[:, None] + 1e-7 * scale + 1e-12)
-            i, cell = np.nonzero(visit)
-            yield pd.DataFrame({"_qid": f["_qid"].to_numpy()[i], "_qv": f["_qv"].to_numpy()[i], "_cell": cell.astype("int32")})
+            for at in range(0, len(f), step):
+                part = f.iloc[at:at + step]
+                q = np.stack(part["_qv"].to_numpy()).astype(np.float64)
+                d2 = (q * q).sum(1)[:, None] + (centers * centers).sum(1) - 2 * (q @ centers.T)
+                d = np.sqrt(np.maximum(d2, 0.0))
+                first = np.argsort(d, axis=1, kind="stable")[:, :probe]
+                visit = np.zeros(d.shape, bool)
+                np.put_along_axis(visit, first, True, 1)
+                if certify:
+                    scale = np.sqrt((q * q).sum(1))[:, None] + np.sqrt((centers * centers).sum(1))
+                    visit = ~visit & (d - radii <= part["_bound"].to_numpy()[:, None] + 1e-7 * scale + 1e-12)
+                i, cell = np.nonzero(visit)
+                yield pd.DataFrame({"_qid": part["_qid"].to_numpy()[i], "_qv": part["_qv"].to_numpy()[i], "_cell": cell.astype("int32")})
     return run
 
 
