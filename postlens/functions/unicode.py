@@ -1,7 +1,8 @@
 """Arrow-batched Python helpers for the few text steps Spark has no native function for:
 Unicode NFKC normalisation, emoji-to-words, and HTML text extraction.
 
-Each is a small per-value helper wrapped in a ``pandas_udf`` (one Arrow batch per call); all
+Each is a small per-value helper wrapped in an ``arrow_udf`` (one Arrow batch per call), which makes Python
+strings of ``SLICE`` values at a time only: a batch of long pages is never held as Python strings.  All
 surrounding steps stay JVM-side.  Filters should run before these so fewer rows cross to Python.
 """
 
@@ -9,23 +10,33 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Values of a batch that are Python strings at a time.
+SLICE = 64
+
+
+def _in_slices(helper: Callable[[str | None], str | None], values: pa.Array) -> pa.Array:
+    parts = [pa.array(map(helper, values.slice(k, SLICE).to_pylist()), pa.string()) for k in range(0, len(values), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
 def _nfkc(s: str | None) -> str | None:
     if s is None or s.isascii() or unicodedata.is_normalized("NFKC", s):
         return s
     return unicodedata.normalize("NFKC", s)
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc_udf(s: pd.Series) -> pd.Series:
-    return s.map(_nfkc, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _nfkc_udf(s: pa.Array) -> pa.Array:
+    return _in_slices(_nfkc, s)
 
 
 def nfkc(c) -> Column:
@@ -90,9 +101,9 @@ def _demojize(s: str | None, left: str = " ", right: str = " ") -> str | None:
     return _SEQUENCE.sub(name, s)
 
 
-@F.pandas_udf(T.StringType())
-def demojize_udf(s: pd.Series) -> pd.Series:
-    return s.map(_demojize, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def demojize_udf(s: pa.Array) -> pa.Array:
+    return _in_slices(_demojize, s)
 
 
 def demojize(c) -> Column:
@@ -133,6 +144,6 @@ def _get_text(html: str | None) -> str | None:
     return "".join(p.parts)
 
 
-@F.pandas_udf(T.StringType())
-def html_get_text(s: pd.Series) -> pd.Series:
-    return s.map(_get_text, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def html_get_text(s: pa.Array) -> pa.Array:
+    return _in_slices(_get_text, s)
