@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 METRIC_LABELS = {"tayangan": "views", "suka": "likes", "posting ulang": "retweets",
                  "balasan": "replies", "markah": "bookmarks"}
 UNIT_MULTIPLIERS = {"rb": 1_000, "jt": 1_000_000}
+#: Marks around the parts of an item found in an engagement string.
+_START, _NEXT, _END = "\x03", "\x01", "\x02"
 METRICS = ("views", "likes", "retweets", "replies", "bookmarks")
 
 
@@ -39,17 +41,20 @@ def parse_metrics(c, locale: str = "reference") -> Column:
     ``locale='id'`` reads dots as thousands separators); ``rb`` ×1e3, ``jt`` ×1e6; unknown labels
     are ignored; when a label repeats, the later item wins; values are rounded.
 
-    One scan per group of the item pattern; the found items are bound once, and each metric reads the last
-    item with its label."""
+    One scan of the item pattern: each item becomes ``number, unit, label`` between marks that no input holds,
+    and each metric reads what stands before the last occurrence of its label.  Possessive parts cannot
+    match otherwise: a number is followed by no digit or separator, words by a comma or the end."""
     s = F.lower(_col(c))
-    item = r"(?Us)([0-9.,]+)\s*(rb|jt)?\s*([a-z\s]+?)\s*(?=,|\z)"
-    found = F.struct(*[F.regexp_extract_all(s, F.lit(item), F.lit(k)).alias(name) for k, name in ((1, "nums"), (2, "units"))],
-                     F.reverse(F.regexp_extract_all(s, F.lit(item), F.lit(3))).alias("labels"))
+    for mark in (_START, _NEXT, _END):
+        s = F.replace(s, F.lit(mark), F.lit("#"))
+    item = r"(?Us)([0-9.,]++)\s*+(rb|jt)?\s*([a-z]++(?:\s++[a-z]++)*+)\s*+(?=,|\z)"
+    found = F.regexp_replace(s, item, f"{_START}$1{_NEXT}$2{_NEXT}$3{_END}")
 
     def metrics(x: Column) -> Column:
         def last(label: str) -> Column:
-            at = -F.array_position(x["labels"], label).cast("int")              # from the end; 0: none
-            return F.when(at < 0, _item_value(F.element_at(x["nums"], at), F.element_at(x["units"], at), locale))
+            key = f"{_NEXT}{label}{_END}"
+            read = F.substring_index(F.substring_index(F.substring_index(x, key, -2), key, 1), _START, -1)
+            return F.when(x.contains(key), _item_value(F.substring_index(read, _NEXT, 1), F.substring_index(read, _NEXT, -1), locale))
         return F.struct(*[last(label).alias(name) for label, name in METRIC_LABELS.items()])
 
     return F.when(s.isNotNull(), F.element_at(F.transform(F.array(found), metrics), 1))
@@ -57,7 +62,7 @@ def parse_metrics(c, locale: str = "reference") -> Column:
 
 def _item_value(raw: Column, unit: Column, locale: str) -> Column:
     """``raw`` holds digits, dots and commas only: the number ends at its second separator."""
-    raw = F.translate(raw, "," if locale != "id" else ",.", "." if locale != "id" else ".")
+    raw = F.replace(raw if locale != "id" else F.replace(raw, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     num = F.substring_index(raw, ".", 2).try_cast("double")
     mult = (F.when(unit == "rb", F.lit(1000.0))
             .when(unit == "jt", F.lit(1_000_000.0)).otherwise(F.lit(1.0)))
