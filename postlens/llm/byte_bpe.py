@@ -36,7 +36,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import accumulate, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -343,9 +343,20 @@ class SharedTable:
     id_ends: array
 
     @classmethod
-    def of(cls, rows: list[tuple[bytes, list[int]]]) -> "SharedTable":
-        return cls(b"".join(w for w, _ in rows), array("I", accumulate(len(w) for w, _ in rows)),
-                   array("I", (i for _, own in rows for i in own)), array("I", accumulate(len(own) for _, own in rows)))
+    def of(cls, folded: pa.Table) -> "SharedTable":
+        """From rows of ``ids`` and ``decoded``, laid end to end without a Python object per word."""
+        words, ids, sizes = [], [], ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+        for batch in folded.to_batches():
+            column = {c: batch.column(batch.schema.get_field_index(c)) for c in ("ids", "decoded")}
+            for k in range(batch.num_rows):
+                values, ends = _byte_parts(column["decoded"], k)
+                words.append(values.tobytes())
+                sizes[0].append(np.diff(ends, prepend=0))
+                values, ends = _list_parts(column["ids"], k)
+                ids.append(values.to_numpy().astype(np.uint32).tobytes())
+                sizes[1].append(np.diff(ends, prepend=0))
+        word_ends, id_ends = (array("I", np.cumsum(np.concatenate(n)).astype(np.uint32).tobytes()) for n in sizes)
+        return cls(b"".join(words), word_ends, array("I", b"".join(ids)), id_ends)
 
     def __len__(self) -> int:
         return len(self.word_ends)
@@ -446,7 +457,7 @@ def shared_table(docs: DataFrame, path: str, pattern: str, max_words: int = SHAR
             break
         size, least = size + r["count"], r["n"]
     if least is None:
-        return SharedTable.of([])
+        return SharedTable(b"", *(array("I") for _ in range(3)))
     words = counts.where(F.col("n") >= least).select("word")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,7 +466,7 @@ def shared_table(docs: DataFrame, path: str, pattern: str, max_words: int = SHAR
             yield from _word_rows([w.encode() for (w,) in common.rows_of(batch, "word")], ranks)
 
     folded = encoded_and_decoded(words.mapInArrow(rows, _ROWS_DDL), path).select("ids", "decoded")
-    return SharedTable.of([(bytes(w), ids) for r in folded.toLocalIterator() for w, ids in zip(r["decoded"], r["ids"])])
+    return SharedTable.of(folded.toArrow())                   # one job: each job ships the rank tables anew
 
 
 def _assemble(path: str, shared, with_ids: bool):
