@@ -42,3 +42,15 @@ def test_a_vector_travels_per_block_and_few_points_come_back(spark):
     assert rows <= 400 * len(layout[4])                       # 400 * 14 by cells
     near = V._block_search(df.selectExpr("id _qid", "v _qv", "3.0D _bound"), placed, centers, radii, 0, 9, 100, ("_qid", "_rid"))
     assert near.where("distance > 3.0001").count() == 0
+
+
+def test_blocks_are_bounded_by_bytes(spark):
+    """Blocks of 32 768 points whatever their size made 31 blocks of a million short vectors."""
+    from postlens.operators import vectors as V
+    placed = spark.range(1_000_000).selectExpr("id _rid", "cast(id % 40 as int) _cell")
+    for dim in (64, 1024):
+        centers = np.random.default_rng(1).normal(size=(40, dim))
+        layout, size = V._blocks(placed, centers, np.ones(40), 2048)
+        assert size * dim * 8 <= V.BLOCK_BYTES and size <= V.BLOCK_POINTS
+        if dim == 64:
+            assert len(layout[4]) <= 14
