@@ -61,10 +61,11 @@ def top_ngrams(df: DataFrame, col: str = "content", n: int | None = 10,
         if len(often) <= MAX_FREQUENT:
             if not often:
                 return _top(ones, n)
-            marked = x.select(F.transform("_toks", lambda t: F.when(t.isin(*often), t).otherwise(F.lit(_RARE))).alias("_m"))
-            runs = marked.select(F.filter("_m", lambda t, i: (t != _RARE) | ((i > 0) & (F.get("_m", i - 1) != _RARE))).alias("_m"))
-            grams = F.filter(T.ngrams(F.col("_m"), 2, n_max), lambda g: ~g.contains(_RARE))
-            more = token_counts(runs, grams).where(F.col("cnt") >= bound)
+            marked = F.array_join(F.transform("_toks", lambda t: F.when(t.isin(*often), t).otherwise(F.lit(_RARE))), " ")
+            # runs of frequent tokens (no token holds a space): n-grams with a rare one are never formed
+            parts = x.select(F.explode(F.split(marked, f" ?{_RARE}(?: {_RARE})* ?")).alias("_m")).where(F.contains("_m", F.lit(" ")))
+            runs = parts.select(F.split("_m", " ").alias("_m"))
+            more = token_counts(runs, T.ngrams(F.col("_m"), 2, n_max)).where(F.col("cnt") >= bound)
             return _top(ones.where(F.col("cnt") >= bound).unionByName(more), n)
     counts = token_counts(x, T.ngrams(F.col("_toks"), n_min, n_max))
     if min_count > 1:

@@ -8,6 +8,7 @@ from postlens.functions import text as T
 from postlens.functions.stopwords import DEFAULT_STOPWORDS, sql_list
 from postlens.operators import keywords as K
 from postlens.plans.registry import register
+from postlens.session import checkpoint_dir
 from postlens.sources.tables import POSTS_SQL, posts_from_documents
 
 _P = f"WITH p AS ({POSTS_SQL})"
@@ -208,7 +209,8 @@ def _keywords(posts):
     """Every hashtag of every text: segmented (C17), average word length of at least 2.5 (C19), language
     (C18)."""
     from postlens.operators import classify as C
-    tags = K.top_hashtags(posts, n=None).select(F.expr("substring(token, 2)").alias("token"), "cnt")
+    checkpoint_dir(posts.sparkSession)
+    tags = K.top_hashtags(posts, n=None).select(F.expr("substring(token, 2)").alias("token"), "cnt").checkpoint()
     split = C.segment_column(tags, "token", C.unigram_counts(posts, "content"), "keyword")
     long = split.where(T.avg_word_length(T.split_ws(F.col("keyword"))) >= 2.5)
     return C.guess_language(long, "keyword").where(F.col("guess").isin("id", "en", "unknown"))

@@ -44,3 +44,10 @@ def test_rare_tokens_do_not_reach_the_shuffle(spark):
     df = spark.createDataFrame([(t,) for t in texts()], "content STRING")
     plan = K.top_ngrams(df, n=5, stopwords=None)._jdf.queryExecution().executedPlan().toString()
     assert "INSET" in plan or " IN (" in plan
+
+
+def test_ngrams_are_formed_inside_runs_of_frequent_tokens(spark):
+    """All n-grams of a text were formed and those with a rare token dropped."""
+    df = spark.createDataFrame([(t,) for t in texts()], "content STRING")
+    plan = K.top_ngrams(df, n=5, stopwords=None)._jdf.queryExecution().analyzed().toString()
+    assert "explode(split(" in plan

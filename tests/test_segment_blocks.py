@@ -41,3 +41,18 @@ def test_words_are_asked_once_per_block_and_texts_not_per_word(spark, monkeypatc
     monkeypatch.setattr(C, "_wanted", seen)
     assert C.segment_column(df, "t", C.unigram_counts(df, "t")).count() == 4
     assert sizes and sizes[0] <= 200
+
+
+@pytest.mark.parametrize("by_pairs", [False, True])
+def test_few_texts_ask_for_their_pieces_only(spark, monkeypatch, by_pairs):
+    from postlens.operators import classify as C
+    df = spark.createDataFrame([(1, "abcab Caéb"), (2, None), (2, ""), (3, "zzab" * 20), (3, "zzab" * 20)], "id long, t string")
+    corpus = spark.createDataFrame([("ab ab c caéb zz zz x " + "w" * 30,), (None,)], "t string")
+    words, pairs = C.unigram_counts(corpus, "t"), C.pair_counts(corpus, "t") if by_pairs else None
+    with monkeypatch.context() as m:
+        m.setattr(C, "FEW_ROWS", 0)
+        want = sorted(map(tuple, C.segment_column(df, "t", words, pairs=pairs).collect()), key=str)
+    monkeypatch.setattr(C, "_word_filter", None)              # no pass for a filter of the whole dictionary
+    assert sorted(map(tuple, C.segment_column(df, "t", words, pairs=pairs).collect()), key=str) == want
+    assert C._known_pieces(["abc"], words) == ({"ab": 2, "c": 1}, 8.0)
+    assert C._known_pieces(["abc"], words.limit(0)) == ({}, 0.0)
