@@ -35,12 +35,14 @@ def test_no_rows(spark, tmp_path):
 
 
 def test_only_committed_attempts_are_read(spark, tmp_path):
-    writer = TF.TextFilesWriter(str(tmp_path))
+    def write(*batches):
+        return [name for out in TF.file_writer(str(tmp_path))(iter(batches)) for name in out.column("attempt").to_pylist()]
+
     n = TF.FILES + 3
     rows = [("pos" if i % 3 else "neg", f"{i}") for i in range(n)]
-    lost = writer.write(iter([batch(rows)]))                                        # a task that failed after its files
-    assert len(lost.folders) == 2 and IN.read_labelled_dir(spark, str(tmp_path)).count() == 0
-    writer.commit([writer.write(iter([batch(rows[:2000]), batch(rows[2000:])])), None, writer.write(iter([]))])
+    lost = write(batch(rows))                                                       # a task that failed after its files
+    assert len(lost) == 2 and IN.read_labelled_dir(spark, str(tmp_path)).count() == 0
+    TF.commit(str(tmp_path), write(batch(rows[:2000]), batch(rows[2000:])) + write())
     got = IN.read_labelled_dir(spark, str(tmp_path)).select(F.rtrim(F.regexp_replace("text", "\n", "")), "label").collect()
     assert sorted(map(tuple, got)) == sorted((t, int(f == "pos")) for f, t in rows)
     assert all(len(os.listdir(d)) <= TF.FILES for d in glob.glob(f"{tmp_path}/*/*"))
