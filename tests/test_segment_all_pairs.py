@@ -45,3 +45,20 @@ def test_pairs_by_blocks_equal_shipped_pairs(spark, monkeypatch, words):
         monkeypatch.setattr(C, "FILTER_BITS", bits)
         assert sorted(map(tuple, C.segment_column(df, "t", counts, pairs=pairs).collect()), key=str) == want
     assert not shipped
+
+
+def test_few_texts_bring_their_own_pairs_to_the_driver(spark, monkeypatch):
+    """All pairs came to the driver, whatever the texts."""
+    from postlens.operators import classify as C
+    corpus = spark.range(5_000).selectExpr("concat('x', id, 'q y', id, 'q ab cd') t")
+    sizes, plain = [], C._as_pairs
+
+    def seen(pairs):
+        found = plain(pairs)
+        sizes.append(found)
+        return found
+    monkeypatch.setattr(C, "_as_pairs", seen)
+    df = spark.createDataFrame([(1, "AbCd"), (2, "zz"), (3, None)], SCHEMA)
+    got = C.segment_column(df, "t", C.unigram_counts(corpus, "t"), pairs=C.pair_counts(corpus, "t")).collect()
+    assert sorted((r["id"], r["segmented"]) for r in got) == [(1, "ab cd"), (2, "zz"), (3, None)]
+    assert sizes == [{("ab", "cd"): 5_000}]
